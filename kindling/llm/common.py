@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters that a task works on at once; its temporary arrays are a few dozen times this.
 BLOCK_CHARS = 500_000
-#: Rows of two longs that a join may broadcast once they are counted (about 3 MB).
-BROADCAST_ROWS = 200_000
+#: Rows of two longs that a join may broadcast once they are counted (about 30 MB).
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,11 +56,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast join if its rows, now counted, are within BROADCAST_ROWS;
+    beyond that for a shuffled join that splits hot keys. ``df`` should be a written table."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def pairs_of_buckets(members: DataFrame, key: str, node: str) -> tuple[DataFrame, DataFrame]:
     """Star pairs of each bucket: (``a``, ``b``) with ``a`` the least node of the bucket.
 
-    Returns the distinct pairs and, of buckets of three and more nodes, the memberships
-    (``key``, ``node``) that :func:`cross_pairs` needs. A bucket of n nodes gives n-1 pairs;
+    ``members`` may repeat rows. Returns the distinct pairs and, of buckets that may hold three
+    nodes and more, the memberships (``key``, ``node``) that :func:`cross_pairs` needs. A bucket of n nodes gives n-1 pairs;
     counting is pre-aggregated, so that a hot bucket is not gathered in one task.
     """
     sizes = saved(
@@ -69,11 +75,10 @@ def pairs_of_buckets(members: DataFrame, key: str, node: str) -> tuple[DataFrame
         .where("lo <> hi")
     )
     heavy = sizes.where("n > 2").select(key, "lo")
-    few = heavy.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    large = saved(members.join(F.broadcast(heavy) if few else heavy.hint("merge"), key))
+    large = saved(members.join(small(heavy), key).distinct())
     pairs = (
         sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        .union(large.where(F.col(node) != F.col("lo")).select("lo", node))
+        .union(large.where(F.col(node) != F.col("lo")).select("lo", F.col(node)))
         .distinct()
     )
     return pairs, large.select(key, node)
@@ -86,13 +91,12 @@ def cross_pairs(large: DataFrame, key: str, node: str, labels: DataFrame) -> Dat
     whose nodes are all connected give nothing, so that a group of copies costs no pairs.
     """
     at = (
-        large.join(labels.withColumnRenamed("id", node).hint("merge"), node, "left")
+        large.join(small(labels.withColumnRenamed("id", node)), node, "left")
         .select(key, node, F.coalesce("component", node).alias("component"))
     )
     at = saved(at)
-    mixed = at.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(key)
-    few = mixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    open_ = at.join(F.broadcast(mixed) if few else mixed.hint("merge"), key)
+    several = saved(at.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(key))
+    open_ = at.join(small(several), key)
     a = open_.select(key, F.col(node).alias("a"), F.col("component").alias("ca"))
     b = open_.select(key, F.col(node).alias("b"), F.col("component").alias("cb"))
     return a.join(b.hint("merge"), key).where("a < b and ca <> cb").select("a", "b").distinct()

@@ -7,17 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.llm import secrets, syncmers, urls
+from kindling.llm import decontaminate, lines, packing, secrets, simhash, syncmers, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those that stay, the numbers of those that go, and the digest of the text that is left."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")))
+    gone = F.coalesce(F.size("dropped_lines"), F.lit(0)).cast("long")
+    return out.select(
+        "doc_id", "n_lines", (F.col("n_lines") - gone).alias("n_kept"),
+        F.coalesce(F.array_join("dropped_lines", ","), F.lit("")).alias("dropped"), F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether it holds a benchmark item, which ones, and the best similarity."""
+    out = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = F.col("contamination")
+    return out.select(
+        "doc_id", (F.size(found) > 0).alias("contaminated"), F.transform(found, lambda x: x["item"]).alias("item_ids"),
+        F.round(F.array_max(F.transform(found, lambda x: x["similarity"])), 6).alias("similarity"),
+    )
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -37,8 +61,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_syncmers, op8_secrets, op9_urls)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_syncmers, op6_simhash, op7_decontamination, op8_secrets, op9_urls, op10_packing)}
 
 
 _URLS = """
