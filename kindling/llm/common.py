@@ -174,3 +174,39 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, len(data)), out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * _powers("down", _INVERSE, len(data) + 1)[starts])
+
+
+_WORD = np.zeros(256, dtype=bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, word starts, word ends, first word of each text and the total, first byte of each text and the end).
+
+    Words are runs of ASCII letters and digits and of whatever is beyond ASCII.
+    """
+    data = np.frombuffer(b"\n" + b"".join(t + b"\n" for t in texts), dtype=np.uint8)
+    inside = _WORD[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edge[::2], edge[1::2]
+    begin = np.concatenate([[1], 1 + np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    return data, starts, ends, np.searchsorted(starts, begin), begin
+
+
+class HashTable:
+    """64-bit hashes -> their numbers, for looking up many hashes of which few are there."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes)
+        self.known = hashes[self.order]
+        self.there = np.zeros(1 << 20, dtype=bool)
+        self.there[self.known & np.uint64((1 << 20) - 1)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``hashes`` that are known, the numbers of the hashes there)."""
+        if not len(self.known):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        maybe = np.flatnonzero(self.there[hashes & np.uint64((1 << 20) - 1)])
+        at = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
+        real = self.known[at] == hashes[maybe]
+        return maybe[real], self.order[at[real]]

@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.llm import decontaminate, lines, packing, secrets, simhash, syncmers, urls
+from kindling.llm import decontaminate, lines, packing, secrets, simhash, syncmers, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its fold, score, verdict, and the toxic spans as start:end, comma-joined."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.score_toxicity(docs.select("doc_id", "text"), toxicity.fit_toxicity(docs, labels))
+    return out.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.array_join(F.transform("toxicity.spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those that stay, the numbers of those that go, and the digest of the text that is left."""
     out = lines.dedup_lines(table(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")))
@@ -66,7 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_syncmers, op6_simhash, op7_decontamination, op8_secrets, op9_urls, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op3_line_dedup, op4_syncmers, op6_simhash, op7_decontamination, op8_secrets, op9_urls, op10_packing)}
 
 
 _URLS = """
