@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that a task works on at once; its temporary arrays are a few dozen times this.
@@ -210,3 +210,30 @@ class HashTable:
         at = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
         real = self.known[at] == hashes[maybe]
         return maybe[real], self.order[at[real]]
+
+
+def in_fold(key: str, folds: int, fold: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``, is ``fold``; for a null id it is not."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, where: Column, key: str, text: str, label: str, each: int, chars: int,
+) -> tuple[list[str], np.ndarray, tuple[float, float]]:
+    """(whole texts, their 0/1 labels, the shares of the classes among all labels) for fitting.
+
+    At most ``each`` documents of a class with ``where`` (over ``id``), drawn by a hash of the id, and about
+    ``chars`` characters: beyond that documents are left out, long ones first to go. Several labels of one id: the
+    largest; null ids and labels are left out.
+    """
+    known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    known = known.where(where).groupBy("id").agg(F.max("y").alias("y"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(each) for y in (0, 1)]
+    sample = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    sample = sample.join(F.broadcast(drawn[0].union(drawn[1])), "id").withColumn("seen", F.sum(F.length("body")).over(Window.orderBy(F.length("body"), F.xxhash64("id"))))
+    rows = sample.where((F.col("seen") <= chars) | (F.col("seen") == F.length("body"))).collect()
+    rows.sort(key=lambda r: (str(r["id"]), r["body"]))
+    total = sum(counts.values())
+    share = counts.get(1, 0) / total if total else 0.0
+    return [r["body"] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64), (1 - share, share)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.llm import decontaminate, lines, packing, secrets, simhash, syncmers, toxicity, urls
+from kindling.llm import decontaminate, lines, packing, pages, quality, secrets, simhash, syncmers, toxicity, urls
+from kindling.llm.common import in_fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +20,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.score_toxicity(docs.select("doc_id", "text"), toxicity.fit_toxicity(docs, labels))
     return out.select(
-        "doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity.score").alias("score"),
+        "doc_id", in_fold("doc_id", 4, 2).alias("held_out"), F.col("toxicity.score").alias("score"),
         (F.col("toxicity.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
         F.array_join(F.transform("toxicity.spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality.score_quality(docs.select("doc_id", "text"), quality.fit_quality(docs, labels))
+    return out.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those that stay, the numbers of those that go, and the digest of the text that is left."""
     out = lines.dedup_lines(table(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")))
@@ -39,6 +46,12 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages")
+    out = pages.extract_text(rows.select("page_id", "url", "html"), pages.fit_pages(rows))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_documents(table(spark, sf_dir, "documents"))
 
@@ -77,7 +90,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_line_dedup, op4_syncmers, op6_simhash, op7_decontamination, op8_secrets, op9_urls, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_line_dedup, op4_syncmers, op5_html, op6_simhash, op7_decontamination, op8_secrets, op9_urls, op10_packing)}
 
 
 _URLS = """

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import HashTable, blocks, mixed, span_hashes, word_spans
+from kindling.llm.common import HashTable, blocks, in_fold, labelled_sample, mixed, span_hashes, word_spans
 
 #: Labelled documents of each class that the model is fitted on at most, and their characters; chosen by a hash of the id.
 TRAIN_DOCS, TRAIN_CHARS = 1000, 5_000_000
@@ -28,11 +28,6 @@ _LOWER[65:91] += 32
 _SALTS = np.random.default_rng(1).integers(1, 1 << 63, len(PREFIXES) + 1, dtype=np.uint64)
 
 
-def held_out(key: str, folds: int = 4, fold: int = 2) -> Column:
-    """crc32 of the id as text, modulo ``folds``, is ``fold``; a null id is not."""
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
-
-
 def token_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(features: a hash per word and kind, bytes, starts, ends, first word per text, first byte per text)."""
     data, starts, ends, first, begin = word_spans([t.encode("utf-8", "surrogatepass") for t in texts])
@@ -254,24 +249,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     those not held out, and TRAIN_CHARS characters (longer samples lose documents, not parts). Several labels of one id: the largest;
     null labels and ids are left out. Without both classes the model scores every text alike, with the share of toxic labels.
     """
-    known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
-    known = known.where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(train_docs) for y in (0, 1)]
-    drawn = F.broadcast(drawn[0].union(drawn[1]))
-    sample = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).join(drawn, "id")
-    rows = sorted(((r["id"], r["body"], r["y"]) for r in sample.collect()), key=lambda r: (hash(r[0]) * 0x9E3779B97F4A7C15 % (1 << 64), r[1]))
-    held, texts, ys = 0, [], []
-    for _, body, y in rows:
-        held += len(body)
-        if held > TRAIN_CHARS and texts:
-            held -= len(body)
-            continue
-        texts.append(body)
-        ys.append(y)
-    total = counts.get(0, 0) + counts.get(1, 0)
-    share = counts.get(1, 0) / total if total else 0.0
-    return fit(texts, np.array(ys, dtype=np.int64), (1 - share, share))
+    texts, ys, shares = labelled_sample(docs, labels, ~in_fold("id", 4, 2), key, text, label, train_docs, TRAIN_CHARS)
+    return fit(texts, ys, shares)
 
 
 RESULT = "struct<score:double,spans:array<struct<start:long,end:long>>>"
