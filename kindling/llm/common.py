@@ -66,7 +66,7 @@ def pairs_of_buckets(members: DataFrame, key: str, node: str) -> tuple[DataFrame
     """Star pairs of each bucket: (``a``, ``b``) with ``a`` the least node of the bucket.
 
     ``members`` may repeat rows. Returns the distinct pairs and, of buckets that may hold three
-    nodes and more, the memberships (``key``, ``node``) that :func:`cross_pairs` needs. A bucket of n nodes gives n-1 pairs;
+    nodes and more, the memberships (``key``, ``node``) for looking at them as a whole. A bucket of n nodes gives n-1 pairs;
     counting is pre-aggregated, so that a hot bucket is not gathered in one task.
     """
     sizes = saved(
@@ -84,24 +84,6 @@ def pairs_of_buckets(members: DataFrame, key: str, node: str) -> tuple[DataFrame
     return pairs, large.select(key, node)
 
 
-def cross_pairs(large: DataFrame, key: str, node: str, labels: DataFrame) -> DataFrame:
-    """Pairs that share a bucket but are not yet connected.
-
-    ``labels`` (``id``, ``component``) covers connected nodes; others stand alone. Buckets
-    whose nodes are all connected give nothing, so that a group of copies costs no pairs.
-    """
-    at = (
-        large.join(small(labels.withColumnRenamed("id", node)), node, "left")
-        .select(key, node, F.coalesce("component", node).alias("component"))
-    )
-    at = saved(at)
-    several = saved(at.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(key))
-    open_ = at.join(small(several), key)
-    a = open_.select(key, F.col(node).alias("a"), F.col("component").alias("ca"))
-    b = open_.select(key, F.col(node).alias("b"), F.col("component").alias("cb"))
-    return a.join(b.hint("merge"), key).where("a < b and ca <> cb").select("a", "b").distinct()
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(``id``, ``component``) for every node of ``edges`` (``a``, ``b`` longs): the least id reachable.
 

@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import blocks, connected_components, cross_pairs, mixed, pairs_of_buckets, saved, small
+from kindling.llm.common import blocks, connected_components, mixed, pairs_of_buckets, saved, small
 
 #: Characters of a shingle; lines at this Jaccard or more are the same line.
 WIDTH, SIMILARITY = 8, 0.8
 #: Bands of rows: a pair at 0.8 shares none with probability (1 - 0.8^4)^10 = 0.005, at 0.85 0.0006.
 BANDS, ROWS = 10, 4
+#: Lines of a bucket that are compared in one task; a task holds two such parts.
+BUCKET = 512
 
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(0, 1 << 32, 512, dtype=np.uint32) | np.uint32(1)
@@ -27,8 +29,8 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_hashes(lines: list[str], width: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each non-empty normal line, its band keys)."""
+def hashed_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the shingle from each character on, first and one-past-last of each line; a short line is one shingle)."""
     padded = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     sizes = np.array([len(x) for x in padded])
@@ -39,8 +41,13 @@ def line_hashes(lines: list[str], width: int, bands: int, rows: int) -> tuple[np
     for j in range(width):
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += points[j : j + n]
-    h = mixed(h)
-    edges = np.ravel(np.column_stack([starts, starts + sizes - width + 1]))
+    return mixed(h), starts, starts + sizes - width + 1
+
+
+def line_hashes(lines: list[str], width: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each non-empty normal line, its band keys)."""
+    h, starts, ends = hashed_shingles(lines, width)
+    edges = np.ravel(np.column_stack([starts, ends]))
     short = np.append((h >> np.uint64(32)).astype(np.uint32), np.uint32(0))
     keys = np.empty((len(lines), bands), dtype=np.uint64)
     for b in range(bands):
@@ -51,7 +58,8 @@ def line_hashes(lines: list[str], width: int, bands: int, rows: int) -> tuple[np
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
         keys[:, b] = key
     # Whole lines: shingles weighted by their place, with the length.
-    place = np.arange(n, dtype=np.uint64) - np.repeat(starts, sizes)[:n].astype(np.uint64)
+    owner = np.repeat(starts, np.diff(np.append(starts, len(h) + width - 1)))[: len(h)]
+    place = np.arange(len(h), dtype=np.uint64) - owner.astype(np.uint64)
     wide = np.append(mixed(h + place * np.uint64(0xC2B2AE3D27D4EB4F)), np.uint64(0))
     whole = mixed(np.add.reduceat(wide, edges)[::2] + np.array([len(x) for x in lines], dtype=np.uint64))
     return whole, keys
@@ -133,12 +141,74 @@ def _verified(pairs: DataFrame, lines: DataFrame, width: int, similarity: float)
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share: products of incidence columns, a stretch of the elements at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    often = times[number] > 1
+    owner, number = owner[often], column[number[often]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    step = 4096
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, step):
+        a, b = np.searchsorted(number, [low, low + step])
+        x = np.zeros((len(sets), step), dtype=np.float32)
+        x[owner[a:b], number[a:b] - low] = 1
+        out += x @ x.T
+    return out
+
+
+def bucket_links(hs: list[int], components: list[int], lines: list[str], width: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links that connect what of a bucket hangs together, beyond ``components``: exact Jaccard of all its lines at once."""
+    h, starts, ends = hashed_shingles(lines, width)
+    sets = [np.unique(h[a:b]) for a, b in zip(starts, ends)]
+    size = np.array([len(x) for x in sets])
+    both = _shared(sets)
+    alike = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-4
+    group = np.unique(components, return_inverse=True)[1]
+    for i in range(len(hs)):
+        for j in np.flatnonzero(alike[i] & (group != group[i])):
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                yield hs[i], hs[int(j)]
+
+
+def _open_links(large: DataFrame, labels: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): links between lines that share a bucket of ``large`` and are not connected yet.
+
+    Only buckets of several components are looked at. Their lines are compared in one task, without a
+    row per pair; a bucket of over BUCKET lines is dealt into parts, and each two parts meet in a task.
+    """
+    at = saved(large.join(small(labels.withColumnRenamed("id", "h")), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component")))
+    open_ = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
+    open_ = saved(open_.select("key", F.ceil(F.col("n") / F.lit(BUCKET)).cast("long").alias("parts")))
+    part = F.pmod(F.xxhash64("h"), F.col("parts"))
+    dealt = (
+        at.join(small(open_), "key")
+        .select("key", "h", "component", part.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"))
+        .select("key", "h", "component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    )
+    whole = dealt.join(texts.hint("merge"), "h").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "component", "line")).alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for bucket in batch.column(0):
+                columns = bucket.values
+                links.extend(bucket_links(*(columns.field(c).to_pylist() for c in range(3)), width, similarity))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return whole.select("lines").mapInArrow(run, "a long, b long").distinct()
+
+
 def line_components(docs: DataFrame, lines: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame | None:
     """(id, component) of the line hashes that are linked to another; None if there are none.
 
-    Candidates of a band are verified against its least line first; then those that share a band
-    and are still apart are verified with each other, so that no link of the band is lost and a
-    large group of near copies costs one pair per line and band.
+    Candidates of a band are verified against its least line first; then buckets that are still in
+    several components are compared whole, so that no link of a band is lost and a large group of near copies costs
+    one pair per line and band.
     """
     members = lines.select(F.explode("bands").alias("key"), "h")
     pairs, large = pairs_of_buckets(members, "key", "h")
@@ -156,11 +226,9 @@ def line_components(docs: DataFrame, lines: DataFrame, width: int = WIDTH, simil
     if links.isEmpty():
         return None
     labels = connected_components(links)
-    more = saved(cross_pairs(large, "key", "h", labels).join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+    more = saved(_open_links(large, labels, texts, width, similarity))
     if not more.isEmpty():
-        extra = saved(_verified(more, texts, width, similarity))
-        if not extra.isEmpty():
-            labels = connected_components(links.union(extra))
+        labels = connected_components(links.union(more))
     return labels
 
 
