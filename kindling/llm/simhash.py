@@ -47,13 +47,16 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def _hashed(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(t.as_py() or "") for t in texts], dtype=np.uint64).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, fp as a signed long) of each row, over the whole text; null is the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py() or "") for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _hashed(batch.column(1))], names=["id", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("body")).mapInArrow(run, f"id {kind}, fp long")
@@ -96,16 +99,16 @@ def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def spanning_links(posting: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(root, members) of each group that hangs together in a posting: a search from each unseen
+    """(fingerprint, those it links to) that span each group of a posting: a search from each unseen
     fingerprint over the unseen rest, in memory linear in the posting."""
     rest = posting
     while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        front = [root]
+        front, rest = [rest[0]], rest[1:]
         while front and len(rest):
-            hit = linked(rest, front.pop())
+            at = front.pop()
+            hit = linked(rest, at)
             if hit.any():
-                yield root, rest[hit]
+                yield at, rest[hit]
                 front.extend(rest[hit])
                 rest = rest[~hit]
 
@@ -123,8 +126,8 @@ def _links(postings: DataFrame) -> DataFrame:
             good = linked(flat[two], flat[two + 1])
             a, b = [flat[two][good]], [flat[two + 1][good]]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                for root, members in spanning_links(flat[s : s + n]):
-                    a.append(np.full(len(members), root, dtype=np.uint64))
+                for at, members in spanning_links(flat[s : s + n]):
+                    a.append(np.full(len(members), at, dtype=np.uint64))
                     b.append(members)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
@@ -166,6 +169,19 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def _grouped(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((id, fp) of each row, (fp, component, component_id) of each fingerprint)."""
+    rows = saved(fingerprints(docs, key, text))
+    classes = saved(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    links = saved(fingerprint_links(classes.select("fp")))
+    if links.isEmpty():
+        return rows, classes.select("fp", F.col("fp").alias("component"), F.col("first").alias("component_id"))
+    labels = connected_components(links)
+    at = saved(classes.join(small(labels.withColumnRenamed("id", "fp")), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
+    least = saved(at.groupBy("component").agg(F.min("first").alias("component_id")))
+    return rows, saved(at.join(small(least), "component").select("fp", "component", "component_id"))
+
+
 def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, fingerprint, component_id) for each row of ``docs``.
 
@@ -175,16 +191,7 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     keys are null. Repeated rows each come out, in one component. An empty table gives no rows;
     other columns are not read. Equal fingerprints are one node, however many documents have them.
     """
-    rows = saved(fingerprints(docs, key, text))
-    classes = saved(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    links = saved(fingerprint_links(classes.select("fp")))
-    if links.isEmpty():
-        groups = classes.select("fp", F.col("first").alias("component_id"))
-    else:
-        labels = connected_components(links)
-        at = saved(classes.join(small(labels.withColumnRenamed("id", "fp")), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
-        least = saved(at.groupBy("component").agg(F.min("first").alias("component_id")))
-        groups = saved(at.join(small(least), "component").select("fp", "component_id"))
+    rows, groups = _grouped(docs, key, text)
     return rows.join(small(groups), "fp").select(F.col("id").alias(key), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -193,14 +200,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     A component of null keys only keeps one of its rows. All columns are kept as they are.
     """
-    least = F.lit(-(1 << 63))
-    keep = (
-        near_documents(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id")))
-        .groupBy(F.coalesce(F.col(key).cast("long"), least).alias("__id")).agg(F.count("*").alias("__n"))
+    rows, groups = _grouped(docs, key, text)
+    keep = saved(
+        rows.join(small(groups), "fp").where("id = component_id")
+        .groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n"), F.min("component").alias("__component"))
     )
-    keep = saved(keep)
-    stay = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), least)).join(small(keep), F.col("__key") == F.col("__id"))
-    once = stay.where("__n = 1").drop("__key", "__id", "__n")
-    if keep.where("__n > 1").isEmpty():
-        return once
-    return once.unionByName(stay.where("__n > 1").dropDuplicates(["__key"]).drop("__key", "__id", "__n"))
+    stay = docs.join(small(keep), F.col(key) == F.col("__id"))
+    out = stay.where("__n = 1").drop("__id", "__n", "__component")
+    if not keep.where("__n > 1").isEmpty():
+        out = out.unionByName(stay.where("__n > 1").dropDuplicates(["__id"]).drop("__id", "__n", "__component"))
+    if rows.where("id is null").isEmpty():
+        return out
+    hashed = F.arrow_udf(_hashed, "long")
+    nameless = docs.where(F.col(key).isNull()).withColumn("__fp", hashed(F.col(text).cast("string")))
+    alone = groups.where("component_id is null").select(F.col("fp").alias("__id"), F.col("component").alias("__component"))
+    return out.unionByName(nameless.join(alone, F.col("__fp") == F.col("__id")).dropDuplicates(["__component"]).drop("__id", "__fp", "__component"))

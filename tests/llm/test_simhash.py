@@ -1,0 +1,95 @@
+import random
+
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from kindling.llm import simhash
+from kindling.llm.queries import op6_simhash
+
+
+def by_definition(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in low).split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def components(fps):
+    """Least number reachable over links, by all pairs."""
+    fps = np.array(fps, dtype=np.uint64)
+    near, comp = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, np.arange(len(fps))
+    while True:
+        new = np.array([comp[row].min() for row in near])
+        if (new == comp).all():
+            return comp.tolist()
+        comp = new
+
+
+def test_fingerprint_by_definition():
+    rng = random.Random(1)
+    texts = ["", " \t", "One", "one TWO", "É é \x0bx\x0c y z", "a b c a b c a b c", " ".join(rng.choice("ab cd ef".split()) for _ in range(500))]
+    assert [simhash.fingerprint(t) for t in texts] == [by_definition(t) for t in texts]
+
+
+def test_every_near_pair_shares_a_posting():
+    masks = simhash.index_masks()
+    assert [len(m) for m in masks] == [14, 56, 224, 896]
+    rng = random.Random(2)
+    for _ in range(3000):
+        diff = sum({1 << rng.randrange(64) for _ in range(3)})
+        for level in masks:
+            assert any(diff & m == 0 for m in level)
+    assert all(bin(~m & (1 << 64) - 1).count("1") <= 14 for m in masks[-1])
+
+
+def clusters(n, seed):
+    rng = random.Random(seed)
+    out = set()
+    for _ in range(6):
+        x = rng.getrandbits(64)
+        for _ in range(n):
+            x ^= 1 << rng.randrange(64)
+            if rng.random() < 0.5:
+                x ^= 1 << rng.randrange(64)
+            out.add(x)
+    return sorted(out | {rng.getrandbits(64) for _ in range(200)})
+
+
+def test_links_connect_what_all_pairs_connect(spark):
+    fps = clusters(60, 3)
+    want = components(fps)
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long").repartition(4)
+    for posting in (512, 4):  # 4: postings are split to the last level
+        up = list(range(len(fps)))
+        at = {simhash._signed(f): i for i, f in enumerate(fps)}
+        for r in simhash.fingerprint_links(df, posting).collect():
+            assert bin(fps[at[r.a]] ^ fps[at[r.b]]).count("1") <= 3
+            old, new = max(up[at[r.a]], up[at[r.b]]), min(up[at[r.a]], up[at[r.b]])
+            up = [new if x == old else x for x in up]
+        assert up == want
+
+
+def test_query_against_all_pairs(spark, sf):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in op6_simhash(spark, sf).collect()}
+    fps = [by_definition(t) for _, t in rows]
+    comp = components(fps)
+    assert got == {k: (f"{fp:016x}", rows[c][0]) for (k, _), fp, c in zip(rows, fps, comp)}
+
+
+def test_odd_documents(odd, empty):
+    out = simhash.near_documents(odd)
+    rows = [(r.doc_id, r.fingerprint, r.component_id) for r in out.collect()]
+    assert len(rows) == 13 and out.columns == ["doc_id", "fingerprint", "component_id"]
+    assert {r for r in rows if r[1] == "0" * 16} == {(k, "0" * 16, 1) for k in (1, 2, 3, None)}
+    assert [r[2] for r in rows if r[0] in (5, 6)] == [5, 5, 5]
+    kept = sorted(r.doc_id if r.doc_id is not None else 0 for r in simhash.keep_one(odd).collect())
+    assert kept == [-9, 0, 1, 4, 5, 7, 8, 1 << 60]
+    assert simhash.near_documents(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.keep_one(odd.where("doc_id is null")).count() == 2
+    assert set(simhash.keep_one(odd).columns) == set(odd.columns)
+    assert simhash.keep_one(odd.withColumn("text", F.lit("all the same"))).count() == 1
