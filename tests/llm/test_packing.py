@@ -1,0 +1,101 @@
+import random
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from kindling.llm import packing
+from kindling.llm.queries import op10_packing
+
+
+def check(rows, capacities):
+    """Every bin holds its pieces side by side and is the least permitted that does; returns (filled, places)."""
+    bins = {}
+    for r in rows:
+        if r.n_tokens:
+            bins.setdefault(r.bin_id, []).append(r)
+    for pieces in bins.values():
+        pieces.sort(key=lambda r: r.bin_offset)
+        at = 0
+        for p in pieces:
+            assert p.bin_offset == at
+            at += p.n_tokens
+        assert all(p.bin_used == at for p in pieces)
+        assert all(p.bin_capacity == min(c for c in capacities if c >= at) for p in pieces)
+    return sum(p[0].bin_used for p in bins.values()), sum(p[0].bin_capacity for p in bins.values())
+
+
+def slots(counts, plan):
+    """Where each piece of the plan goes: (length, number) -> (bin, offset)."""
+    out = {}
+    for e in range(len(plan["length"])):
+        g, each, length = plan["group"][e], int(plan["each"][e]), int(plan["length"][e])
+        for i in range(int(plan["bins"][g]) * each):
+            out[length, int(plan["first"][e]) + i] = (int(plan["start"][g]) + i // each, int(plan["offset"][e]) + i % each * length)
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=15))
+def test_plan_places_every_piece_once(counts):
+    capacities = (7, 16, 40)
+    plan = packing.plan_bins(counts, capacities)
+    placed = slots(counts, plan)
+    assert set(placed) == {(length, i) for length, n in counts.items() for i in range(n)}
+    spans = {}
+    for (length, _), (b, offset) in placed.items():
+        spans.setdefault(b, []).append((offset, offset + length))
+    for b, x in spans.items():
+        x.sort()
+        assert x[0][0] == 0 and all(p[1] == q[0] for p, q in zip(x, x[1:])) and x[-1][1] <= 40
+    assert len(spans) == plan["bins"].sum()
+
+
+def one_by_one(lengths, capacity):
+    """Best-fit decreasing with one capacity, a piece at a time: number of bins."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fit = [i for i, r in enumerate(room) if r >= n]
+        i = min(fit, key=lambda i: room[i], default=None)
+        if i is None:
+            room.append(capacity)
+            i = len(room) - 1
+        room[i] -= n
+    return len(room)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_counts_pack_as_single_pieces_do(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([rng.randint(1, 64), rng.randint(1, 10), 22]) for _ in range(400)]
+    assert packing.plan_bins(dict(Counter(lengths)), (64,))["bins"].sum() == one_by_one(lengths, 64)
+
+
+def test_capacities_are_chosen_by_cost():
+    assert set(packing.plan_bins({100: 10}, (128, 1024), lambda c: c * c)["size"]) == {128}
+    assert set(packing.plan_bins({100: 100}, (128, 1024), lambda c: 1)["size"]) == {1024}
+    with pytest.raises(ValueError, match="longer than"):
+        packing.plan_bins({9: 1}, (8,))
+
+
+def test_odd_documents(odd, empty):
+    out = packing.pack(odd)
+    rows = out.collect()
+    check(rows, packing.CAPACITIES)
+    assert sum(r.n_tokens == 0 and r.bin_id is None for r in rows) == 4
+    long_ = sorted((r.piece, r.start, r.n_tokens) for r in rows if r.doc_id == 7)
+    assert sum(n for *_, n in long_) == 60_000 and [s for _, s, _ in long_] == [i * 2048 for i in range(30)]
+    assert sum(r.doc_id == 5 for r in rows) == 2
+    assert packing.pack(empty).count() == 0 and packing.pack(odd.where("doc_id = 1")).first().bin_id is None
+
+
+def test_query(spark, sf):
+    docs = {r.doc_id: len((r.text or "").split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op10_packing(spark, sf).collect()
+    got = Counter()
+    for r in rows:
+        got[r.doc_id] += r.n_tokens
+    assert dict(got) == docs
+    filled, places = check(rows, packing.CAPACITIES)
+    assert filled == sum(docs.values()) and filled / places > 0.97

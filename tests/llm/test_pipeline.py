@@ -1,0 +1,43 @@
+import corpus_pipeline as cp
+from pyspark.sql import functions as F
+
+from kindling.llm import common, toxicity
+from kindling.llm.queries import op1_toxicity
+
+
+def test_stages_keep_what_they_should(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
+    kept = [docs]
+    for _, stage in cp.STAGES:
+        kept.append(common.saved(stage(spark, kept[-1], sf)))
+    counts = [x.select("doc_id").distinct().count() for x in kept]
+    assert all(x.columns == columns for x in kept[:-1])
+    assert counts[0] >= counts[1] == counts[2] >= counts[3] >= counts[4] == counts[5]
+    rejected = {r.doc_id for r in op1_toxicity(spark, sf).where("predicted = 1").collect()}
+    assert {r.doc_id for r in kept[1].select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - rejected
+    assert kept[3].where("text <> ''").select("text").distinct().count() == kept[3].where("text <> ''").count()
+    assert kept[2].where(F.col("n_chars") != F.length("text")).count() == 0
+    assert cp.run(spark, sf).count() == kept[-1].count()
+
+
+def test_odd_documents(spark, odd, empty, sf):
+    for docs in (odd, empty):
+        at, columns = docs, docs.columns
+        for name, stage in cp.STAGES:
+            at = stage(spark, at, sf)
+            if name != "packing":
+                assert at.columns == columns
+        assert (at.count() == 0) == (docs is empty)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(100, 180)] + [(5, 1), (5, 9), (9, 5), (300, 300), (7, 8), (None, 3)] + [(1000, x) for x in range(1001, 1100)]
+    got = {r.id: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 100 for i in range(100, 181)} | {1: 1, 5: 1, 9: 1, 7: 7, 8: 7} | {i: 1000 for i in range(1000, 1100)}
+    assert got == want
+
+
+def test_thresholds_are_the_contract():
+    assert toxicity.THRESHOLD == 0.3
