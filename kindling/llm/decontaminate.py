@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import blocks, mixed, span_hashes
+from kindling.llm.common import HashTable, blocks, mixed, span_hashes, word_spans
 
 #: Words of a shingle; windows at this weighted similarity to an item contaminate a document.
 WORDS, SIMILARITY = 5, 0.8
@@ -22,21 +22,14 @@ RADIUS = 15
 #: Items (and characters of items) that tasks are sent at once; a larger benchmark takes several passes.
 MAX_ITEMS, MAX_CHARS = 20_000, 20_000_000
 
-_WORD = np.zeros(256, dtype=bool)
-_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of all texts, first word of each text and the total). Words are runs of
     ASCII letters and digits and of any other letters and signs beyond ASCII, in lower case."""
-    parts = [t.lower().encode("utf-8", "surrogatepass") + b"\n" for t in texts]
-    data = np.frombuffer(b"\n" + b"".join(parts), dtype=np.uint8)
-    inside = _WORD[data]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    starts, ends = edge[::2], edge[1::2]
-    begin = np.concatenate([[1], 1 + np.cumsum([len(p) for p in parts])])
-    return span_hashes(data, starts, ends), np.searchsorted(starts, begin)
+    data, starts, ends, first, _ = word_spans([t.lower().encode("utf-8", "surrogatepass") for t in texts])
+    return span_hashes(data, starts, ends), first
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -45,8 +38,10 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     h = np.zeros(n, dtype=np.uint64)
+    turned = np.empty(n, dtype=np.uint64)
     for j in range(width):
-        h += words[j : j + n] * _MULTIPLIERS[j]
+        np.multiply(words[j : j + n], _MULTIPLIERS[j], out=turned)
+        h += turned
     return mixed(h)
 
 
@@ -70,13 +65,11 @@ class Items:
             self.bags.append(bag)
         # A shingle weighs less the more items share it.
         self.weight = {(w, h): 1.0 / len(i) for (w, h), i in holders.items()}
-        self.sorted = {}
+        self.known = {}
         for w in sorted(set(self.widths)):
             hs = np.array(sorted(h for x, h in holders if x == w), dtype=np.uint64)
-            table = np.zeros(1 << 20, dtype=bool)
-            table[hs & np.uint64((1 << 20) - 1)] = True
             sizes = [tuple(sorted({self.sizes[i] for i in holders[w, int(h)]})) for h in hs]
-            self.sorted[w] = (hs, table, np.array([self.weight[w, int(h)] for h in hs]), sizes)
+            self.known[w] = (HashTable(hs), np.array([self.weight[w, int(h)] for h in hs]), sizes)
         self.prints = np.array([self._print_of(i) for i in range(len(self.ids))], dtype=np.uint64)
         self.blocks = [[[] for _ in range(256)] for _ in range(8)]
         for i, fp in enumerate(self.prints.tolist()):
@@ -123,12 +116,9 @@ def matches(texts: list[str], items: Items, similarity: float = SIMILARITY) -> l
     """
     out: list[dict[int, float]] = [{} for _ in texts]
     words, first = word_hashes(texts)
-    for width, (known, table, weights, sizes_of) in items.sorted.items():
+    for width, (known, weights, sizes_of) in items.known.items():
         hs = shingle_hashes(words, width)
-        maybe = np.flatnonzero(table[hs & np.uint64((1 << 20) - 1)])
-        at = np.searchsorted(known, hs[maybe])
-        real = known[np.minimum(at, len(known) - 1)] == hs[maybe]
-        hits, grams = maybe[real], at[real]
+        hits, grams = known.find(hs)
         owner = np.searchsorted(first, hits, side="right") - 1
         fits = hits + width <= first[owner + 1]
         hits, grams, owner = hits[fits], grams[fits], owner[fits]
