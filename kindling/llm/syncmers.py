@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.llm.common import BROADCAST_ROWS, let, saved
+from kindling.llm.common import let, saved, small
 
 #: Words in a k-mer, words in an inner s-mer.
 K, S = 8, 2
@@ -68,19 +68,21 @@ def _block(rows: DataFrame, key: str) -> Column:
     return at.cast("long") * F.lit(1 << 40) + inner
 
 
-def with_next(rows: DataFrame, key: str, carry: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, key: str, carry: list[str], derive: dict[str, Column]) -> DataFrame:
     """``rows`` with ``next_*`` of each column in ``carry``: the row that follows by descending
-    ``key`` (a long, not null), then by ``tie``; the first row after the last.
+    ``key`` (a long, not null), then by ``tie``; the first row after the last. ``derive``: columns to
+    add, and to carry, that are made after rows have moved to their block, so that they do not move.
 
     Rows are ordered inside blocks of adjacent keys; the last row of a block takes the first row
     of the block below, found on one small row per block, itself in blocks.
     """
     rows = rows.withColumn("block", _block(rows.select(key), key))
     heads = saved(rows.groupBy("block").agg(F.max(key).alias(key)))
-    few = heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    there = rows.drop("block").join(small(heads), key).select("block", F.struct("tie", *carry).alias("row"))
+    firsts = there.groupBy("block").agg(F.min("row").alias("row")).select("block", *[F.col(f"row.{c}").alias(c) for c in carry])
+    carry = [*carry, *derive]
     entry = F.struct(*[F.col(c).alias(c) for c in carry])
-    there = rows.drop("block").join(F.broadcast(heads) if few else heads.hint("merge"), key)
-    firsts = there.groupBy("block").agg(F.min_by(entry, "tie").alias("first"))
+    firsts = firsts.withColumns(derive).select("block", entry.alias("first"))
     names = heads.select("block", F.floor(F.col("block") / F.lit(BLOCK_BLOCKS)).alias("upper"))
     tops = names.groupBy("upper").agg(F.max("block").alias("top"))
     chain = Window.orderBy(F.col("upper").desc())  # one row for each half million documents
@@ -92,6 +94,7 @@ def with_next(rows: DataFrame, key: str, carry: list[str]) -> DataFrame:
     )
     bridge = steps.join(firsts.hint("merge"), "block").select(F.col("at").alias("block"), "first")
     inside = Window.partitionBy("block").orderBy(F.col(key).desc(), F.col("tie"))
+    rows = rows.repartition("block").withColumns(derive)
     joined = (
         rows.withColumn("following", F.lead(entry).over(inside))
         .join(bridge.hint("merge"), "block")
@@ -112,8 +115,8 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("rank"), body.alias("body"))
-    rows = rows.select("id", "rank", F.xxhash64("body").alias("tie"), "body", syncmers(F.col("body"), k, s).alias("anchors"))
-    rows = with_next(rows, "rank", ["body", "anchors"])
+    rows = rows.select("id", "rank", F.xxhash64("body").alias("tie"), "body")
+    rows = with_next(rows, "rank", ["body"], {"anchors": syncmers(F.col("body"), k, s)})
     n = F.length("body")
     m = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("body"), F.lit(1), n - m), F.substring(F.col("next_body"), F.lit(1), m))

@@ -1,0 +1,69 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from kindling.llm import syncmers
+from kindling.llm.queries import op4_syncmers
+
+
+def edited(rows):
+    """(doc_id, n_chars, digest of the edited text) by the definition."""
+    order = sorted(rows, key=lambda r: r[0], reverse=True)
+    out = {}
+    for i, (k, t) in enumerate(order):
+        after, m = order[(i + 1) % len(order)][1] or "", len(t or "") // 3
+        t = t or ""
+        out[k] = (len(t), hashlib.sha256((t[: len(t) - m] + after[:m]).encode()).hexdigest())
+    return out
+
+
+def test_edits_over_any_ids(spark):
+    rows = [(i * i * 7919 % 100_003 * (1 if i % 3 else 1 << 40), f"text number {i} " * (i % 5)) for i in range(1, 700)]
+    rows = list(dict(rows).items())
+    out = syncmers.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in out.collect()} == edited(rows)
+
+
+def test_query_edits(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    out = op4_syncmers(spark, sf).collect()
+    assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in out} == edited(rows)
+    long_ = [r for r in out if r.n_chars > 500]
+    assert sum(r.near_edited > 0.3 for r in long_) > 0.95 * len(long_) and sum(r.near_next < 0.1 for r in long_) > 0.95 * len(long_)
+    by_text = {}
+    for r in out:
+        by_text.setdefault(dict(rows)[r.doc_id], set()).add(r.fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_closed_syncmers_by_definition(spark):
+    text = " ".join(f"w{i * i % 41}" for i in range(300))
+    k, s = syncmers.K, syncmers.S
+    words = text.split()
+    df = spark.createDataFrame([(text,)], "text string")
+    inner = df.select(F.explode(F.array(*[F.xxhash64(*[F.lit(w) for w in words[i : i + s]]) for i in range(len(words) - s + 1)])).alias("h")).collect()
+    m, w = [r.h for r in inner], k - s + 1
+    places = [i for i in range(len(words) - k + 1) if min(m[i : i + w]) in (m[i], m[i + w - 1])]
+    got = df.select(syncmers.syncmers(F.col("text")).alias("a")).first().a
+    assert len(got) == len(places)
+    # Context-free: the anchors of a passage are found again inside another text.
+    part = df.select(F.lit("other words here " + " ".join(words[50:200]) + " and more").alias("text")).select(syncmers.syncmers(F.col("text")).alias("a")).first().a
+    inside = [a for a, i in zip(got, places) if 50 <= i and i + k <= 200]
+    assert set(inside) <= set(part)
+
+
+def test_odd_documents(odd, empty):
+    out = syncmers.fingerprint_documents(odd)
+    rows = {(r.doc_id, r.n_chars): r for r in out.collect()}
+    assert out.count() == 13
+    assert rows[1, 0].fingerprint == "" == rows[2, 0].fingerprint and rows[4, 3].fingerprint.count(",") == 0
+    assert len(rows[4, 3].fingerprint) == 16
+    assert syncmers.fingerprint_documents(empty).count() == 0
+    alone = odd.where("doc_id = 4")
+    only = syncmers.fingerprint_documents(alone).first()
+    assert only.near_next == 1.0 and only.edited_sha256 == hashlib.sha256(b"ono").hexdigest()
+
+
+def test_no_python_in_the_plan(odd):
+    plan = syncmers.fingerprint_documents(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
