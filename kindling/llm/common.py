@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that a task works on at once; its temporary arrays are a few dozen times this.
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 150_000
 #: Rows of two longs that a join may broadcast once they are counted (about 30 MB).
 BROADCAST_ROWS = 1_000_000
 
@@ -56,10 +56,10 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for a broadcast join if its rows, now counted, are within BROADCAST_ROWS;
-    beyond that for a shuffled join that splits hot keys. ``df`` should be a written table."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+def small(df: DataFrame, wide: int = 1) -> DataFrame:
+    """``df`` marked for a broadcast join if its rows, now counted, are within BROADCAST_ROWS (a ``wide``-th
+    of it for wider rows); beyond that for a shuffled join that splits hot keys. ``df`` should be a written table."""
+    return F.broadcast(df) if df.count() * wide <= BROADCAST_ROWS else df.hint("merge")
 
 
 def pairs_of_buckets(members: DataFrame, key: str, node: str) -> tuple[DataFrame, DataFrame]:
@@ -95,41 +95,44 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels: DataFrame | None = None
     for _ in range(max_rounds):
+        if edges.isEmpty():
+            return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         up = saved(
             edges.select("b", "a").union(edges.select(F.col("a").alias("b"), "a"))
             .groupBy("b").agg(F.min("a").alias("p")).select(F.col("b").alias("n"), "p")
         )
+        # Roots of a round are counted once: nodes fall from round to round, and so do the joins' sides.
+        side = F.broadcast if up.count() <= BROADCAST_ROWS else lambda df: df.hint("merge")
         for _ in range(2):
-            higher = up.select(F.col("n").alias("p"), F.col("p").alias("q"))
-            up = up.join(higher.hint("merge"), "p").select("n", F.col("q").alias("p"))
+            up = up.join(side(up.select(F.col("n").alias("p"), F.col("p").alias("q"))), "p").select("n", F.col("q").alias("p"))
         up = saved(up)
         if labels is None:
             labels = up.select(F.col("n").alias("id"), F.col("p").alias("component"))
         else:
             labels = saved(
-                labels.join(up.withColumnRenamed("n", "component").hint("merge"), "component", "left")
+                labels.join(side(up.withColumnRenamed("n", "component")), "component", "left")
                 .select("id", F.coalesce("p", "component").alias("component"))
             )
-        moved = (
-            edges.join(up.select(F.col("n").alias("a"), F.col("p").alias("pa")).hint("merge"), "a")
-            .join(up.select(F.col("n").alias("b"), F.col("p").alias("pb")).hint("merge"), "b")
+        edges = saved(
+            edges.join(side(up.select(F.col("n").alias("a"), F.col("p").alias("pa"))), "a")
+            .join(side(up.select(F.col("n").alias("b"), F.col("p").alias("pb"))), "b")
             .where("pa <> pb")
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
             .distinct()
-        )
-        edges = saved(moved)
-        if edges.isEmpty():
-            return labels
+        )
     raise RuntimeError(f"components are not complete after {max_rounds} rounds")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each input bit moves about half of the output bits."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    y = x >> np.uint64(32)
+    y ^= x
+    shifted = np.empty_like(y)  # large temporaries cost more than the arithmetic
+    for _ in range(2):
+        y *= np.uint64(0xD6E8FEB86659FD93)
+        np.right_shift(y, np.uint64(32), out=shifted)
+        y ^= shifted
+    return y
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -154,7 +157,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, len(data)), out=sums[1:])
+    part = sums[1:]
+    part[:] = data
+    part += np.uint64(1)
+    part *= _powers("up", _BASE, len(data))
+    np.cumsum(part, out=part)
     return mixed((sums[ends] - sums[starts]) * _powers("down", _INVERSE, len(data) + 1)[starts])
 
 

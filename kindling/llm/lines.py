@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +20,10 @@ BANDS, ROWS = 10, 4
 #: Lines of a bucket that are compared in one task; a task holds two such parts.
 BUCKET = 512
 
-_RANDOM = np.random.default_rng(20)
-_FACTORS = _RANDOM.integers(0, 1 << 32, 512, dtype=np.uint32) | np.uint32(1)
-_ADDENDS = _RANDOM.integers(0, 1 << 32, 512, dtype=np.uint32)
+#: Characters hashed at once: their arrays stay in a core's cache.
+LINE_CHARS = 60_000
+#: Odd factors turn the 32-bit hashes of a line's shingles into as many orders.
+_FACTORS = np.random.default_rng(20).integers(0, 1 << 32, 512, dtype=np.uint32) | np.uint32(1)
 
 
 def normal(line: str) -> str:
@@ -29,40 +31,49 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def _windows(points: np.ndarray, width: int) -> np.ndarray:
+    """A polynomial hash of the ``width`` characters from each on, from those of half the width."""
+    if width == 1:
+        return points
+    half = width // 2
+    part = _windows(points, half)
+    n = len(points) - width + 1
+    h = part[:n] * np.uint64(pow(0x9E3779B97F4A7C15, half, 1 << 64))
+    h += part[half : half + n]
+    if width % 2:
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += points[width - 1 :]
+    return h
+
+
 def hashed_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of the shingle from each character on, first and one-past-last of each line; a short line is one shingle)."""
     padded = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     sizes = np.array([len(x) for x in padded])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    # The shingle at i, by Horner's rule over its characters.
-    n = len(points) - width + 1
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(width):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += points[j : j + n]
-    return mixed(h), starts, starts + sizes - width + 1
+    return _windows(points, width), starts, starts + sizes - width + 1
 
 
 def line_hashes(lines: list[str], width: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each non-empty normal line, its band keys)."""
     h, starts, ends = hashed_shingles(lines, width)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h >>= np.uint64(32)
+    short = np.append(h.astype(np.uint32), np.uint32(0))
     edges = np.ravel(np.column_stack([starts, ends]))
-    short = np.append((h >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+    turned = np.empty_like(short)
     keys = np.empty((len(lines), bands), dtype=np.uint64)
     for b in range(bands):
         key = np.full(len(lines), b + 1, dtype=np.uint64)
         for r in range(rows):
-            k = b * rows + r
-            least = np.minimum.reduceat(short * _FACTORS[k] + _ADDENDS[k], edges)[::2]
+            np.multiply(short, _FACTORS[b * rows + r], out=turned)
+            least = np.minimum.reduceat(turned, edges)[::2]
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
         keys[:, b] = key
-    # Whole lines: shingles weighted by their place, with the length.
-    owner = np.repeat(starts, np.diff(np.append(starts, len(h) + width - 1)))[: len(h)]
-    place = np.arange(len(h), dtype=np.uint64) - owner.astype(np.uint64)
-    wide = np.append(mixed(h + place * np.uint64(0xC2B2AE3D27D4EB4F)), np.uint64(0))
-    whole = mixed(np.add.reduceat(wide, edges)[::2] + np.array([len(x) for x in lines], dtype=np.uint64))
-    return whole, keys
+    whole = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines]
+    return np.array(whole, dtype=np.uint64), keys
 
 
 def _texts(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -76,7 +87,7 @@ def hashed_lines(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for first, texts in blocks(batch.column(1)):
+            for first, texts in blocks(batch.column(1), LINE_CHARS):
                 lines, owner, number = [], [], []
                 for i, text in enumerate(texts):
                     for j, line in enumerate(text.split("\n")):
@@ -109,7 +120,7 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         texts.append(normal(parts[x["line_no"]]))
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(texts, pa.string())], names=["h", "line"])
 
-    return docs.join(small(per_doc), "doc").select("body", "lines").mapInArrow(run, "h long, line string")
+    return docs.join(small(per_doc, 4), "doc").select("body", "lines").mapInArrow(run, "h long, line string")
 
 
 def jaccard(a: set, b: set) -> float:
@@ -141,8 +152,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, width: int, similarity: float)
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two of the sets share: products of incidence columns, a stretch of the elements at a time."""
+def _shared(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+    """How many elements ``some`` of the sets share with each: products of incidence columns, a stretch of the elements at a time."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(times > 1) - 1
@@ -150,29 +161,37 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     owner, number = owner[often], column[number[often]]
     order = np.argsort(number, kind="stable")
     owner, number = owner[order], number[order]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    out = np.zeros((len(some), len(sets)), dtype=np.float32)
     step = 4096
     for low in range(0, int(number[-1]) + 1 if len(number) else 0, step):
         a, b = np.searchsorted(number, [low, low + step])
         x = np.zeros((len(sets), step), dtype=np.float32)
         x[owner[a:b], number[a:b] - low] = 1
-        out += x @ x.T
+        out += x[some] @ x.T
     return out
 
 
 def bucket_links(hs: list[int], components: list[int], lines: list[str], width: int, similarity: float) -> Iterator[tuple[int, int]]:
     """Links that connect what of a bucket hangs together, beyond ``components``: exact Jaccard of all its lines at once."""
+    if len(hs) <= 6:
+        texts = [shingles(x, width) for x in lines]
+        for j in range(1, len(hs)):
+            for i in range(j):
+                if components[i] != components[j] and min(len(texts[i]), len(texts[j])) >= similarity * max(len(texts[i]), len(texts[j])) and jaccard(texts[i], texts[j]) >= similarity:
+                    yield hs[i], hs[j]
+        return
     h, starts, ends = hashed_shingles(lines, width)
     sets = [np.unique(h[a:b]) for a, b in zip(starts, ends)]
     size = np.array([len(x) for x in sets])
-    both = _shared(sets)
-    alike = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-4
-    group = np.unique(components, return_inverse=True)[1]
-    for i in range(len(hs)):
-        for j in np.flatnonzero(alike[i] & (group != group[i])):
+    group, times = np.unique(components, return_inverse=True, return_counts=True)[1:]
+    some = np.flatnonzero(group != times.argmax())  # the largest component is not compared with itself
+    both = _shared(sets, some)
+    alike = both >= similarity * (size[some][:, None] + size[None, :] - both) - 1e-4
+    for row, i in zip(alike, some.tolist()):
+        for j in np.flatnonzero(row & (group != group[i])).tolist():
             if group[j] != group[i]:
                 group[group == group[j]] = group[i]
-                yield hs[i], hs[int(j)]
+                yield hs[i], hs[j]
 
 
 def _open_links(large: DataFrame, labels: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -270,6 +289,6 @@ def dedup_lines(
     gone = dropped_lines(_texts(docs, key, text), width, similarity, bands, rows)
     gone = gone.select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped"))
     out = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
-    out = out.join(small(gone), F.col("__key") == F.col("__doc"), "left")
+    out = out.join(small(gone, 4), F.col("__key") == F.col("__doc"), "left")
     out = out.withColumn(text, kept_text(F.col(text), F.col("__dropped"))).withColumn("dropped_lines", F.col("__dropped"))
     return out.drop("__key", "__doc", "__dropped")
