@@ -20,6 +20,8 @@ TRAIN_DOCS, TRAIN_CHARS = 1000, 5_000_000
 THRESHOLD, SPAN_MARGINAL = 0.3, 0.5
 #: A feature is a cue if its documents lean to toxic by this log-likelihood ratio and this lift; cues kept at most.
 MIN_RATIO, MIN_LIFT, MAX_CUES = 18.0, 5.0, 4096
+#: Words that the fit takes through the chain at once; its arrays are a few hundred bytes a word.
+RUN_WORDS = 20_000
 #: Characters of word prefixes that are features besides the word.
 PREFIXES = (4, 5, 6)
 
@@ -97,6 +99,19 @@ def forward_backward(score: np.ndarray, first: np.ndarray, transition: np.ndarra
     return gamma, pair
 
 
+def _chain(score: np.ndarray, first: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`forward_backward` a run of texts at a time: (marginals, expected pairs of states in all)."""
+    gamma, pairs = np.empty(len(score)), np.zeros(4)
+    lo = 0
+    while lo < len(first) - 1:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + RUN_WORDS, side="right")) - 1)
+        a, b = first[lo], first[hi]
+        gamma[a:b], pair = forward_backward(score[a:b], first[lo : hi + 1] - a, transition)
+        pairs += pair.sum(axis=1)
+        lo = hi
+    return gamma, pairs
+
+
 @dataclass
 class Model:
     """Cues (feature hashes and weights), bias, transitions, and the logistic over a document's marginals."""
@@ -222,9 +237,9 @@ def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float] | None
     for _ in range(rounds):
         score = np.full(len(y), model.bias)
         np.add.at(score, place, model.weights[number])
-        gamma, pair = forward_backward(score, first, model.transition)
+        gamma, pairs = _chain(score, first, model.transition)
         error = y - gamma
-        gradient = np.concatenate([np.bincount(number, error[place], len(cues)), [error.sum()], seen_pairs - pair.sum(axis=1)])
+        gradient = np.concatenate([np.bincount(number, error[place], len(cues)), [error.sum()], seen_pairs - pairs])
         now = np.concatenate([model.weights, [model.bias], model.transition.ravel()])
         gradient = gradient / np.sqrt(len(texts)) - pull * now
         squares += gradient**2
@@ -233,7 +248,7 @@ def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float] | None
     # Logistic over the marginals' measures, documents weighted to the classes' true shares.
     score = np.full(len(y), model.bias)
     np.add.at(score, place, model.weights[number])
-    x = model.measures(forward_backward(score, first, model.transition)[0], first)
+    x = model.measures(_chain(score, first, model.transition)[0], first)
     w = np.where(labels == 1, prior / n1, (1 - prior) / n0) * len(labels)
     theta = np.zeros(4)
     for _ in range(25):
