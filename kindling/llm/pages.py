@@ -4,8 +4,10 @@ node is kept below one that is dropped."""
 from __future__ import annotations
 
 import html as entities
+import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +19,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindling.llm.common import blocks
+
 #: Pages that the trees are fitted on at most; chosen by a hash of the address.
 TRAIN_PAGES = 300
 #: Boosting rounds and depth of a tree.
@@ -47,6 +51,11 @@ _WORDS = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""",
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+_TAG = {t: i for i, t in enumerate(TAGS)} | {f"h{i}": TAGS.index("h") for i in range(1, 7)}
+#: Columns of the features that are lengths or counts.
+_SKEWED = [1, 2, 5, 10, 12]
+
+
 @dataclass(slots=True)
 class Node:
     """A block-level element. Text outside tags and inside inline ones belongs to the nearest."""
@@ -139,38 +148,47 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, out
 
 
-def features(nodes: list[Node], main_cues: bool = True, side: frozenset[int] = frozenset()) -> np.ndarray:
-    """One row per node: tag, depth, subtree text and density, links, cues of its attributes and of those
+def measures(nodes: list[Node], main_cues: bool = True, side: frozenset[int] = frozenset()) -> list[tuple]:
+    """What :func:`features` is made of, one tuple per node: tag, depth, subtree text and density, links, cues of its attributes and of those
     around it, and how it stands among its siblings. ``side`` nodes count as cued against."""
     n = len(nodes)
-    text, links, tags, blocks_ = (np.zeros(n) for _ in range(4))
+    text, links, tags, blocks_ = [0] * n, [0] * n, [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
         node = nodes[i]
         text[i] += node.text
         links[i] += min(node.links, node.text)
         tags[i] += 1 + node.inner_tags
         blocks_[i] += node.text > 0
-        if node.parent >= 0:
-            for x in (text, links, tags, blocks_):
-                x[node.parent] += x[i]
-    own_main = np.array([main_cues and (x.tag in MAIN_TAGS or bool(x.words & MAIN_WORDS)) for x in nodes], dtype=float)
-    own_side = np.array([x.tag in SIDE_TAGS or bool(x.words & SIDE_WORDS) or i in side for i, x in enumerate(nodes)], dtype=float)
-    up_main, up_side = own_main.copy(), own_side.copy()
-    out = np.zeros((n, 14 + len(TAGS)))
-    for i, node in enumerate(nodes):
         p = node.parent
         if p >= 0:
-            up_main[i] = max(up_main[i], up_main[p])
-            up_side[i] = max(up_side[i], up_side[p])
-        family = nodes[p].children if p >= 0 else [i]
-        kin = text[family]
-        alike = sum(nodes[j].tag == node.tag for j in family)
-        out[i, :14] = (
-            node.depth, np.log1p(text[i]), np.log1p(node.text), text[i] / tags[i], links[i] / max(text[i], 1), np.log1p(blocks_[i]), own_main[i], own_side[i],
-            up_main[i], up_side[i], np.log1p(len(family)), alike / len(family), np.log1p(kin.mean()), text[i] / max(text[0], 1),
-        )
-        tag = "h" if re.fullmatch("h[1-6]", node.tag) else node.tag
-        out[i, 14 + (TAGS.index(tag) if tag in TAGS else len(TAGS) - 1)] = 1
+            text[p] += text[i]
+            links[p] += links[i]
+            tags[p] += tags[i]
+            blocks_[p] += blocks_[i]
+    families = [(len(x.children), Counter(nodes[j].tag for j in x.children), sum(text[j] for j in x.children)) if x.children else None for x in nodes]
+    alone = (1, {nodes[0].tag: 1}, text[0])
+    up_main, up_side, rows = [False] * n, [False] * n, []
+    for i, node in enumerate(nodes):
+        p = node.parent
+        main = main_cues and (node.tag in MAIN_TAGS or not node.words.isdisjoint(MAIN_WORDS))
+        against = node.tag in SIDE_TAGS or i in side or not node.words.isdisjoint(SIDE_WORDS)
+        up_main[i] = main or (p >= 0 and up_main[p])
+        up_side[i] = against or (p >= 0 and up_side[p])
+        size, kinds, total = families[p] if p >= 0 else alone
+        rows.append((
+            node.depth, text[i], node.text, text[i] / tags[i], links[i] / max(text[i], 1), blocks_[i], main, against, up_main[i], up_side[i],
+            size, kinds[node.tag] / size, total / size, text[i] / max(text[0], 1), _TAG.get(node.tag, len(TAGS) - 1),
+        ))
+    return rows
+
+
+def features(rows: list[tuple]) -> np.ndarray:
+    """A matrix of measures: lengths and counts as logarithms, tags as columns of their own."""
+    x = np.array(rows, dtype=float)
+    x[:, _SKEWED] = np.log1p(x[:, _SKEWED])
+    out = np.zeros((len(x), 14 + len(TAGS)))
+    out[:, :14] = x[:, :14]
+    out[np.arange(len(x)), 14 + x[:, 14].astype(np.int64)] = 1
     return out
 
 
@@ -244,7 +262,8 @@ def training_rows(page: str) -> Iterator[tuple[list[float], float]]:
     side = frozenset(i for i, x in enumerate(nodes) if label[i] == 1 and not x.children and draw.random() < 0.3)
     cued = label.copy()
     cued[list(side)] = 0
-    for x, y in ((features(nodes), label), (features(nodes, main_cues=False), label), (features(nodes, side=side), cued)):
+    for rows, y in ((measures(nodes), label), (measures(nodes, main_cues=False), label), (measures(nodes, side=side), cued)):
+        x = features(rows)
         for i, node in enumerate(nodes):
             if not np.isnan(y[i]) and not node.hidden:
                 yield x[i].tolist(), float(y[i])
@@ -275,40 +294,45 @@ def fit_pages(pages: DataFrame, html: str = "html", key: str = "url", train_page
     return Trees([_arrays(t) for t in model.trees], list(model.treeWeights))
 
 
-def decode(nodes: list[Node], margin: np.ndarray) -> np.ndarray:
+def decode(nodes: list[Node], margin: np.ndarray) -> list[bool]:
     """The set of kept nodes of greatest total log-odds (weighted by own text) that holds the parent of each of its nodes.
 
     Bottom up, a subtree is worth its node and those child subtrees that are worth something; top down, it is kept if it is
     worth something and its parent is kept. What has no text of its own only passes its children on.
     """
     n = len(nodes)
-    worth = np.array([2 * m * np.sqrt(x.text) if x.text else 0.0 for m, x in zip(margin, nodes)])
+    worth = [2 * m * math.sqrt(x.text) if x.text else 0.0 for m, x in zip(margin.tolist(), nodes)]
     for i in range(n - 1, 0, -1):
         if nodes[i].hidden:
-            worth[i] = -np.inf
+            worth[i] = -math.inf
         elif worth[i] > 0 and nodes[i].parent >= 0:
             worth[nodes[i].parent] += worth[i]
-    kept = np.zeros(n, dtype=bool)
-    kept[0] = True
+    kept = [True] * n
     for i in range(1, n):
         kept[i] = kept[nodes[i].parent] and worth[i] > 0
     return kept
 
 
-def main_text(page: str, trees: Trees) -> str:
-    nodes, out = parse(page)
-    if not out:
-        return ""
-    x = features(nodes)
-    margin = trees.margin(x) if trees.trees else np.where(x[:, 9] > 0, -1.0, 1.0)
-    kept = decode(nodes, margin)
-    return " ".join(text for i, text in out if kept[i] and (i or margin[0] > 0))
+def main_texts(pages: list[str], trees: Trees) -> list[str]:
+    """The main text of each page; the trees see the nodes of all of them at once."""
+    parsed = [parse(page) for page in pages]
+    if not parsed:
+        return []
+    x = features([row for nodes, _ in parsed for row in measures(nodes)])
+    margins = trees.margin(x) if trees.trees else np.where(x[:, 9] > 0, -1.0, 1.0)
+    texts, at = [], 0
+    for nodes, out in parsed:
+        margin = margins[at : at + len(nodes)]
+        at += len(nodes)
+        kept = decode(nodes, margin)
+        texts.append(" ".join(text for i, text in out if kept[i] and (i or margin[0] > 0)))
+    return texts
 
 
 def _extractor(sent: Broadcast):
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in arrays:
-            yield pa.array([main_text(page.as_py() or "", sent.value) for page in array], pa.string())
+            yield pa.array([text for _, pages in blocks(array) for text in main_texts(pages, sent.value)], pa.string())
 
     return run
 

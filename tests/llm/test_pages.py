@@ -11,8 +11,8 @@ TEXT = 'Title & more First paragraph of the article, with plenty of words to rea
 def test_article_without_the_rest(spark, sf):
     trees = pg.fit_pages(spark.read.parquet(f"{sf}/pages.parquet"))
     assert len(trees.trees) == pg.ROUNDS
-    assert pg.main_text(SITE, trees) == TEXT
-    assert pg.main_text(SITE.replace("<main>", "<div>").replace("</main>", "</div>"), trees) == TEXT  # without what names it
+    assert pg.main_texts([SITE], trees) == [TEXT]
+    assert pg.main_texts([SITE, SITE.replace("<main>", "<div>").replace("</main>", "</div>")], trees) == [TEXT, TEXT]  # without what names it
 
 
 def test_query_finds_every_article(spark, sf):
