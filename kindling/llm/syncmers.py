@@ -22,7 +22,8 @@ def syncmers(text: Column, k: int = K, s: int = S) -> Column:
 
     A k-mer of words is one if the least hash of its k-s+1 inner s-mers is at its first or last
     place. Whether it is depends on the k-mer alone, so that equal passages give equal anchors
-    wherever they stand. A text of fewer than k words is one k-mer; no words: empty array.
+    wherever they stand. Where none is (it may be so up to about k + (k-s) words), the k-mer of least hash
+    is the only anchor. A text of fewer than k words is one k-mer; no words: empty array.
     """
     w = k - s + 1
 
@@ -31,8 +32,11 @@ def syncmers(text: Column, k: int = K, s: int = S) -> Column:
         inner = F.transform(F.sequence(F.lit(1), F.size(words) - F.lit(s - 1)), lambda i: F.xxhash64(*[words[i + (j - 1)] for j in range(s)]))
 
         def pick(m: Column) -> Column:
+            def kmer(i: Column) -> Column:
+                return F.xxhash64(*[m[i + (j - 1)] for j in range(w)])
+
             least = F.filter(at, lambda i: let(F.array_min(F.slice(m, i, w)), lambda x: (x == m[i - 1]) | (x == m[i + (w - 2)])))
-            return F.transform(least, lambda i: F.xxhash64(*[m[i + (j - 1)] for j in range(w)]))
+            return let(F.transform(least, kmer), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.array_min(F.transform(at, kmer)))))
 
         return F.when(F.size(words) >= k, let(inner, pick)).when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
 

@@ -67,3 +67,11 @@ def test_odd_documents(odd, empty):
 def test_no_python_in_the_plan(odd):
     plan = syncmers.fingerprint_documents(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_short_texts_have_anchors_of_their_own(spark):
+    """Texts of 8 to 13 words may hold no closed syncmer; they are anchored all the same, and differ."""
+    rows = [(n * 100 + i, " ".join(f"w{n}x{i}x{j * j % 29}" for j in range(n))) for n in range(8, 14) for i in range(20)]
+    out = syncmers.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.fingerprint and r.edited_fingerprint for r in out) and len({r.fingerprint for r in out}) == len(rows)
+    assert all(r.near_next < 1 for r in out)
