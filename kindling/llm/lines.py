@@ -77,17 +77,18 @@ def line_hashes(lines: list[str], width: int, bands: int, rows: int) -> tuple[np
 
 
 def _texts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, body): null keys share the least long, null texts are empty."""
-    return rows.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    """(doc, tie, body): null keys share the least long, null texts are empty; tie is a hash of the text, by which rows of one key are told apart."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return rows.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(body).alias("tie"), body.alias("body"))
 
 
 def hashed_lines(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc, line_no, h, bands) for every line of ``docs`` (doc, body) that is not blank."""
+    """(doc, tie, line_no, h, bands) for every line of ``docs`` (doc, tie, body) that is not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, texts in blocks(batch.column(1), LINE_CHARS):
+            ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, texts in blocks(batch.column(2), LINE_CHARS):
                 lines, owner, number = [], [], []
                 for i, text in enumerate(texts):
                     for j, line in enumerate(text.split("\n")):
@@ -100,14 +101,17 @@ def hashed_lines(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows:
                 h, keys = line_hashes(lines, width, bands, rows)
                 values = pa.array(keys.reshape(-1).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, bands, dtype=np.int32)), values)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(number, pa.int32()), pa.array(h.view(np.int64)), lists], names=["doc", "line_no", "h", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[owner]), pa.array(ties[owner]), pa.array(number, pa.int32()), pa.array(h.view(np.int64)), lists],
+                    names=["doc", "tie", "line_no", "h", "bands"],
+                )
 
-    return docs.mapInArrow(run, "doc long, line_no int, h long, bands array<long>")
+    return docs.mapInArrow(run, "doc long, tie long, line_no int, h long, bands array<long>")
 
 
 def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, line): the normal text of ``wanted`` (doc, line_no, h) lines."""
-    per_doc = saved(wanted.groupBy("doc").agg(F.collect_list(F.struct("line_no", "h")).alias("lines")))
+    """(h, line): the normal text of ``wanted`` (doc, tie, line_no, h) lines."""
+    per_doc = saved(wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("line_no", "h")).alias("lines")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +124,7 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         texts.append(normal(parts[x["line_no"]]))
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(texts, pa.string())], names=["h", "line"])
 
-    return docs.join(small(per_doc, 4), "doc").select("body", "lines").mapInArrow(run, "h long, line string")
+    return docs.join(small(per_doc, 4), ["doc", "tie"]).select("body", "lines").mapInArrow(run, "h long, line string")
 
 
 def jaccard(a: set, b: set) -> float:
@@ -236,10 +240,10 @@ def line_components(docs: DataFrame, lines: DataFrame, width: int = WIDTH, simil
     if nodes.isEmpty():
         return None
     found = (
-        lines.select("doc", "line_no", "h").join(small(nodes), "h")
-        .groupBy("h").agg(F.min(F.struct("doc", "line_no")).alias("at")).select("h", "at.doc", "at.line_no")
+        lines.select("doc", "line_no", "tie", "h").join(small(nodes), "h")
+        .groupBy("h").agg(F.min(F.struct("doc", "line_no", "tie")).alias("at")).select("h", "at.doc", "at.tie", "at.line_no")
     )
-    # A text may stand in several rows of one id; a line is kept once.
+    # A text may stand in several rows; a line is kept once.
     texts = saved(_wanted_lines(docs, found).groupBy("h").agg(F.min("line").alias("line")))
     links = saved(_verified(pairs, texts, width, similarity))
     if links.isEmpty():
@@ -252,17 +256,17 @@ def line_components(docs: DataFrame, lines: DataFrame, width: int = WIDTH, simil
 
 
 def dropped_lines(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc, dropped array of line numbers) for the rows of ``docs`` (doc, body) that lose lines."""
+    """(doc, tie, dropped array of line numbers) for the rows of ``docs`` (doc, tie, body) that lose lines."""
     lines = saved(hashed_lines(docs, width, bands, rows))
     labels = line_components(docs, lines, width, similarity)
-    at = lines.select("doc", "line_no", "h")
+    at = lines.select("doc", "line_no", "tie", "h")
     if labels is None:
         at = at.withColumnRenamed("h", "component")
     else:
-        at = at.join(small(labels.withColumnRenamed("id", "h")), "h", "left").select("doc", "line_no", F.coalesce("component", "h").alias("component"))
-    first = saved(at.groupBy("component").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    gone = at.join(small(first), "component").where(F.struct("doc", "line_no") != F.col("first"))
-    return saved(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")))
+        at = at.join(small(labels.withColumnRenamed("id", "h")), "h", "left").select("doc", "line_no", "tie", F.coalesce("component", "h").alias("component"))
+    first = saved(at.groupBy("component").agg(F.min(F.struct("doc", "line_no", "tie")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    gone = at.join(small(first), "component").where(F.struct("doc", "line_no", "tie") != F.col("first"))
+    return saved(gone.groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")))
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
@@ -278,17 +282,18 @@ def dedup_lines(
 
     Lines are what stands between line feeds, compared in lower case with white space as one space.
     Lines linked directly or through others, across all documents and inside one, are one line; the
-    first by (``key``, line number) stays. Links: equal lines, and lines whose character shingles
+    first by (``key``, line number, hash of the text) stays. Links: equal lines, and lines whose character shingles
     have a Jaccard of ``similarity`` or more among the pairs that share a band. Lines shorter than
     ``width`` are one shingle; blank lines stay and link to nothing. A null text stays null, an
     empty one empty; a document that loses all lines keeps its row with an empty text. Rows of
-    one ``key`` (null is one key) share their decisions, so that a repeated row stays as its twin does. An empty table gives no
-    rows. All columns of ``docs`` are kept; one named dropped_lines is replaced. Two different
+    one ``key`` (null is one key) and text share their decisions, so that a repeated row stays as its twin does; unlike texts of
+    one key are judged apart. An empty table gives no rows. All columns of ``docs`` are kept; one named dropped_lines is replaced. Two different
     lines with one 64-bit hash (expected once in 10^9.6 lines) would count as equal.
     """
     gone = dropped_lines(_texts(docs, key, text), width, similarity, bands, rows)
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped"))
+    gone = gone.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("dropped").alias("__dropped"))
     out = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
-    out = out.join(small(gone, 4), F.col("__key") == F.col("__doc"), "left")
+    out = out.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    out = out.join(small(gone, 4), (F.col("__key") == F.col("__doc")) & (F.col("__hash") == F.col("__tie")), "left")
     out = out.withColumn(text, kept_text(F.col(text), F.col("__dropped"))).withColumn("dropped_lines", F.col("__dropped"))
-    return out.drop("__key", "__doc", "__dropped")
+    return out.drop("__key", "__hash", "__doc", "__tie", "__dropped")

@@ -87,3 +87,19 @@ def test_query(spark, sf):
     want = {(order[d], n) for d, n in brute_force([texts[k] for k in order])}
     got = {(r.doc_id, int(n)) for r in out.collect() for n in r.dropped.split(",") if n}
     assert got <= want and len(got) >= 0.98 * len(want)  # a band may miss a pair at the limit
+
+
+def test_texts_of_one_key_are_judged_apart(spark):
+    unlike = [f"{w} stands only here, in row number {i}" for i, w in enumerate("quick brown foxes jumped lazily above seven sleeping hounds".split())]
+    rows = [(None, f"a line that three rows have\n{x}") for x in unlike[:3]] + [(None, f"{x}\n{x} again, {x[::-1]}") for x in unlike[3:5]]
+    rows += [(7, f"{x}\na tail of number seven") for x in unlike[5:7]] + [(7, f"{unlike[7]}\nanother end")]
+    kept = [x for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in r.text.split("\n") if x]
+    assert sorted(kept) == sorted({x for _, t in rows for x in t.split("\n")})
+
+
+def test_near_lines_are_read_from_their_own_row(spark):
+    near = "the committee will meet again on the first monday of the month to discuss the budget of the coming year"
+    rows = [(None, f"{c} filler {c * 30} of a row without id") for c in "abcdef"] + [(None, near), (5, near + "s"), (6, near.upper())]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.dropped_lines for r in out if r.doc_id} == {5: [0], 6: [0]}
+    assert all(r.dropped_lines is None for r in out if r.doc_id is None)
