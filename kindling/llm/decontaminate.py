@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import HashTable, blocks, mixed, span_hashes, word_spans
+from kindling.llm.common import HashTable, blocks, mixed, saved, small, span_hashes, word_spans
 
 #: Words of a shingle; windows at this weighted similarity to an item contaminate a document.
 WORDS, SIMILARITY = 5, 0.8
@@ -46,12 +47,18 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 class Items:
-    """Benchmark items, indexed: shingles by hash, fingerprints by Hamming blocks."""
+    """Benchmark items, indexed: shingles by hash, fingerprints by Hamming blocks.
 
-    def __init__(self, rows: list[tuple[int, str]], width: int = WORDS):
+    ``counts``: how many texts of the whole benchmark hold a shingle, by (width, hash), where it is more
+    than one; None: counted over ``rows``. Texts of the same words are one.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], width: int = WORDS, counts: dict[tuple[int, int], int] | None = None):
         words, first = word_hashes([t or "" for _, t in rows])
         self.ids, self.sizes, self.widths, self.bags = [], [], [], []
         holders: dict[tuple[int, int], list[int]] = defaultdict(list)
+        seen: set[int] = set()
+        local: Counter = Counter()
         for (item, _), a, b in zip(rows, first, first[1:]):
             if a == b:
                 continue  # an item of no words is in no document
@@ -59,16 +66,24 @@ class Items:
             bag = Counter(shingle_hashes(words[a:b], w).tolist())
             for h in bag:
                 holders[w, h].append(len(self.ids))
+            if counts is None and (same := words_key(words[a:b])) not in seen:
+                seen.add(same)
+                local.update((w, h) for h in bag)
             self.ids.append(item)
             self.sizes.append(int(b - a))
             self.widths.append(int(w))
             self.bags.append(bag)
-        # A shingle weighs less the more items share it.
-        self.weight = {(w, h): 1.0 / len(i) for (w, h), i in holders.items()}
+        # A shingle weighs less the more texts share it.
+        counts = local if counts is None else counts
+        self.weight = {x: 1.0 / counts.get(x, 1) for x in holders}
+        self.scales = [scale_of(bag, self.weight, w) for bag, w in zip(self.bags, self.widths)]
+        # Fingerprints are taken with weights of at most the power of two below the item's scale.
+        self.levels = [2.0 ** np.floor(np.log2(x * (1 + 1e-12))) for x in self.scales]
+        self.kinds = np.array(list(zip(self.sizes, self.levels)), dtype=np.float64).reshape(-1, 2)
         self.known = {}
         for w in sorted(set(self.widths)):
             hs = np.array(sorted(h for x, h in holders if x == w), dtype=np.uint64)
-            sizes = [tuple(sorted({self.sizes[i] for i in holders[w, int(h)]})) for h in hs]
+            sizes = [tuple(sorted({(self.sizes[i], self.levels[i]) for i in holders[w, int(h)]})) for h in hs]
             self.known[w] = (HashTable(hs), np.array([self.weight[w, int(h)] for h in hs]), sizes)
         self.prints = np.array([self._print_of(i) for i in range(len(self.ids))], dtype=np.uint64)
         self.blocks = [[[] for _ in range(256)] for _ in range(8)]
@@ -81,7 +96,7 @@ class Items:
 
     def _print_of(self, i: int) -> int:
         hs = np.array(list(self.bags[i].elements()), dtype=np.uint64)
-        weights = np.array([self.weight[self.widths[i], int(h)] for h in hs])
+        weights = np.minimum([self.weight[self.widths[i], int(h)] for h in hs], self.levels[i])
         return int(simhashes(hs, weights, np.array([0]), np.array([len(hs)]))[0])
 
     def near(self, fp: int) -> np.ndarray:
@@ -98,11 +113,23 @@ def simhashes(hs: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.
     return np.packbits(sums[ends] > sums[starts], axis=1).view(np.uint64).ravel()
 
 
-def weighted_similarity(a: Counter, b: Counter, weight: dict, width: int) -> float:
-    """Weighted Jaccard of two bags of shingles; shingles of no item weigh 1."""
+def words_key(words: np.ndarray) -> int:
+    """A 64-bit hash of a text's words in their order."""
+    return xxhash.xxh3_64_intdigest(words.tobytes())
+
+
+def scale_of(bag: Counter, weight: dict, width: int) -> float:
+    """What a shingle of an item weighs on average."""
+    return sum(weight[width, h] * n for h, n in bag.items()) / sum(bag.values())
+
+
+def weighted_similarity(a: Counter, b: Counter, weight: dict, width: int, scale: float | None = None) -> float:
+    """Weighted Jaccard of two bags of shingles, ``b`` an item's; what is not of the item weighs as
+    its own shingles do on average (``scale``), so that it does not matter how many items share them all."""
+    scale = scale_of(b, weight, width) if scale is None else scale
     both = union = 0.0
     for h in a.keys() | b.keys():
-        w = weight.get((width, h), 1.0)
+        w = weight[width, h] if h in b else scale
         both += w * min(a[h], b[h])
         union += w * max(a[h], b[h])
     return both / union if union else 0.0
@@ -111,7 +138,7 @@ def weighted_similarity(a: Counter, b: Counter, weight: dict, width: int) -> flo
 def matches(texts: list[str], items: Items, similarity: float = SIMILARITY) -> list[dict[int, float]]:
     """For each text the items that a window of it matches, with the best similarity.
 
-    Windows of the size of an item, cut at the end of the text, begin at every word from which they
+    Windows of the size of an item (and for its level of weights), cut at the end of the text, begin at every word from which they
     hold a shingle of an item of that size; windows without one have similarity 0.
     """
     out: list[dict[int, float]] = [{} for _ in texts]
@@ -125,14 +152,15 @@ def matches(texts: list[str], items: Items, similarity: float = SIMILARITY) -> l
         for d in np.unique(owner):
             mine = owner == d
             lo, hi = int(first[d]), int(first[d + 1]) - width + 1
-            spans: dict[int, list[int]] = defaultdict(list)
+            spans: dict[tuple[int, float], list[int]] = defaultdict(list)
             for p, g in zip(hits[mine].tolist(), grams[mine].tolist()):
-                for size in sizes_of[g]:
-                    spans[size].append(p)
+                for kind in sizes_of[g]:
+                    spans[kind].append(p)
             h = hs[lo:hi]
-            w = np.ones(len(h))
-            w[hits[mine] - lo] = weights[grams[mine]]
-            for size, ps in spans.items():
+            known_as = np.ones(len(h))
+            known_as[hits[mine] - lo] = weights[grams[mine]]
+            for (size, level), ps in spans.items():
+                w = np.minimum(known_as, level)
                 marks = np.zeros(len(h) + 1, dtype=np.int64)
                 p = np.array(ps) - lo
                 np.add.at(marks, np.maximum(p - (size - width), 0), 1)
@@ -145,30 +173,77 @@ def matches(texts: list[str], items: Items, similarity: float = SIMILARITY) -> l
                     prints = simhashes(h[low : e[-1]], w[low : e[-1]], s - low, e - low)
                     for a, b, fp in zip(s.tolist(), e.tolist(), prints.tolist()):
                         near = items.near(fp)
+                        near = near[(items.kinds[near] == (size, level)).all(axis=1)]
                         if not len(near):
                             continue
                         bag = Counter(h[a:b].tolist())
                         for i in near.tolist():
-                            if items.sizes[i] == size and items.widths[i] == width:
-                                x = weighted_similarity(bag, items.bags[i], items.weight, width)
+                            if items.widths[i] == width:
+                                x = weighted_similarity(bag, items.bags[i], items.weight, width, items.scales[i])
                                 if x >= similarity:
                                     out[d][items.ids[i]] = max(x, out[d].get(items.ids[i], 0.0))
     return out
 
 
-def _slices(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
+#: An item as tasks get it: id, text, and its shared shingles with the number of texts that hold them.
+Row = tuple[int, str, np.ndarray, np.ndarray]
+
+
+def _keyed(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(id, body, key, width, hs) of the distinct items: a hash of the words, the distinct shingles and their width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, widths, shingles = [], [], []
+            for body in batch.column(1):
+                words, _ = word_hashes([body.as_py() or ""])
+                w = min(WORDS, len(words))
+                keys.append(words_key(words))
+                widths.append(w)
+                shingles.append(np.unique(shingle_hashes(words, w)).view(np.int64) if w else np.zeros(0, dtype=np.int64))
+            key = pa.array(np.array(keys, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), key, pa.array(widths, pa.int32()), pa.array(shingles, pa.list_(pa.int64()))],
+                names=["id", "body", "key", "width", "hs"],
+            )
+
+    rows = benchmark.select(F.col(item).cast("long").alias("id"), F.col(text).cast("string").alias("body")).distinct()
+    return rows.mapInArrow(run, "id long, body string, key long, width int, hs array<long>")
+
+
+def _with_counts(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(id, body, shared) of the distinct items: ``shared`` holds (h, n) of each shingle that ``n`` > 1 texts of the benchmark have."""
+    keyed = saved(_keyed(benchmark, item, text))
+    shingles = keyed.dropDuplicates(["key"]).select("key", "width", F.explode("hs").alias("h"))
+    counts = saved(shingles.groupBy("width", "h").agg(F.count("*").alias("n")).where("n > 1"))
+    per_text = saved(shingles.join(small(counts), ["width", "h"]).groupBy("key").agg(F.collect_list(F.struct("h", "n")).alias("shared")))
+    return saved(keyed.select("id", "body", "key").join(small(per_text, 64), "key", "left").select("id", "body", "shared"))
+
+
+def _slices(benchmark: DataFrame, item: str, text: str) -> Iterator[list[Row]]:
     """The distinct items, in runs that tasks may be sent."""
     run, held = [], 0
-    for row in benchmark.select(F.col(item).cast("long"), F.col(text).cast("string")).distinct().toLocalIterator():
+    for row in _with_counts(benchmark, item, text).toLocalIterator():
         if run and (len(run) >= MAX_ITEMS or held + len(row[1] or "") > MAX_CHARS):
             yield run
             run, held = [], 0
-        run.append((row[0], row[1]))
+        shared = row[2] or []
+        run.append((row[0], row[1], np.array([x[0] for x in shared], dtype=np.int64).view(np.uint64), np.array([x[1] for x in shared], dtype=np.int64)))
         held += len(row[1] or "")
     if run:
         yield run
 
 
+def _items(rows: list[Row]) -> Items:
+    """``rows`` indexed, with the counts of the whole benchmark."""
+    counts = {}
+    for _, body, hs, ns in rows:
+        if len(hs):
+            w = min(WORDS, len(word_hashes([body])[0]))
+            counts.update(((w, h), n) for h, n in zip(hs.tolist(), ns.tolist()))
+    return Items([r[:2] for r in rows], WORDS, counts)
+
+
 MATCHES = "array<struct<item:long,similarity:double>>"
 
 
@@ -176,7 +251,7 @@ def _searcher(sent: Broadcast, similarity: float):
     kind = pa.list_(pa.struct([("item", pa.int64()), ("similarity", pa.float64())]))
 
     def search(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        items = Items(sent.value)
+        items = _items(sent.value)
         for array in arrays:
             got = [m for _, texts in blocks(array) for m in matches(texts, items, similarity)]
             order = [sorted(m.items(), key=lambda x: (x[0] is None, x[0])) for m in got]
@@ -194,7 +269,9 @@ def find_contamination(
     An item is held if a window of as many words has a weighted similarity of ``similarity`` or
     more on shingles of five words (items of fewer words: one shingle of all), and a SimHash
     within RADIUS bits. Whole texts are read. Null and empty texts, and items without words, match nothing;
-    null item ids are reported as null; repeated items and rows are as one and as each. Empty tables give
+    null item ids are reported as null; a text under several ids is one text and reported under each. A shingle
+    weighs 1/n if n texts of the whole benchmark hold it, whatever the runs; what is not of the item weighs as the
+    item's shingles do on average. Empty tables give
     an empty column or no rows. Columns of ``docs`` stay, but one named as ``column`` is replaced.
     Documents never move between tasks. The benchmark is read to the driver in runs of at most MAX_ITEMS items or
     MAX_CHARS characters, and each run is a pass over ``docs``.

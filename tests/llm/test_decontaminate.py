@@ -86,3 +86,22 @@ def test_query_finds_whole_items(spark, sf):
     assert set(got) == set(docs)
     for k, t in docs.items():
         assert {i for i, x in items if x in t} <= got[k]
+
+
+def one_word_changed(text, at):
+    w = text.split()
+    w[at] = "changed"
+    return " ".join(w)
+
+
+def test_items_under_two_ids_and_on_a_template_are_found_when_edited(spark, monkeypatch):
+    text, template = " ".join(words(59, 1)), " ".join(words(60, 2))
+    items = [(1, text), (2, text), (3, text.upper() + ".")] + [(10 + i, f"{template} item{i} here") for i in range(6)]
+    docs = spark.createDataFrame([(1, one_word_changed(text, 30)), (2, one_word_changed(items[5][1], 25)), (3, "nothing of it")], "doc_id long, text string")
+    got = {}
+    for most in (20_000, 1, 4):  # the runs do not change what is found
+        monkeypatch.setattr(dc, "MAX_ITEMS", most)
+        out = dc.find_contamination(docs, spark.createDataFrame(items, BENCH)).collect()
+        got[most] = {r.doc_id: [(m["item"], round(m["similarity"], 9)) for m in r.contamination] for r in out}
+    assert got[1] == got[20_000] == got[4]
+    assert got[1][1] == [(i, round(50 / 60, 9)) for i in (1, 2, 3)] and 12 in dict(got[1][2]) and not got[1][3]
