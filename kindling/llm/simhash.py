@@ -196,22 +196,26 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those whose ``key`` is its id, one of each.
+    """The rows of ``docs`` that stand for their component: one whose ``key`` is its id and whose text is of it.
 
-    A component of null keys only keeps one of its rows. All columns are kept as they are.
+    Rows of one key may be in several components, each of which keeps its own. A component of null keys only
+    keeps one of its rows. All columns are kept as they are.
     """
     rows, groups = _grouped(docs, key, text)
     keep = saved(
-        rows.join(small(groups), "fp").where("id = component_id")
-        .groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n"), F.min("component").alias("__component"))
+        rows.join(small(groups), "fp").where("id is not null")
+        .groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n"), F.max(F.col("id") == F.col("component_id")).alias("__stands")).where("__stands")
     )
     stay = docs.join(small(keep), F.col(key) == F.col("__id"))
-    out = stay.where("__n = 1").drop("__id", "__n", "__component")
-    if not keep.where("__n > 1").isEmpty():
-        out = out.unionByName(stay.where("__n > 1").dropDuplicates(["__id"]).drop("__id", "__n", "__component"))
+    out = stay.where("__n = 1").drop("__id", "__n", "__stands")
+    hashed = F.arrow_udf(_hashed, "long")
+    if not keep.where("__n > 1").isEmpty():  # which of the rows of a key stand is told by their text
+        several = stay.where("__n > 1").drop("__n", "__stands").withColumn("__fp", hashed(F.col(text).cast("string")))
+        own = groups.select(F.col("fp").alias("__own"), F.col("component").alias("__component"), F.col("component_id").alias("__first"))
+        several = several.join(small(own), (F.col("__fp") == F.col("__own")) & (F.col("__id") == F.col("__first")))
+        out = out.unionByName(several.dropDuplicates(["__id", "__component"]).drop("__id", "__fp", "__own", "__component", "__first"))
     if rows.where("id is null").isEmpty():
         return out
-    hashed = F.arrow_udf(_hashed, "long")
     nameless = docs.where(F.col(key).isNull()).withColumn("__fp", hashed(F.col(text).cast("string")))
     alone = groups.where("component_id is null").select(F.col("fp").alias("__id"), F.col("component").alias("__component"))
     return out.unionByName(nameless.join(alone, F.col("__fp") == F.col("__id")).dropDuplicates(["__component"]).drop("__id", "__fp", "__component"))

@@ -93,3 +93,10 @@ def test_odd_documents(odd, empty):
     assert simhash.keep_one(odd.where("doc_id is null")).count() == 2
     assert set(simhash.keep_one(odd).columns) == set(odd.columns)
     assert simhash.keep_one(odd.withColumn("text", F.lit("all the same"))).count() == 1
+
+
+def test_unlike_texts_of_one_id_keep_a_row_each(spark):
+    a, b, c, d = (" ".join(f"{x}{i * i % 37}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, a), (4, c), (4, a), (5, d)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (1, b), (4, c), (5, d)]
