@@ -17,9 +17,11 @@ from kindling.llm.common import HashTable, blocks, mixed, saved, small, span_has
 
 #: Words of a shingle; windows at this weighted similarity to an item contaminate a document.
 WORDS, SIMILARITY = 5, 0.8
-#: Fingerprints within so many bits are candidates. Eight blocks of a byte, probed within one bit: a pair
-#: that differs by two bits or more in every block is at least 16 bits apart.
-RADIUS = 15
+#: Fingerprints within so many bits are candidates. Eight blocks of a byte, probed within two bits: a pair
+#: that differs by three bits or more in every block is at least 24 bits apart.
+RADIUS = 23
+#: What a byte may differ by: nothing, one bit, two bits.
+_PROBES = np.array([x for x in range(256) if x.bit_count() <= 2])
 #: Items (and characters of items) that tasks are sent at once; a larger benchmark takes several passes.
 MAX_ITEMS, MAX_CHARS = 20_000, 20_000_000
 
@@ -86,13 +88,13 @@ class Items:
             sizes = [tuple(sorted({(self.sizes[i], self.levels[i]) for i in holders[w, int(h)]})) for h in hs]
             self.known[w] = (HashTable(hs), np.array([self.weight[w, int(h)] for h in hs]), sizes)
         self.prints = np.array([self._print_of(i) for i in range(len(self.ids))], dtype=np.uint64)
-        self.blocks = [[[] for _ in range(256)] for _ in range(8)]
-        for i, fp in enumerate(self.prints.tolist()):
-            for b in range(8):
-                value = fp >> (8 * b) & 255
-                for near in (value, *(value ^ (1 << k) for k in range(8))):
-                    self.blocks[b][near].append(i)
-        self.blocks = [[np.array(x, dtype=np.int64) for x in b] for b in self.blocks]
+        self.blocks = []
+        owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), len(_PROBES))
+        for b in range(8):
+            value = (self.prints >> np.uint64(8 * b) & np.uint64(255)).astype(np.int64)
+            near = (value[:, None] ^ _PROBES).ravel()
+            order = np.argsort(near, kind="stable")
+            self.blocks.append(np.split(owner[order], np.searchsorted(near[order], np.arange(1, 256))))
 
     def _print_of(self, i: int) -> int:
         hs = np.array(list(self.bags[i].elements()), dtype=np.uint64)

@@ -105,3 +105,17 @@ def test_items_under_two_ids_and_on_a_template_are_found_when_edited(spark, monk
         got[most] = {r.doc_id: [(m["item"], round(m["similarity"], 9)) for m in r.contamination] for r in out}
     assert got[1] == got[20_000] == got[4]
     assert got[1][1] == [(i, round(50 / 60, 9)) for i in (1, 2, 3)] and 12 in dict(got[1][2]) and not got[1][3]
+
+
+def test_pairs_over_the_limit_are_within_the_radius():
+    """One-word edits of short items and spread edits of long ones, all at 0.8 or just above, are found without exception."""
+    items = dc.Items([(i, " ".join(words(22 if i % 2 else 59, 1000 + i))) for i in range(1500)])
+    missed = 0
+    for i, (bag, size) in enumerate(zip(items.bags, items.sizes)):
+        hs = np.array(list(bag), dtype=np.uint64)
+        changed = hs.copy()
+        n = len(hs) // 9  # n of the item's shingles give way to n others: (len - n) / (len + n) >= 0.8
+        changed[:n] = dc.mixed(changed[:n] + np.uint64(i + 1))
+        fp = int(dc.simhashes(changed, np.ones(len(hs)), np.array([0]), np.array([len(hs)]))[0])
+        missed += i not in items.near(fp)
+    assert missed == 0
