@@ -246,13 +246,11 @@ def line_components(docs: DataFrame, lines: DataFrame, width: int = WIDTH, simil
     # A text may stand in several rows; a line is kept once.
     texts = saved(_wanted_lines(docs, found).groupBy("h").agg(F.min("line").alias("line")))
     links = saved(_verified(pairs, texts, width, similarity))
-    if links.isEmpty():
-        return None
-    labels = connected_components(links)
+    labels = connected_components(links)  # none of the stars may hold, and yet others of their bucket
     more = saved(_open_links(large, labels, texts, width, similarity))
     if not more.isEmpty():
         labels = connected_components(links.union(more))
-    return labels
+    return None if labels.isEmpty() else labels
 
 
 def dropped_lines(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -103,3 +103,11 @@ def test_near_lines_are_read_from_their_own_row(spark):
     out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.dropped_lines for r in out if r.doc_id} == {5: [0], 6: [0]}
     assert all(r.dropped_lines is None for r in out if r.doc_id is None)
+
+
+def test_lines_that_meet_beside_an_unlike_least_line(spark):
+    """The bucket's least hash is of an unlike line, so that no star pair holds; the other two are linked all the same."""
+    near = "the committee will meet again on the first monday of the month to discuss the budget"
+    docs = spark.createDataFrame([(1, 1, "an unlike line that only shares the bucket"), (2, 2, near), (3, 3, near + "s")], "doc long, tie long, body string")
+    at = spark.createDataFrame([(d, d, 0, d * 10, [99]) for d in (1, 2, 3)], "doc long, tie long, line_no int, h long, bands array<long>")
+    assert {(r.id, r.component) for r in lines.line_components(docs, at).collect()} == {(20, 20), (30, 20)}
