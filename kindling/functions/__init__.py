@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def parts(text: Column) -> Column:
+    """Lower-case text cut at what is no letter or digit of any script; the first and last part may be empty."""
+    return F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits of any script; null text has none."""
-    return F.filter(F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(parts(text), "")
 
 
 def per(part: Column, whole: Column) -> Column:

@@ -6,29 +6,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.functions import tokens
+from kindling.functions import parts
 
-#: Query vectors that a task compares its rows with at once; more take several passes.
-MAX_QUERIES = 4096
+#: Query vectors that are compared at once; cosines that a task holds at once; rows and queries that meet in one task of a larger search.
+MAX_QUERIES, MAX_CELLS, TILE_ROWS = 4096, 1 << 22, 50_000
+
+
+def _terms(df: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """``keep`` and ``term``, a row for each token of ``text``."""
+    return df.select(*keep, F.explode(parts(F.col(text))).alias("term")).where("term <> ''")
 
 
 def match_problem_terms(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, problem_id, hits, terms): how often, and with how many different terms, a document names a problem.
 
-    ``lexicon``: (problem_id, term), lower-case tokens. Spark broadcasts it by its size, or shuffles."""
-    words = docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    return words.join(lexicon, "term").groupBy(key, "problem_id").agg(F.sum("n").alias("hits"), F.countDistinct("term").alias("terms"))
+    ``lexicon``: (problem_id, term), lower-case tokens, distinct. Words meet it before anything is shuffled where Spark broadcasts it by its size."""
+    named = _terms(docs, text, F.col(key)).join(lexicon, "term").groupBy(key, "problem_id", "term").agg(F.count("*").alias("n"))
+    return named.groupBy(key, "problem_id").agg(F.sum("n").alias("hits"), F.count("*").alias("terms"))
+
+
+def place_reactions(reactions: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``reactions`` with the problem that their text names most where they have none: by hits, different terms, least id.
+
+    A text that names none, or a null one, leaves it null. Texts are told apart by a digest, so that they do not move."""
+    digest = F.md5(F.col("text"))
+    nameless = reactions.where("problem_id is null and text is not null").withColumn("digest", digest)
+    best = match_problem_terms(nameless, lexicon, "digest").groupBy("digest").agg(F.max(F.struct("hits", "terms", (-F.col("problem_id")).alias("minus"))).alias("best"))
+    best = best.select(F.col("digest").alias("__digest"), (-F.col("best.minus")).cast("int").alias("__placed"))
+    wanted = F.when(F.col("problem_id").isNull(), digest)
+    placed = reactions.join(best, wanted == F.col("__digest"), "left")
+    return placed.withColumn("problem_id", F.coalesce("problem_id", "__placed")).drop("__digest", "__placed")
 
 
 def problem_terms(docs: DataFrame, k: int = 10, text: str = "text", source: str = "source") -> DataFrame:
-    """(source, term, tf, score, rank): the ``k`` terms of each source that stand out by tf * ln(sources / sources with the term)."""
-    tf = docs.select(F.col(source).alias("source"), F.explode(tokens(F.col(text))).alias("term")).groupBy("source", "term").agg(F.count("*").alias("tf"))
-    spread = tf.groupBy("term").agg(F.count("*").alias("df"))
-    sources = docs.select(F.col(source)).distinct().count()
-    scored = tf.join(spread, "term").select("source", "term", "tf", F.round(F.col("tf") * F.ln(F.lit(float(sources)) / F.col("df")), 6).alias("score"))
+    """(source, term, tf, score, rank): the ``k`` terms of each source that stand out by tf * ln(sources / sources with the term).
+
+    Texts are split once; a term's sources are counted on the table of counts. A null source is one source."""
+    tf = _terms(docs, text, F.col(source).alias("source")).groupBy("source", "term").agg(F.count("*").alias("tf"))
+    spread = F.count("*").over(Window.partitionBy("term"))
+    sources = docs.select(F.col(source)).distinct().agg(F.count("*").alias("sources"))
+    scored = tf.withColumn("df", spread).join(F.broadcast(sources))  # one row
+    scored = scored.select("source", "term", "tf", F.round(F.col("tf") * F.ln(F.col("sources").cast("double") / F.col("df")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
@@ -50,50 +71,142 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
     return means.groupBy("problem_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("embedding"))
 
 
+def _vectors(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(``name``, v) of the rows that can be compared: a key, and a vector that is neither null nor empty and has no null or NaN in it."""
+    v = F.col("embedding").cast("array<double>")
+    rows = df.select(F.col(key).cast("long").alias(name), v.alias("v")).where(F.col(name).isNotNull() & (F.size("v") > 0))
+    return rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Unit vectors of lists of one length; a zero vector stays zero and has cosine 0 with all."""
+    v = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _by_length(ids: pa.Array, lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, unit vectors): vectors of unlike lengths do not meet."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    ids = ids.to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        yield int(n), ids[at], _matrix(lists.take(pa.array(at)))
+
+
+class Best:
+    """The ``k`` best rows of each query among those seen so far; equal cosines (to six places) go to the lesser row key."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.rows = np.zeros((len(ids), 0), dtype=np.int64)
+        self.cosines = np.zeros((len(ids), 0))
+
+    def see(self, rows: np.ndarray, vectors: np.ndarray) -> None:
+        """In slices of so many rows that cosines stay within MAX_CELLS."""
+        step = max(1, MAX_CELLS // max(1, len(self.ids)))
+        for a in range(0, len(rows), step):
+            keys, x = rows[a : a + step], self.vectors @ vectors[a : a + step].T
+            keys, x = self._top(np.broadcast_to(keys, x.shape), x, np.argsort(np.argsort(keys, kind="stable"), kind="stable"))
+            keys, x = np.concatenate([self.rows, keys], axis=1), np.concatenate([self.cosines, x], axis=1)
+            self.rows, self.cosines = self._top(keys, x, np.argsort(np.argsort(keys, axis=1, kind="stable"), axis=1, kind="stable"))
+
+    def _top(self, rows: np.ndarray, cosines: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best columns of each row, by whole numbers that no two columns share: the cosine, then the ``place`` of the row key."""
+        order = np.rint(np.round(cosines, 6) * -1e6).astype(np.int64) * (1 << 32) + place
+        n = min(self.k, rows.shape[1])
+        at = np.argpartition(order, n - 1, axis=1)[:, :n] if n < rows.shape[1] else np.broadcast_to(np.arange(n), order.shape)
+        return np.take_along_axis(rows, at, axis=1), np.take_along_axis(cosines, at, axis=1)
+
+    def batch(self) -> pa.RecordBatch:
+        n = self.rows.shape[1]
+        columns = [pa.array(np.repeat(self.ids, n)), pa.array(self.rows.ravel()), pa.array(self.cosines.ravel())]
+        return pa.RecordBatch.from_arrays(columns, names=["query", "row", "cosine"])
+
+
+_FOUND = "query long, row long, cosine double"
+
+
 def nearest(rows: DataFrame, row_key: str, queries: DataFrame, query_key: str, k: int) -> DataFrame:
-    """(query, row, cosine) candidates: for each query vector the ``k`` best rows of every batch of ``rows``.
+    """(query, row, cosine): for each query vector the ``k`` best rows of every task; exact. What is left for the caller is a top-k
+    over ``k`` rows per task and query. Equal cosines go to the lesser row key.
 
-    Queries go to the tasks in blocks of MAX_QUERIES, rows stay where they are; exact. What is left for the caller is
-    a top-k over a few rows per task and query. Equal cosines go to the lesser row key.
+    Up to MAX_QUERIES queries, which are counted, go to the tasks and rows stay where they are. More are dealt, as the rows are, into parts of
+    bounded size, and each part of the queries meets each part of the rows in a task of its own: neither side passes through the
+    driver. Null keys, null, empty or ragged vectors and such with a null or NaN inside match nothing (vectors of unlike length do not meet).
     """
-    sc = rows.sparkSession.sparkContext
-    rows = rows.select(F.col(row_key).alias("row"), F.col("embedding").cast("array<double>").alias("v")).where("row is not null and v is not null")
-    out, block = None, []
+    rows, queries = _vectors(rows, row_key, "row"), _vectors(queries, query_key, "query")
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        ids, lists = queries.toArrow().combine_chunks().columns if n else (pa.chunked_array([], pa.int64()), pa.chunked_array([], pa.list_(pa.float64())))
+        sent = rows.sparkSession.sparkContext.broadcast(list(_by_length(ids.combine_chunks(), lists.combine_chunks())) if n else [])
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {length: Best(q, v, k) for length, q, v in sent.value}
+            for batch in batches:
+                for length, keys, v in _by_length(batch.column(0), batch.column(1)):
+                    if length in best:
+                        best[length].see(keys, v)
+            yield from (b.batch() for b in best.values())
+
+        return rows.mapInArrow(search, _FOUND)
+    row_parts, query_parts = -(-rows.count() // TILE_ROWS), -(-n // MAX_QUERIES)
+
+    def dealt(df: DataFrame, key: str, own: str, parts_: int, other: str, others: int) -> DataFrame:
+        part = F.pmod(F.xxhash64(key), F.lit(max(1, parts_))).alias(own)
+        return df.select(key, "v", part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, others) - 1).cast("long"))).alias(other))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = {length: Best(q, v, k) for length, q, v in _by_length(left["query"].combine_chunks(), left["v"].combine_chunks())} if left.num_rows else {}
+        if right.num_rows:
+            for length, keys, v in _by_length(right["row"].combine_chunks(), right["v"].combine_chunks()):
+                if length in found:
+                    found[length].see(keys, v)
+        return pa.Table.from_batches([b.batch() for b in found.values()], pa.schema([("query", pa.int64()), ("row", pa.int64()), ("cosine", pa.float64())]))
 
-    def search(block: list) -> DataFrame:
-        ids = np.array([x[0] for x in block], dtype=np.int64)
-        q = np.array([x[1] for x in block], dtype=float)
-        sent = sc.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+    left = dealt(queries, "query", "qpart", query_parts, "rpart", row_parts).groupBy("qpart", "rpart")
+    right = dealt(rows, "row", "rpart", row_parts, "qpart", query_parts).groupBy("qpart", "rpart")
+    return left.cogroup(right).applyInArrow(meet, _FOUND)
 
+
+def assign_problem(vectors: DataFrame, centers: DataFrame, key: str = "vec_id") -> DataFrame:
+    """(``key``, problem_id, cosine): each reaction's nearest problem, the lesser id among equals.
+
+    Centers go to the tasks, at most MAX_QUERIES at a time; a task gives one row per vector, and with several passes the best of them counts.
+    Vectors that :func:`nearest` passes over have no problem and no row."""
+    rows, centers = _vectors(vectors, key, "row"), _vectors(centers, "problem_id", "query").orderBy("query")
+    out, sc = None, rows.sparkSession.sparkContext
+
+    def assign(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
+            known = {length: (ids, v) for length, ids, v in sent.value}
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                row = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1)
-                cosine = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                n = min(k, len(row))
-                best = np.lexsort((np.broadcast_to(row, cosine.shape), -np.round(cosine, 6)), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, n)), pa.array(row[best].ravel()), pa.array(np.take_along_axis(cosine, best, axis=1).ravel())], names=["query", "row", "cosine"],
-                )
-
-        return rows.mapInArrow(run, "query long, row long, cosine double")
-
-    for x in queries.select(F.col(query_key).cast("long"), F.col("embedding").cast("array<double>")).toLocalIterator():
+                for length, keys, v in _by_length(batch.column(0), batch.column(1)):
+                    ids, c = known.get(length, (None, None))
+                    if ids is None:
+                        continue
+                    step = max(1, MAX_CELLS // len(ids))
+                    for a in range(0, len(keys), step):
+                        cosine = v[a : a + step] @ c.T
+                        first = np.round(cosine, 6).argmax(axis=1)  # of equal ones the first, and ids rise
+                        best = cosine[np.arange(len(first)), first]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + step]), pa.array(ids[first]), pa.array(best)], names=["row", "query", "cosine"])
+
+        return run
+
+    block: list = []
+
+    def flush() -> None:
+        nonlocal out
+        ids, lists = pa.array([x[0] for x in block], pa.int64()), pa.array([x[1] for x in block], pa.list_(pa.float64()))
+        part = rows.mapInArrow(assign(sc.broadcast(list(_by_length(ids, lists)))), "row long, query long, cosine double")
+        out = part if out is None else out.union(part)
+        block.clear()
+
+    for x in centers.toLocalIterator():
         block.append(x)
         if len(block) == MAX_QUERIES:
-            out = search(block) if out is None else out.union(search(block))
-            block = []
-    if block:
-        out = search(block) if out is None else out.union(search(block))
-    return rows.sparkSession.createDataFrame([], "query long, row long, cosine double") if out is None else out
-
-
-def assign_problem(vectors: DataFrame, centers: DataFrame, key: str = "vec_id") -> DataFrame:
-    """(``key``, problem_id, cosine): each reaction's nearest problem, the lesser id among equals."""
-    # Every row meets every center: the best center of a row is a maximum, not a top-k of rows.
-    pairs = nearest(vectors.select(key, "embedding"), key, centers, "problem_id", 1 << 30)
-    best = pairs.groupBy("row").agg(F.max(F.struct(F.round("cosine", 6).alias("cosine"), (-F.col("query")).alias("minus"))).alias("best"))
-    return best.select(F.col("row").alias(key), (-F.col("best.minus")).cast("int").alias("problem_id"), "best.cosine")
+            flush()
+    if block or out is None:
+        flush()
+    best = out.groupBy("row").agg(F.max(F.struct(F.round("cosine", 6).alias("cosine"), (-F.col("query")).alias("minus"))).alias("best"))
+    return best.select(F.col("row").alias(key), (-F.col("best.minus")).cast("int").alias("problem_id"), F.col("best.cosine").alias("cosine"))

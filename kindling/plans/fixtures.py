@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindling.functions import tokens
 from kindling.operators.cleaning import screen_evidence
+from kindling.operators.discovery import place_reactions
+from kindling.sources import Feed, ingest_reactions
 
 #: End of the last period of the test events.
 AS_OF = "2024-01-31"
@@ -15,20 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    problem = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("reaction_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("user_id").alias("author_id"),
-        F.col("event_type").alias("source"), problem.alias("problem_id"), F.col("value").alias("weight"),
-    )
+def feeds(sf_dir: str) -> dict[str, Feed]:
+    """What reactions are made of: events, which name their problem; pages and what users write in conversations, whose text has to."""
+    event = {
+        "reaction_id": "event_id", "ts": "cast(ts as timestamp_ntz)", "author_id": "user_id", "source": "event_type",
+        "problem_id": "cast(get_json_object(props, '$.k') as int)", "weight": "value",
+    }
+    return {
+        "event": Feed(f"{sf_dir}/events.parquet", event),
+        "page": Feed(f"{sf_dir}/pages.parquet", {"reaction_id": "page_id", "text": "regexp_replace(html, '<[^>]*>', ' ')"}, url="url"),
+        "conversation": Feed(f"{sf_dir}/conversations.parquet", {"reaction_id": "conv_id", "text": "text"}, where="role = 'user'"),
+    }
 
 
-def page_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("reaction_id"), "url")
+def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest_reactions(spark, {"event": feeds(sf_dir)["event"]}).drop("text")
 
 
-def chat_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("reaction_id"))
+def all_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reactions of every feed, with the problem that their text names where they have none."""
+    return place_reactions(ingest_reactions(spark, feeds(sf_dir)), lexicon(spark, sf_dir)).drop("text")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,11 +49,9 @@ def evidence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the benchmark items as terms of problem item_id % 100."""
-    from kindling.functions import tokens
-
+    """Words of the benchmark items as terms of problem item_id % 100: those that name one problem and no other."""
     words = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 100).cast("int").alias("problem_id"), F.explode(tokens(F.col("text"))).alias("term"))
-    return words.where(F.length("term") >= 8).distinct()
+    return words.groupBy("term").agg(F.min("problem_id").alias("problem_id"), F.max("problem_id").alias("last")).where("problem_id = last").select("problem_id", "term")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +74,7 @@ def problem_ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = F.explode(F.sequence(F.col("c_nationkey") * 4, F.col("c_nationkey") * 4 + 2))
-    return table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(
+    return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("maker_id"), F.col("c_acctbal").alias("budget"), (5 + F.col("c_nationkey")).alias("max_effort"), chosen.alias("problem_id"),
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,31 +14,40 @@ from kindling.plans import fixtures as fx
 from kindling.sources import ingest_reactions as ingest
 from kindling.sources import publish_tables as publish
 from kindling.sources import source_from_url as from_url
+from kindling.storage import saved, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def ingest_reactions(s: SparkSession, d: str) -> DataFrame:
-    pages = from_url(fx.page_reactions(s, d))
-    return ingest({"event": fx.reactions(s, d), "page": pages, "conversation": fx.chat_reactions(s, d)})
+    return ingest(s, fx.feeds(d)).drop("text")
 
 
-def source_from_url(s: SparkSession, d: str) -> DataFrame:
-    return from_url(fx.table(s, d, "pages").select("page_id", "url"))
+def ingested_volume(s: SparkSession, d: str) -> DataFrame:
+    return measures.mention_volume(fx.all_reactions(s, d))
+
 
+def ingested_sources(s: SparkSession, d: str) -> DataFrame:
+    """Shares over the sites that pages come from, the kinds of events, and conversations."""
+    return measures.source_distribution(fx.all_reactions(s, d))
 
-def shared_folder(s: SparkSession) -> str:
-    """The folder that the cluster names for all executors; one of this machine where it names none, as in tests."""
-    return s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindling-")
+
+def source_from_url(s: SparkSession, d: str) -> DataFrame:
+    return from_url(fx.table(s, d, "pages").select("page_id", "url"))
 
 
 def publish_tables(s: SparkSession, d: str) -> DataFrame:
-    """The pages' tables written and read back: (table, rows)."""
-    at = f"{shared_folder(s).rstrip('/')}/published-{uuid.uuid4().hex}"
+    """The pages' tables written and read back, as one table."""
+    at = f"{shared_folder(s)}/published-{uuid.uuid4().hex}"
     tables = {"problem_list": problem_list(s, d), "ideas_for_problem": ideas_for_problem(s, d), "personalized_ideas": personalized_ideas(s, d)}
     paths = publish(tables, at, {"ideas_for_problem": ["problem_id"]})
-    counts = [s.read.parquet(p).groupBy(F.lit(n).alias("table_name")).agg(F.count("*").alias("n_rows")) for n, p in sorted(paths.items())]
-    return counts[0].union(counts[1]).union(counts[2])
+    out = None
+    for name, path in paths.items():
+        rows = s.read.schema(tables[name].schema).parquet(path)
+        cells = {"maker_id": "long", "problem_id": "int", "idea_id": "long", "rank": "long", "title": "string", "validation_score": "double", "best_score": "double"}
+        rows = rows.select(F.lit(name).alias("table_name"), *[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in cells.items()])
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def normalize_reactions(s: SparkSession, d: str) -> DataFrame:
@@ -113,7 +121,7 @@ def evidence_top_k(s: SparkSession, d: str) -> DataFrame:
 
 def validation_score(s: SparkSession, d: str) -> DataFrame:
     rows = fx.reactions(s, d)
-    return measures.validation_score(measures.problem_measures(rows, fx.AS_OF), rows.select("source").distinct().count())
+    return measures.validation_score(saved(measures.problem_measures(rows, fx.AS_OF)), measures.mentions(rows).select("source").distinct().count())
 
 
 def problem_list(s: SparkSession, d: str) -> DataFrame:
@@ -140,9 +148,10 @@ def validated_ideas(s: SparkSession, d: str) -> DataFrame:
 
 
 def idea_problem_match(s: SparkSession, d: str) -> DataFrame:
+    """Problems are the vectors whose id is divisible by 100, ideas are all vectors."""
     rows = fx.vectors(s, d)
-    problems = rows.where("vec_id < 100").select(F.col("vec_id").alias("problem_id"), "embedding")
-    return ideas.idea_problem_match(problems, rows.where("vec_id >= 100").select(F.col("vec_id").alias("idea_id"), "embedding"))
+    problems = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("problem_id"), "embedding")
+    return ideas.idea_problem_match(problems, rows.select(F.col("vec_id").alias("idea_id"), "embedding"))
 
 
 def idea_detail(s: SparkSession, d: str) -> DataFrame:
@@ -183,7 +192,7 @@ def my_page(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: tuple[Query, ...] = (
-    ingest_reactions, source_from_url, publish_tables, normalize_reactions, dedup_exact, dedup_near, dedup_near_lsh, screen_evidence,
+    ingest_reactions, ingested_volume, ingested_sources, source_from_url, publish_tables, normalize_reactions, dedup_exact, dedup_near, dedup_near_lsh, screen_evidence,
     match_problem_terms, problem_terms, cluster_reactions, assign_problem, mention_volume, mentions_by_day, mention_moving_avg,
     trend_slope, trend_change, source_distribution, source_diversity, evidence_top_k, validation_score, problem_list, problem_detail,
     ideas_for_problem, validated_ideas, idea_problem_match, idea_detail, filter_ideas_by_conditions, combine_problems,
@@ -202,7 +211,7 @@ SHARED = {
     "document": "SELECT d.doc_id, CAST(d.doc_id % 100 AS INT) AS problem_id, source, coalesce(l.quality, 0) AS quality, n_chars FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0",
     "idea": "SELECT p_partkey AS idea_id, p_name AS title, p_type AS category, p_size AS effort, p_retailprice AS cost FROM part",
     "problem_idea": "SELECT CAST(p_partkey % 100 AS INT) AS problem_id, p_partkey AS idea_id FROM part UNION SELECT CAST((p_size * 2) % 100 AS INT), p_partkey FROM part",
-    "request": "SELECT c_custkey AS maker_id, c_acctbal AS budget, 5 + c_nationkey AS max_effort, CAST(c_nationkey * 4 + j AS INT) AS problem_id FROM customer, (VALUES (0), (1), (2)) v(j) WHERE c_custkey % 100 = 0",
+    "request": "SELECT c_custkey AS maker_id, c_acctbal AS budget, 5 + c_nationkey AS max_effort, CAST(c_nationkey * 4 + j AS INT) AS problem_id FROM customer, (VALUES (0), (1), (2)) v(j)",
     "volume": "SELECT problem_id, count(*) AS mentions, count(DISTINCT author_id) AS authors FROM reaction GROUP BY 1",
     "change": "SELECT problem_id, CAST(sum(CASE WHEN ts >= TIMESTAMP '2024-01-24' AND ts < TIMESTAMP '2024-01-31' THEN 1 ELSE 0 END) AS BIGINT) AS recent, CAST(sum(CASE WHEN ts >= TIMESTAMP '2024-01-17' AND ts < TIMESTAMP '2024-01-24' THEN 1 ELSE 0 END) AS BIGINT) AS prior FROM reaction GROUP BY 1",
     "dist": "SELECT problem_id, source, count(*) AS mentions FROM reaction GROUP BY 1, 2",
@@ -217,29 +226,42 @@ SHARED = {
     "fitting": "SELECT maker_id, problem_id, idea_id, effort, cost FROM request JOIN problem_idea USING (problem_id) JOIN idea USING (idea_id) WHERE cost <= budget AND effort <= max_effort",
     "chosen": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY maker_id ORDER BY covered DESC, best_score DESC, effort, cost, idea_id) AS rank FROM (
         SELECT maker_id, idea_id, count(DISTINCT problem_id) AS covered, max(validation_score) AS best_score, effort, cost FROM fitting JOIN scores USING (problem_id) GROUP BY maker_id, idea_id, effort, cost)) WHERE rank <= 5""",
+    "listed": "SELECT * FROM scores WHERE validation_score >= 60 ORDER BY validation_score DESC, problem_id LIMIT 20",
+    "ideas_of": "SELECT problem_id, idea_id, title, category, effort, cost, rank FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY effort, cost, idea_id) AS rank FROM problem_idea JOIN idea USING (idea_id)) WHERE rank <= 10",
     "favorite_log": """SELECT o_custkey AS maker_id, 'idea' AS item_kind, l_partkey AS item_id, o_orderdate AS ts, CASE WHEN l_returnflag = 'R' THEN 'unsave' ELSE 'save' END AS action, l_orderkey AS seq1, CAST(l_linenumber AS BIGINT) AS seq2
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT author_id, 'problem', CAST(problem_id AS BIGINT), ts, 'save', reaction_id, 0 FROM reaction WHERE source = 'signup'""",
     "saved": "SELECT maker_id, item_kind, item_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY maker_id, item_kind, item_id ORDER BY ts DESC, seq1 DESC, seq2 DESC, action DESC) AS n FROM favorite_log) WHERE n = 1 AND action = 'save'",
     "shingled": "SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text) AND len(w) >= 3)",
+    "site": """SELECT page_id, url, html, nullif(lower(split_part(list_extract(string_split(split_part(split_part(split_part(rest, '/', 1), '?', 1), '#', 1), '@'), -1), ':', 1)), '') AS source
+        FROM (SELECT *, CASE WHEN starts_with(lower(url), 'http://') THEN substr(url, 8) WHEN starts_with(lower(url), 'https://') THEN substr(url, 9) END AS rest FROM pages)""",
+    "lexicon": r"""SELECT min(problem_id) AS problem_id, term FROM (SELECT CAST(item_id % 100 AS INT) AS problem_id, unnest(list_filter(string_split_regex(lower(trim(text)), '[^\pL\pN]+'), lambda x: x <> '')) AS term FROM benchmark)
+        GROUP BY term HAVING count(DISTINCT problem_id) = 1""",
+    "written": """SELECT row_number() OVER () AS n, source, text FROM (SELECT source, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM site
+        UNION ALL SELECT 'conversation', text FROM conversations WHERE role = 'user')""",
+    "placed": r"""SELECT source, problem_id, CAST(NULL AS BIGINT) AS author_id FROM (SELECT n, problem_id, row_number() OVER (PARTITION BY n ORDER BY count(*) DESC, count(DISTINCT term) DESC, problem_id) AS best
+        FROM (SELECT n, unnest(string_split_regex(lower(trim(text)), '[^\pL\pN]+')) AS term FROM written) JOIN lexicon USING (term) GROUP BY n, problem_id) JOIN written USING (n) WHERE best = 1
+        UNION ALL SELECT source, problem_id, author_id FROM reaction""",
     "vector": "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "center": "SELECT label AS problem_id, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vector) GROUP BY 1, 2) GROUP BY 1",
 }
 
 ORACLES = {
     "ingest_reactions": """SELECT reaction_id, ts, author_id, source, problem_id, weight FROM reaction
-        UNION ALL SELECT page_id, NULL, NULL, nullif(regexp_extract(url, '^https?://([^/:?#]+)', 1), ''), NULL, NULL FROM pages
+        UNION ALL SELECT page_id, NULL, NULL, source, NULL, NULL FROM site
         UNION ALL SELECT conv_id, NULL, NULL, 'conversation', NULL, NULL FROM conversations WHERE role = 'user'""",
-    "source_from_url": "SELECT page_id, url, nullif(regexp_extract(url, '^https?://([^/:?#]+)', 1), '') AS source FROM pages",
-    "publish_tables": """SELECT 'problem_list' AS table_name, least(20, count(*)) AS n_rows FROM scores WHERE validation_score >= 60
-        UNION ALL SELECT 'ideas_for_problem', CAST(sum(least(10, n)) AS BIGINT) FROM (SELECT count(*) AS n FROM problem_idea GROUP BY problem_id)
-        UNION ALL SELECT 'personalized_ideas', count(*) FROM chosen""",
+    "ingested_volume": "SELECT problem_id, count(*) AS mentions, count(DISTINCT author_id) AS authors FROM placed GROUP BY 1",
+    "ingested_sources": "SELECT problem_id, source, count(*) AS mentions, round(count(*) / sum(count(*)) OVER (PARTITION BY problem_id), 6) AS share FROM placed GROUP BY 1, 2",
+    "source_from_url": "SELECT page_id, url, source FROM site",
+    "publish_tables": """SELECT 'problem_list' AS table_name, NULL::BIGINT AS maker_id, problem_id, NULL::BIGINT AS idea_id, NULL::BIGINT AS rank, NULL::VARCHAR AS title, validation_score, NULL::DOUBLE AS best_score FROM listed
+        UNION ALL SELECT 'ideas_for_problem', NULL, problem_id, idea_id, rank, title, NULL, NULL FROM ideas_of
+        UNION ALL SELECT 'personalized_ideas', maker_id, NULL, idea_id, rank, NULL, NULL, best_score FROM chosen""",
     "normalize_reactions": "SELECT doc_id, len(w) AS n_tokens, array_to_string(w, ' ') AS tokens FROM words WHERE len(w) > 0",
     "dedup_exact": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY coalesce(text, '')",
     "dedup_near": """SELECT a, b, round(n / (sa.s + sb.s - n), 6) AS jaccard FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingled x JOIN shingled y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
         JOIN (SELECT doc_id, count(*) AS s FROM shingled GROUP BY 1) sa ON sa.doc_id = a JOIN (SELECT doc_id, count(*) AS s FROM shingled GROUP BY 1) sb ON sb.doc_id = b WHERE n / (sa.s + sb.s - n) >= 0.7""",
     "screen_evidence": "SELECT doc_id, problem_id, source, quality, n_chars FROM document",
     "match_problem_terms": r"""SELECT doc_id, problem_id, count(*) AS hits, count(DISTINCT term) AS terms FROM (SELECT doc_id, unnest(w) AS term FROM words)
-        JOIN (SELECT DISTINCT CAST(item_id % 100 AS INT) AS problem_id, unnest(list_filter(string_split_regex(lower(trim(text)), '[^\pL\pN]+'), lambda x: length(x) >= 8)) AS term FROM benchmark) USING (term) GROUP BY 1, 2""",
+        JOIN lexicon USING (term) GROUP BY 1, 2""",
     "problem_terms": """SELECT source, term, tf, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM (
         SELECT source, term, tf, round(tf * ln((SELECT count(DISTINCT source) FROM documents) / count(*) OVER (PARTITION BY term)), 6) AS score
         FROM (SELECT source, term, count(*) AS tf FROM (SELECT source, unnest(w) AS term FROM words) GROUP BY 1, 2))) WHERE rank <= 10""",
@@ -254,15 +276,15 @@ ORACLES = {
     "source_diversity": "SELECT * FROM diversity",
     "evidence_top_k": "SELECT * FROM evidence",
     "validation_score": "SELECT * FROM scores",
-    "problem_list": "SELECT * FROM scores WHERE validation_score >= 60 ORDER BY validation_score DESC, problem_id LIMIT 20",
+    "problem_list": "SELECT * FROM listed",
     "problem_detail": """SELECT problem_id, mentions, authors, validation_score, trend, sources, coalesce(evidence, '') AS evidence FROM scores
         JOIN (SELECT problem_id, string_agg(CAST(mentions AS VARCHAR), ',' ORDER BY day) AS trend FROM series GROUP BY 1) USING (problem_id)
         JOIN (SELECT problem_id, string_agg(source || ':' || mentions, ',' ORDER BY source) AS sources FROM dist GROUP BY 1) USING (problem_id)
         LEFT JOIN (SELECT problem_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS evidence FROM evidence GROUP BY 1) USING (problem_id)""",
-    "ideas_for_problem": "SELECT problem_id, idea_id, title, category, effort, cost, rank FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY effort, cost, idea_id) AS rank FROM problem_idea JOIN idea USING (idea_id)) WHERE rank <= 10",
+    "ideas_for_problem": "SELECT * FROM ideas_of",
     "validated_ideas": "SELECT * FROM problem_idea WHERE problem_id IN (SELECT problem_id FROM scores WHERE validation_score >= 60)",
     "idea_problem_match": """SELECT problem_id, idea_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY cosine DESC, idea_id) AS rank FROM (
-        SELECT a.vec_id AS problem_id, b.vec_id AS idea_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM vector a JOIN vector b ON a.vec_id < 100 AND b.vec_id >= 100)) WHERE rank <= 5""",
+        SELECT a.vec_id AS problem_id, b.vec_id AS idea_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM vector a, vector b WHERE a.vec_id % 100 = 0)) WHERE rank <= 5""",
     "idea_detail": """SELECT i.idea_id, title, coalesce(problems, '') AS problems, coalesce(evidence, '') AS evidence FROM idea i
         LEFT JOIN (SELECT idea_id, string_agg(CAST(problem_id AS VARCHAR), ',' ORDER BY validation_score DESC, problem_id) AS problems FROM problem_idea JOIN scores USING (problem_id) GROUP BY 1) p ON p.idea_id = i.idea_id
         LEFT JOIN (SELECT idea_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY validation_score DESC, problem_id, rank) AS evidence FROM problem_idea JOIN scores USING (problem_id) JOIN evidence USING (problem_id) GROUP BY 1) e ON e.idea_id = i.idea_id""",

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Canonical reaction columns.
-REACTION = "reaction_id bigint, ts timestamp_ntz, author_id bigint, source string, problem_id int, weight double"
+REACTION = "reaction_id bigint, ts timestamp_ntz, author_id bigint, source string, problem_id int, weight double, text string"
+
+
+@dataclass(frozen=True)
+class Feed:
+    """One kind of collected reactions: where they lie and what their columns mean.
+
+    ``columns``: canonical column -> SQL expression over the table; others are null. ``url``: column whose site is the
+    source. ``where``: rows that are reactions. ``schema``: needed for JSON and CSV.
+    """
+
+    path: str
+    columns: Mapping[str, str] = field(default_factory=dict)
+    url: str | None = None
+    where: str | None = None
+    schema: str | None = None
 
 
 def site(url: Column) -> Column:
-    """Host of an http(s) url, without port; null where there is none."""
-    return F.nullif(F.regexp_extract(url, r"^https?://([^/:?#]+)", 1), F.lit(""))
+    """Host of an http(s) url in lower case, without user and port; null where there is none."""
+    host = F.regexp_extract(url, r"(?i)^https?://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#@]+)", 1)
+    return F.nullif(F.lower(host), F.lit(""))
 
 
 def source_from_url(df: DataFrame, url: str = "url") -> DataFrame:
@@ -20,24 +39,33 @@ def source_from_url(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A Parquet, ORC, JSON or CSV table by the ending of its path; text formats need ``schema``."""
+    """A Parquet, ORC, JSON or CSV table by the ending of its path; text formats need ``schema``, and their rows that do not fit it are left out."""
     kind = next((k for k in ("json", "csv", "orc") if path.rstrip("/").endswith(f".{k}")), "parquet")
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.option("header", "true").csv(path) if kind == "csv" else reader.format(kind).load(path)
+    if kind in ("json", "csv"):
+        if schema is None:
+            raise ValueError(f"{path}: a {kind} table needs a schema")
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("header", "true").format(kind).load(path)
+    return (spark.read if schema is None else spark.read.schema(schema)).format(kind).load(path)
+
 
+def ingest_reactions(spark: SparkSession, inputs: Mapping[str, str | Feed]) -> DataFrame:
+    """All ``inputs`` (kind -> path or :class:`Feed`) as one table of the canonical columns.
 
-def ingest_reactions(tables: dict[str, DataFrame]) -> DataFrame:
-    """All ``tables`` as one of the canonical columns. ``source`` is the key where a table has none of its own;
-    columns that a table lacks are null, others go. Inner shuffles: none."""
+    ``source`` is the site of the feed's ``url``, else what its ``columns`` say, else the kind; a path alone names a table whose columns are
+    canonical already. What a table lacks is null, other columns go. Nothing is shuffled, and only the columns that are asked for are read.
+    """
     wanted = [x.strip().split(" ", 1) for x in REACTION.split(",")]
     out = None
-    for source, df in tables.items():
-        if "source" not in df.columns:
-            df = df.withColumn("source", F.lit(source))
-        df = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in wanted])
+    for kind, feed in inputs.items():
+        feed = Feed(feed) if isinstance(feed, str) else feed
+        df = read_any(spark, feed.path, feed.schema)
+        df = df.where(feed.where) if feed.where else df
+        given = feed.columns or {c: c for c, _ in wanted if c in df.columns}
+        cells = {c: F.expr(e) for c, e in given.items()} | ({"source": site(F.col(feed.url))} if feed.url else {})
+        df = df.select(*[cells.get(c, F.lit(kind if c == "source" else None)).cast(t).alias(c) for c, t in wanted])
         out = df if out is None else out.unionByName(df)
     if out is None:
-        raise ValueError("no tables to ingest")
+        raise ValueError("no inputs to ingest")
     return out
 
 

@@ -8,7 +8,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from kindling.operators import cleaning, discovery, favorites, ideas, measures, personal
-from kindling.sources import ingest_reactions, publish_tables, read_any, source_from_url
+from kindling.sources import REACTION as REACTION_COLUMNS
+from kindling.sources import Feed, ingest_reactions, publish_tables, read_any, source_from_url
 
 REACTION = "reaction_id bigint, ts timestamp_ntz, author_id bigint, source string, problem_id int, weight double"
 
@@ -167,15 +168,110 @@ def test_favourites(spark):
     assert [(r.item_kind, r.title, r.validation_score) for r in page] == [("problem", None, 80.0), ("idea", "a", None)]
 
 
-def test_sources(spark, tmp_path):
-    urls = spark.createDataFrame([(1, "https://a.b/c"), (2, "http://x:80?q"), (3, "nope"), (4, None)], "reaction_id long, url string")
-    sited = source_from_url(urls)
-    assert got(sited.where("source is not null"), "reaction_id", "source") == [(1, "a.b"), (2, "x")]
-    both = ingest_reactions({"page": sited, "chat": spark.createDataFrame([(9,)], "reaction_id long")})
-    assert both.where("source = 'chat'").count() == 1 and both.count() == 5 and both.columns[0] == "reaction_id"
-    paths = publish_tables({"t": both}, str(tmp_path), {"t": ["source"]})
-    assert spark.read.parquet(paths["t"]).count() == 5
+def test_sources(spark):
+    given = {
+        "https://a.b/c": "a.b", "http://x:80?q": "x", "HTTP://Www.Site.ORG#top": "www.site.org", "http://user:pw@host/p@q": "host", "https://u@v@w:1/": "w",
+        "http://[::1]:8080/": "[::1]", "nope": None, "ftp://a.b": None, "http://": None, None: None,
+    }
+    urls = spark.createDataFrame(list(enumerate(given)), "reaction_id long, url string")
+    assert {r.url: r.source for r in source_from_url(urls).collect()} == given
+
+
+def test_ingestion_from_paths(spark, tmp_path):
+    urls = spark.createDataFrame([(1, "https://a.b/c"), (2, "nope")], "reaction_id long, url string")
     urls.write.json(f"{tmp_path}/u.json")
-    urls.write.option("header", "true").csv(f"{tmp_path}/u.csv")
-    for ending in ("json", "csv"):
-        assert read_any(spark, f"{tmp_path}/u.{ending}", "reaction_id long, url string").count() == 4
+    urls.write.orc(f"{tmp_path}/u.orc")
+    with open(f"{tmp_path}/v.csv", "w") as f:
+        f.write("reaction_id,url\n7,http://q\nnot a number,http://r\n8,http://s\n")
+    spark.createDataFrame([(9, "chat", 3)], "reaction_id long, text string, extra int").write.parquet(f"{tmp_path}/chat.parquet")
+    schema = "reaction_id long, url string"
+    feeds = {
+        "json": Feed(f"{tmp_path}/u.json", {"reaction_id": "reaction_id"}, url="url", schema=schema),
+        "orc": Feed(f"{tmp_path}/u.orc", {"reaction_id": "reaction_id * 10", "source": "'fixed'"}, where="url <> 'nope'"),
+        "csv": Feed(f"{tmp_path}/v.csv", {"reaction_id": "reaction_id"}, url="url", schema=schema),
+        "chat": f"{tmp_path}/chat.parquet",
+    }
+    out = ingest_reactions(spark, feeds)
+    assert out.schema == spark.createDataFrame([], REACTION_COLUMNS).schema
+    assert got(out, "reaction_id", "source", "text") == sorted([(1, "a.b", None), (2, None, None), (10, "fixed", None), (7, "q", None), (8, "s", None), (9, "chat", "chat")], key=lambda x: (x[0],))
+    with pytest.raises(ValueError):
+        read_any(spark, f"{tmp_path}/v.csv")
+    with pytest.raises(ValueError):
+        ingest_reactions(spark, {})
+    paths = publish_tables({"t": out}, str(tmp_path), {"t": ["source"]})
+    assert spark.read.parquet(paths["t"]).count() == 6
+
+
+def test_reactions_without_problem_or_time(spark):
+    rows = [(1, day(0), 1, "a", 1, 1.0), (2, None, 2, "a", 1, 1.0), (3, day(5), 3, "b", None, 1.0), (4, None, None, None, 2, 1.0)]
+    df = spark.createDataFrame(rows, REACTION)
+    assert got(measures.mention_volume(df), "problem_id", "mentions", "authors") == [(1, 2, 2), (2, 1, 0)]
+    assert [r[2] for r in got(measures.mentions_by_day(df), "problem_id", "day", "mentions")] == [1, 0]  # the day of no problem is not theirs
+    both = {r.problem_id: (r.mentions, r.authors, r.recent, r.prior, r.source_entropy) for r in measures.problem_measures(df, "2024-01-04", 7).collect()}
+    assert both == {1: (2, 2, 1, 0, 0.0), 2: (1, 0, 0, 0, 0.0)}
+    assert got(measures.source_distribution(df), "problem_id", "share") == [(1, 1.0), (2, 1.0)]
+
+
+def test_measures_in_one_scan_are_the_separate_ones(reactions):
+    both = got(measures.problem_measures(reactions, "2024-01-04", 2), "problem_id", "mentions", "authors", "recent", "prior", "source_entropy")
+    parts = measures.mention_volume(reactions).join(measures.trend_change(reactions, "2024-01-04", 2), "problem_id")
+    parts = parts.join(measures.source_diversity(measures.source_distribution(reactions)), "problem_id")
+    assert both == got(parts, "problem_id", "mentions", "authors", "recent", "prior", "source_entropy")
+
+
+def test_placed_by_text(spark):
+    rows = [(1, None, "slow slow app"), (2, None, "BUS!"), (3, 9, "bus"), (4, None, "nothing"), (5, None, None), (6, None, "app bus"), (6, None, "app bus")]
+    df = spark.createDataFrame(rows, "reaction_id long, problem_id int, text string")
+    lexicon = spark.createDataFrame([(7, "slow"), (7, "app"), (8, "bus")], "problem_id int, term string")
+    placed = sorted(((r.reaction_id, r.problem_id) for r in discovery.place_reactions(df, lexicon).collect()), key=lambda x: x[0])
+    assert placed == [(1, 7), (2, 8), (3, 9), (4, None), (5, None), (6, 7), (6, 7)]
+
+
+def test_search_of_many_queries_and_odd_vectors(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4)).round(1)
+    v[10:20] = v[10]  # ties
+    rows = [(i, x) for i, x in enumerate(v.tolist())] + [(None, [1.0] * 4), (90, None), (91, []), (92, [1.0, None, 0.0, 0.0]), (93, [float("nan")] * 4), (94, [1.0, 2.0]), (95, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "idea_id long, embedding array<double>").repartition(3)
+    problems = df.select(discovery.F.col("idea_id").alias("problem_id"), "embedding")
+    want = got(ideas.idea_problem_match(problems, df, 3), "problem_id", "rank", "idea_id", "cosine")
+    unit = np.array([x for _, x in rows[:60]] + [[0.0] * 4])
+    unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    ids = [*range(60), 95]
+    for i, x in zip(ids, unit):
+        best = sorted(zip((-np.round(unit @ x, 6)).tolist(), ids))[:3]
+        assert [r[2] for r in want if r[0] == i] == [j for _, j in best]
+    assert [r[2] for r in want if r[0] == 94] == [94]  # of another length
+    monkeypatch.setattr(discovery, "MAX_QUERIES", 8)
+    monkeypatch.setattr(discovery, "TILE_ROWS", 16)
+    monkeypatch.setattr(discovery, "MAX_CELLS", 40)
+    assert got(ideas.idea_problem_match(problems, df, 3), "problem_id", "rank", "idea_id", "cosine") == want
+    placed = discovery.assign_problem(df.withColumnRenamed("idea_id", "vec_id"), problems.where("problem_id < 30 or problem_id = 94"))
+    nearest = {r.vec_id: r.problem_id for r in placed.collect()}
+    assert set(nearest) == {*range(60), 94, 95} and all(nearest[i] == 10 for i in range(10, 20)) and nearest[95] == 0 and nearest[94] == 94
+
+
+def test_intermediate_tables_go(spark):
+    import os
+
+    from kindling import storage
+
+    def tables():
+        at = storage.shared_folder(spark).removeprefix("file:")
+        return {x for x in os.listdir(at) if x.startswith("kindling-")} if os.path.isdir(at) else set()
+
+    before = tables()
+    with storage.scratch(spark):
+        a = storage.saved(spark.range(3))
+        b = storage.saved(a.where("id > 0"), outlives=True)
+        c = storage.saved(spark.range(2))
+        assert len(tables() - before) == 3
+        storage.release(c, None, spark.range(1))
+        assert len(tables() - before) == 2 and a.count() == 3
+    assert len(tables() - before) == 1 and b.count() == 2
+    storage.release(b)
+    storage.saved(spark.range(1))
+    storage.clear(spark)
+    assert not tables() - before
