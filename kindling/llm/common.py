@@ -1,41 +1,24 @@
-"""What several operators share: lineage cuts, batches of bounded size, whole-word
+"""What several operators share: batches of bounded size, whole-word
 hashing on byte arrays, candidate pairs from buckets, and connected components.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindling.storage import release, saved
+
 #: Characters that a task works on at once; its temporary arrays are a few dozen times this.
 BLOCK_CHARS = 150_000
 #: Rows of two longs that a join may broadcast once they are counted (about 30 MB).
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where unset (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindling-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: lineage ends there and
-    a lost executor costs no recomputation of what stands above it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/kindling-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def blocks(texts: pa.Array | pa.ChunkedArray, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in runs of about ``limit`` characters; null is the empty text."""
     start, run, held = 0, [], 0
@@ -56,10 +39,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def small(df: DataFrame, wide: int = 1) -> DataFrame:
-    """``df`` marked for a broadcast join if its rows, now counted, are within BROADCAST_ROWS (a ``wide``-th
-    of it for wider rows); beyond that for a shuffled join that splits hot keys. ``df`` should be a written table."""
-    return F.broadcast(df) if df.count() * wide <= BROADCAST_ROWS else df.hint("merge")
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def small(df: DataFrame, *lists: Column) -> DataFrame:
+    """``df`` marked for a broadcast join if its rows, now counted, are within BROADCAST_ROWS; what stands in arrays counts too, by
+    their sizes (``lists``). Beyond that for a shuffled join that splits hot keys. ``df`` should be a written table."""
+    cells = F.lit(1)
+    for size in lists:
+        cells = cells + F.coalesce(size, F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(cells)).first()[0] or 0) <= BROADCAST_ROWS else df.hint("merge")
 
 
 def pairs_of_buckets(members: DataFrame, key: str, node: str) -> tuple[DataFrame, DataFrame]:
@@ -76,11 +70,12 @@ def pairs_of_buckets(members: DataFrame, key: str, node: str) -> tuple[DataFrame
     )
     heavy = sizes.where("n > 2").select(key, "lo")
     large = saved(members.join(small(heavy), key).distinct())
-    pairs = (
+    pairs = saved(
         sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
         .union(large.where(F.col(node) != F.col("lo")).select("lo", F.col(node)))
         .distinct()
     )
+    release(sizes)
     return pairs, large.select(key, node)
 
 
@@ -97,29 +92,34 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if edges.isEmpty():
             return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        up = saved(
+        hooks = saved(
             edges.select("b", "a").union(edges.select(F.col("a").alias("b"), "a"))
             .groupBy("b").agg(F.min("a").alias("p")).select(F.col("b").alias("n"), "p")
         )
         # Roots of a round are counted once: nodes fall from round to round, and so do the joins' sides.
-        side = F.broadcast if up.count() <= BROADCAST_ROWS else lambda df: df.hint("merge")
+        side = F.broadcast if hooks.count() <= BROADCAST_ROWS else lambda df: df.hint("merge")
+        up = hooks
         for _ in range(2):
             up = up.join(side(up.select(F.col("n").alias("p"), F.col("p").alias("q"))), "p").select("n", F.col("q").alias("p"))
         up = saved(up)
         if labels is None:
-            labels = up.select(F.col("n").alias("id"), F.col("p").alias("component"))
+            labels, told = up.select(F.col("n").alias("id"), F.col("p").alias("component")), None
         else:
-            labels = saved(
+            moved = saved(
                 labels.join(side(up.withColumnRenamed("n", "component")), "component", "left")
                 .select("id", F.coalesce("p", "component").alias("component"))
             )
-        edges = saved(
+            release(told)
+            labels = told = moved
+        left = saved(
             edges.join(side(up.select(F.col("n").alias("a"), F.col("p").alias("pa"))), "a")
             .join(side(up.select(F.col("n").alias("b"), F.col("p").alias("pb"))), "b")
             .where("pa <> pb")
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
             .distinct()
         )
+        release(edges, hooks, up if told is not None else None)
+        edges = left
     raise RuntimeError(f"components are not complete after {max_rounds} rounds")
 
 

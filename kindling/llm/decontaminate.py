@@ -13,15 +13,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import HashTable, blocks, mixed, saved, small, span_hashes, word_spans
+from kindling.llm.common import HashTable, blocks, mixed, small, span_hashes, word_spans
+from kindling.storage import release, saved
 
 #: Words of a shingle; windows at this weighted similarity to an item contaminate a document.
 WORDS, SIMILARITY = 5, 0.8
 #: Fingerprints within so many bits are candidates. Eight blocks of a byte, probed within two bits: a pair
 #: that differs by three bits or more in every block is at least 24 bits apart.
 RADIUS = 23
-#: What a byte may differ by: nothing, one bit, two bits.
-_PROBES = np.array([x for x in range(256) if x.bit_count() <= 2])
 #: Items (and characters of items) that tasks are sent at once; a larger benchmark takes several passes.
 MAX_ITEMS, MAX_CHARS = 20_000, 20_000_000
 
@@ -52,13 +51,15 @@ class Items:
     """Benchmark items, indexed: shingles by hash, fingerprints by Hamming blocks.
 
     ``counts``: how many texts of the whole benchmark hold a shingle, by (width, hash), where it is more
-    than one; None: counted over ``rows``. Texts of the same words are one.
+    than one; None: counted over ``rows``. Texts of the same words are one. Of an item only its rarest shingles are
+    indexed: what is passed over weighs less than ``similarity`` of the item, so that a match holds one of those that are.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], width: int = WORDS, counts: dict[tuple[int, int], int] | None = None):
+    def __init__(self, rows: list[tuple[int, str]], width: int = WORDS, counts: dict[tuple[int, int], int] | None = None, similarity: float = SIMILARITY):
         words, first = word_hashes([t or "" for _, t in rows])
-        self.ids, self.sizes, self.widths, self.bags = [], [], [], []
-        holders: dict[tuple[int, int], list[int]] = defaultdict(list)
+        self.ids, self.widths, self.bags = [], [], []
+        self.sizes: list[int] = []
+        shingles: set[tuple[int, int]] = set()
         seen: set[int] = set()
         local: Counter = Counter()
         for (item, _), a, b in zip(rows, first, first[1:]):
@@ -66,45 +67,58 @@ class Items:
                 continue  # an item of no words is in no document
             w = min(width, b - a)
             bag = Counter(shingle_hashes(words[a:b], w).tolist())
-            for h in bag:
-                holders[w, h].append(len(self.ids))
+            shingles.update((w, h) for h in bag)
             if counts is None and (same := words_key(words[a:b])) not in seen:
                 seen.add(same)
                 local.update((w, h) for h in bag)
             self.ids.append(item)
-            self.sizes.append(int(b - a))
             self.widths.append(int(w))
             self.bags.append(bag)
+            self.sizes.append(int(b - a))
         # A shingle weighs less the more texts share it.
         counts = local if counts is None else counts
-        self.weight = {x: 1.0 / counts.get(x, 1) for x in holders}
+        self.weight = {x: 1.0 / counts.get(x, 1) for x in shingles}
         self.scales = [scale_of(bag, self.weight, w) for bag, w in zip(self.bags, self.widths)]
         # Fingerprints are taken with weights of at most the power of two below the item's scale.
-        self.levels = [2.0 ** np.floor(np.log2(x * (1 + 1e-12))) for x in self.scales]
-        self.kinds = np.array(list(zip(self.sizes, self.levels)), dtype=np.float64).reshape(-1, 2)
+        levels = [2.0 ** np.floor(np.log2(x * (1 + 1e-12))) for x in self.scales]
+        self.kinds = sorted(set(zip(self.sizes, levels)))
+        number = {kind: k for k, kind in enumerate(self.kinds)}
+        self.kind_of = [number[kind] for kind in zip(self.sizes, levels)]
+        holders: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for i in range(len(self.ids)):
+            for h in self._rare(i, similarity):
+                holders[self.widths[i], h].append(i)
         self.known = {}
         for w in sorted(set(self.widths)):
-            hs = np.array(sorted(h for x, h in holders if x == w), dtype=np.uint64)
-            sizes = [tuple(sorted({(self.sizes[i], self.levels[i]) for i in holders[w, int(h)]})) for h in hs]
-            self.known[w] = (HashTable(hs), np.array([self.weight[w, int(h)] for h in hs]), sizes)
-        self.prints = np.array([self._print_of(i) for i in range(len(self.ids))], dtype=np.uint64)
-        self.blocks = []
-        owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), len(_PROBES))
-        for b in range(8):
-            value = (self.prints >> np.uint64(8 * b) & np.uint64(255)).astype(np.int64)
-            near = (value[:, None] ^ _PROBES).ravel()
-            order = np.argsort(near, kind="stable")
-            self.blocks.append(np.split(owner[order], np.searchsorted(near[order], np.arange(1, 256))))
-
-    def _print_of(self, i: int) -> int:
+            hs = np.array(sorted(h for x, h in shingles if x == w), dtype=np.uint64)
+            items = [np.array(holders.get((w, int(h)), ()), dtype=np.int64) for h in hs]
+            self.known[w] = (HashTable(hs), np.array([self.weight[w, int(h)] for h in hs]), items)
+        self.prints = np.array([self._print_of(i, levels[i]) for i in range(len(self.ids))], dtype=np.uint64)
+        #: Per block and byte a bitmap of the items whose own byte is within two bits of it.
+        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[None, :, None] ^ self.prints[:, None].view(np.uint8).T[:, None, :]) <= 2
+        self.blocks = np.packbits(near, axis=2)
+
+    def _rare(self, i: int, similarity: float) -> list[int]:
+        """The item's shingles but the most common ones, as long as those weigh less than ``similarity`` of all."""
+        bag, w = self.bags[i], self.widths[i]
+        order = sorted(bag, key=lambda h: (self.weight[w, h], h))
+        whole, held = self.scales[i] * sum(bag.values()), 0.0
+        for at, h in enumerate(order):
+            held += self.weight[w, h] * bag[h]
+            if held >= similarity * whole * (1 - 1e-9):
+                return order[at:]
+        return order
+
+    def _print_of(self, i: int, level: float) -> int:
         hs = np.array(list(self.bags[i].elements()), dtype=np.uint64)
-        weights = np.minimum([self.weight[self.widths[i], int(h)] for h in hs], self.levels[i])
+        weights = np.minimum([self.weight[self.widths[i], int(h)] for h in hs], level)
         return int(simhashes(hs, weights, np.array([0]), np.array([len(hs)]))[0])
 
-    def near(self, fp: int) -> np.ndarray:
-        """Items within RADIUS of ``fp``: those of the eight blocks' lists, then by distance."""
-        found = np.unique(np.concatenate([self.blocks[b][fp >> (8 * b) & 255] for b in range(8)]))
-        return found[np.bitwise_count(self.prints[found] ^ np.uint64(fp)) <= RADIUS]
+    def near(self, i: int, prints: np.ndarray) -> np.ndarray:
+        """Which of ``prints`` are within RADIUS of item ``i``: those that a block's bitmap has it under, then by distance."""
+        byte = prints[:, None].view(np.uint8)
+        listed = (self.blocks[np.arange(8), byte, i >> 3] >> np.uint8(7 - (i & 7)) & 1).any(axis=1)
+        return listed & (np.bitwise_count(prints ^ self.prints[i]) <= RADIUS)
 
 
 def simhashes(hs: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -141,11 +155,11 @@ def matches(texts: list[str], items: Items, similarity: float = SIMILARITY) -> l
     """For each text the items that a window of it matches, with the best similarity.
 
     Windows of the size of an item (and for its level of weights), cut at the end of the text, begin at every word from which they
-    hold a shingle of an item of that size; windows without one have similarity 0.
+    hold an indexed shingle of an item of that size; windows without one are less similar than the limit.
     """
     out: list[dict[int, float]] = [{} for _ in texts]
     words, first = word_hashes(texts)
-    for width, (known, weights, sizes_of) in items.known.items():
+    for width, (known, weights, items_of) in items.known.items():
         hs = shingle_hashes(words, width)
         hits, grams = known.find(hs)
         owner = np.searchsorted(first, hits, side="right") - 1
@@ -154,36 +168,35 @@ def matches(texts: list[str], items: Items, similarity: float = SIMILARITY) -> l
         for d in np.unique(owner):
             mine = owner == d
             lo, hi = int(first[d]), int(first[d + 1]) - width + 1
-            spans: dict[tuple[int, float], list[int]] = defaultdict(list)
-            for p, g in zip(hits[mine].tolist(), grams[mine].tolist()):
-                for kind in sizes_of[g]:
-                    spans[kind].append(p)
+            at: dict[int, list[int]] = defaultdict(list)
+            for p, g in zip((hits[mine] - lo).tolist(), grams[mine].tolist()):
+                for i in items_of[g].tolist():
+                    at[i].append(p)
             h = hs[lo:hi]
             known_as = np.ones(len(h))
             known_as[hits[mine] - lo] = weights[grams[mine]]
-            for (size, level), ps in spans.items():
-                w = np.minimum(known_as, level)
+            of_kind: dict[int, list[int]] = defaultdict(list)
+            for i in at:
+                of_kind[items.kind_of[i]].append(i)
+            for kind, those in of_kind.items():
+                size, level = items.kinds[kind]
+                w, reach = np.minimum(known_as, level), size - width
+                places = {i: np.array(sorted(set(at[i]))) for i in those}
                 marks = np.zeros(len(h) + 1, dtype=np.int64)
-                p = np.array(ps) - lo
-                np.add.at(marks, np.maximum(p - (size - width), 0), 1)
+                p = np.unique(np.concatenate(list(places.values())))
+                np.add.at(marks, np.maximum(p - reach, 0), 1)
                 np.add.at(marks, p + 1, -1)
                 starts = np.flatnonzero(np.cumsum(marks[:-1]))
-                ends = np.minimum(starts + size - width + 1, len(h))
                 for block in range(0, len(starts), 4096):
-                    s, e = starts[block : block + 4096], ends[block : block + 4096]
-                    low = s[0]
-                    prints = simhashes(h[low : e[-1]], w[low : e[-1]], s - low, e - low)
-                    for a, b, fp in zip(s.tolist(), e.tolist(), prints.tolist()):
-                        near = items.near(fp)
-                        near = near[(items.kinds[near] == (size, level)).all(axis=1)]
-                        if not len(near):
-                            continue
-                        bag = Counter(h[a:b].tolist())
-                        for i in near.tolist():
-                            if items.widths[i] == width:
-                                x = weighted_similarity(bag, items.bags[i], items.weight, width, items.scales[i])
-                                if x >= similarity:
-                                    out[d][items.ids[i]] = max(x, out[d].get(items.ids[i], 0.0))
+                    s = starts[block : block + 4096]
+                    e = np.minimum(s + reach + 1, len(h))
+                    prints = simhashes(h[s[0] : e[-1]], w[s[0] : e[-1]], s - s[0], e - s[0])
+                    for i in those:
+                        holds = np.searchsorted(places[i], e) > np.searchsorted(places[i], s)
+                        for x in np.flatnonzero(holds)[items.near(i, prints[holds])].tolist():
+                            like = weighted_similarity(Counter(h[s[x] : e[x]].tolist()), items.bags[i], items.weight, width, items.scales[i])
+                            if like >= similarity:
+                                out[d][items.ids[i]] = max(like, out[d].get(items.ids[i], 0.0))
     return out
 
 
@@ -219,13 +232,16 @@ def _with_counts(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     shingles = keyed.dropDuplicates(["key"]).select("key", "width", F.explode("hs").alias("h"))
     counts = saved(shingles.groupBy("width", "h").agg(F.count("*").alias("n")).where("n > 1"))
     per_text = saved(shingles.join(small(counts), ["width", "h"]).groupBy("key").agg(F.collect_list(F.struct("h", "n")).alias("shared")))
-    return saved(keyed.select("id", "body", "key").join(small(per_text, 64), "key", "left").select("id", "body", "shared"))
+    out = saved(keyed.select("id", "body", "key").join(small(per_text, F.size("shared")), "key", "left").select("id", "body", "shared"))
+    release(keyed, counts, per_text)
+    return out
 
 
 def _slices(benchmark: DataFrame, item: str, text: str) -> Iterator[list[Row]]:
     """The distinct items, in runs that tasks may be sent."""
     run, held = [], 0
-    for row in _with_counts(benchmark, item, text).toLocalIterator():
+    items = _with_counts(benchmark, item, text)
+    for row in items.toLocalIterator():
         if run and (len(run) >= MAX_ITEMS or held + len(row[1] or "") > MAX_CHARS):
             yield run
             run, held = [], 0
@@ -234,28 +250,37 @@ def _slices(benchmark: DataFrame, item: str, text: str) -> Iterator[list[Row]]:
         held += len(row[1] or "")
     if run:
         yield run
+    release(items)
+
 
+class Run:
+    """Items that tasks are sent together; a Python worker indexes them once, for all its tasks."""
 
-def _items(rows: list[Row]) -> Items:
-    """``rows`` indexed, with the counts of the whole benchmark."""
-    counts = {}
-    for _, body, hs, ns in rows:
-        if len(hs):
-            w = min(WORDS, len(word_hashes([body])[0]))
-            counts.update(((w, h), n) for h, n in zip(hs.tolist(), ns.tolist()))
-    return Items([r[:2] for r in rows], WORDS, counts)
+    def __init__(self, rows: list[Row], similarity: float):
+        self.rows, self.similarity, self._items = rows, similarity, None
+
+    def items(self) -> Items:
+        """Indexed with the counts of the whole benchmark."""
+        if self._items is None:
+            counts = {}
+            for _, body, hs, ns in self.rows:
+                if len(hs):
+                    w = min(WORDS, len(word_hashes([body])[0]))
+                    counts.update(((w, h), n) for h, n in zip(hs.tolist(), ns.tolist()))
+            self._items = Items([r[:2] for r in self.rows], WORDS, counts, self.similarity)
+        return self._items
 
 
 MATCHES = "array<struct<item:long,similarity:double>>"
 
 
-def _searcher(sent: Broadcast, similarity: float):
+def _searcher(sent: Broadcast):
     kind = pa.list_(pa.struct([("item", pa.int64()), ("similarity", pa.float64())]))
 
     def search(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        items = _items(sent.value)
+        items = sent.value.items()
         for array in arrays:
-            got = [m for _, texts in blocks(array) for m in matches(texts, items, similarity)]
+            got = [m for _, texts in blocks(array) for m in matches(texts, items, sent.value.similarity)]
             order = [sorted(m.items(), key=lambda x: (x[0] is None, x[0])) for m in got]
             yield pa.array([[{"item": i, "similarity": s} for i, s in x] for x in order], kind)
 
@@ -276,13 +301,17 @@ def find_contamination(
     item's shingles do on average. Empty tables give
     an empty column or no rows. Columns of ``docs`` stay, but one named as ``column`` is replaced.
     Documents never move between tasks. The benchmark is read to the driver in runs of at most MAX_ITEMS items or
-    MAX_CHARS characters, and each run is a pass over ``docs``.
+    MAX_CHARS characters, and each run is a pass over ``docs``; a task holds the index of one run, and between
+    passes the table is written, whatever ``text`` is. ``column`` must not be ``text``.
     """
     sc = docs.sparkSession.sparkContext
-    found = [
-        F.arrow_udf(_searcher(sc.broadcast(rows), similarity), MATCHES)(F.col(text).cast("string"))
-        for rows in _slices(benchmark, item, item_text)
-    ]
-    if not found:
-        return docs.withColumn(column, F.array().cast(MATCHES))
-    return docs.withColumn(column, F.array_sort(F.concat(*found)) if len(found) > 1 else found[0])
+    out, before = docs.withColumn(column, F.array().cast(MATCHES)), None
+    for n, rows in enumerate(_slices(benchmark, item, item_text)):
+        found = F.arrow_udf(_searcher(sc.broadcast(Run(rows, similarity))), MATCHES)(F.col(text).cast("string"))
+        if n:  # a pass holds one run's index
+            now = saved(out)
+            release(before)
+            out, before = now.withColumn(column, F.array_sort(F.concat(F.col(column), found))), now
+        else:
+            out = docs.withColumn(column, found)
+    return out

@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import blocks, connected_components, mixed, pairs_of_buckets, saved, small
+from kindling.llm.common import blocks, connected_components, free_name, mixed, pairs_of_buckets, small
+from kindling.storage import release, saved
 
 #: Characters of a shingle; lines at this Jaccard or more are the same line.
 WIDTH, SIMILARITY = 8, 0.8
@@ -124,7 +125,7 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         texts.append(normal(parts[x["line_no"]]))
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(texts, pa.string())], names=["h", "line"])
 
-    return docs.join(small(per_doc, 4), ["doc", "tie"]).select("body", "lines").mapInArrow(run, "h long, line string")
+    return docs.join(small(per_doc, F.size("lines")), ["doc", "tie"]).select("body", "lines").mapInArrow(run, "h long, line string")
 
 
 def jaccard(a: set, b: set) -> float:
@@ -175,8 +176,9 @@ def _shared(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_links(hs: list[int], components: list[int], lines: list[str], width: int, similarity: float) -> Iterator[tuple[int, int]]:
-    """Links that connect what of a bucket hangs together, beyond ``components``: exact Jaccard of all its lines at once."""
+def bucket_links(hs: list[int], components: list[int], lines: list[str], width: int, similarity: float, rest: list[bool] | None = None) -> Iterator[tuple[int, int]]:
+    """Links that connect what of a bucket hangs together, beyond ``components``: exact Jaccard of all its lines at once.
+    ``rest``: lines of which one at least is in every pair that matters; all by default."""
     if len(hs) <= 6:
         texts = [shingles(x, width) for x in lines]
         for j in range(1, len(hs)):
@@ -187,8 +189,8 @@ def bucket_links(hs: list[int], components: list[int], lines: list[str], width:
     h, starts, ends = hashed_shingles(lines, width)
     sets = [np.unique(h[a:b]) for a, b in zip(starts, ends)]
     size = np.array([len(x) for x in sets])
-    group, times = np.unique(components, return_inverse=True, return_counts=True)[1:]
-    some = np.flatnonzero(group != times.argmax())  # the largest component is not compared with itself
+    group = np.unique(components, return_inverse=True)[1]
+    some = np.arange(len(hs)) if rest is None else np.flatnonzero(rest)
     both = _shared(sets, some)
     alike = both >= similarity * (size[some][:, None] + size[None, :] - both) - 1e-4
     for row, i in zip(alike, some.tolist()):
@@ -198,29 +200,63 @@ def bucket_links(hs: list[int], components: list[int], lines: list[str], width:
                 yield hs[i], hs[j]
 
 
-def _open_links(large: DataFrame, labels: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): links between lines that share a bucket of ``large`` and are not connected yet.
-
-    Only buckets of several components are looked at. Their lines are compared in one task, without a
-    row per pair; a bucket of over BUCKET lines is dealt into parts, and each two parts meet in a task.
+def _several(at: DataFrame) -> DataFrame:
+    """(key, n, main, rest) of the buckets of ``at`` (key, h, component) that hold several components: lines, the component of most
+    lines, and the lines of all others. Counted by component first, so that a hot bucket is not gathered."""
+    by_component = at.groupBy("key", "component").agg(F.count("*").alias("m"))
+    most = F.max(F.struct("m", (-F.col("component")).alias("minus")))
+    sizes = by_component.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("components"), most.alias("most")).where("components > 1")
+    return sizes.select("key", "n", (-F.col("most.minus")).alias("main"), (F.col("n") - F.col("most.m")).alias("rest"))
+
+
+def _by_rare_shingle(at: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The lines of ``at`` (key, h, component) dealt into finer buckets: by those of their shingles that are rarest in their bucket, as many
+    as two lines of ``similarity`` cannot all lack. Lines that only share what the whole bucket has do not meet; no link is lost."""
+    last = F.greatest(F.length("line") - F.lit(width - 1), F.lit(1))
+    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(F.col("line"), i, F.lit(width)))))
+    shingles_ = saved(at.join(texts.select("h", cut.alias("s")).hint("merge"), "h").select("key", "h", "component", F.size("s").alias("n"), F.explode("s").alias("s")))
+    held = saved(shingles_.groupBy("key", "s").agg(F.count("*").alias("df")).where("df > 1"))
+    shared = shingles_.join(held.hint("merge"), ["key", "s"]).groupBy("key", "h", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("s"))
+    # What no other line of the bucket has stands first in the order by rarity.
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1 - (F.col("n") - F.size("s"))
+    rare = saved(shared.select("key", "h", "component", F.explode(F.slice("s", F.lit(1), F.greatest(prefix, F.lit(0)))).alias("s")))
+    release(shingles_, held)
+    return rare.select(F.xxhash64("key", F.col("s.s")).alias("key"), "h", "component")
+
+
+def _open_links(large: DataFrame, labels: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame | None:
+    """(a, b): links between lines that share a bucket of ``large`` and are not connected yet; None if no bucket can hold one.
+
+    Only buckets of several components are looked at. Of those that hold over BUCKET lines the lines are first dealt by their
+    rare shingles. Lines of a bucket are compared in one task, without a row per pair; in a larger one those outside its largest component
+    are dealt into parts, all are dealt into parts, and each two parts meet in a task: the work grows with the lines that are open.
     """
     at = saved(large.join(small(labels.withColumnRenamed("id", "h")), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component")))
-    open_ = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
-    open_ = saved(open_.select("key", F.ceil(F.col("n") / F.lit(BUCKET)).cast("long").alias("parts")))
-    part = F.pmod(F.xxhash64("h"), F.col("parts"))
-    dealt = (
-        at.join(small(open_), "key")
-        .select("key", "h", "component", part.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"))
-        .select("key", "h", "component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    )
-    whole = dealt.join(texts.hint("merge"), "h").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "component", "line")).alias("lines"))
+    open_ = saved(_several(at))
+    if open_.isEmpty():
+        return None
+    hot = open_.where(F.col("n") > BUCKET)
+    members = at.join(small(open_.where(F.col("n") <= BUCKET).select("key")), "key")
+    if not hot.isEmpty():
+        finer = _by_rare_shingle(at.join(F.broadcast(hot.select("key")), "key") if hot.count() <= BUCKET else at.join(hot.select("key"), "key"), texts, width, similarity)
+        members = members.union(finer)
+    members = saved(members.select("key", "h", "component").distinct())
+    open_ = saved(_several(members))
+    parts = F.ceil(F.col("n") / F.lit(BUCKET)).cast("long").alias("parts"), F.ceil(F.col("rest") / F.lit(BUCKET)).cast("long").alias("rests")
+    both = members.join(small(open_), "key").select("key", "h", "component", "main", *parts)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = both.select("key", "h", "component", F.lit(False).alias("rest"), F.pmod(F.xxhash64("h"), F.col("parts")).alias("i"), upto("rests").alias("j"))
+    rest = both.where("component <> main").select("key", "h", "component", F.lit(True).alias("rest"), upto("parts").alias("i"), F.pmod(F.xxhash64("h"), F.col("rests")).alias("j"))
+    dealt = every.union(rest).groupBy("key", "h", "component", "i", "j").agg(F.max("rest").alias("rest"))
+    whole = dealt.join(texts.hint("merge"), "h").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "component", "line", "rest")).alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
             for bucket in batch.column(0):
                 columns = bucket.values
-                links.extend(bucket_links(*(columns.field(c).to_pylist() for c in range(3)), width, similarity))
+                h, component, line, rest = (columns.field(c).to_pylist() for c in range(4))
+                links.extend(bucket_links(h, component, line, width, similarity, rest))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return whole.select("lines").mapInArrow(run, "a long, b long").distinct()
@@ -235,7 +271,6 @@ def line_components(docs: DataFrame, lines: DataFrame, width: int = WIDTH, simil
     """
     members = lines.select(F.explode("bands").alias("key"), "h")
     pairs, large = pairs_of_buckets(members, "key", "h")
-    pairs = saved(pairs)
     nodes = saved(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(large.select("h")).distinct())
     if nodes.isEmpty():
         return None
@@ -246,9 +281,12 @@ def line_components(docs: DataFrame, lines: DataFrame, width: int = WIDTH, simil
     # A text may stand in several rows; a line is kept once.
     texts = saved(_wanted_lines(docs, found).groupBy("h").agg(F.min("line").alias("line")))
     links = saved(_verified(pairs, texts, width, similarity))
+    release(pairs, nodes)
     labels = connected_components(links)  # none of the stars may hold, and yet others of their bucket
-    more = saved(_open_links(large, labels, texts, width, similarity))
-    if not more.isEmpty():
+    more = _open_links(large, labels, texts, width, similarity)
+    more = None if more is None else saved(more)
+    release(texts)
+    if more is not None and not more.isEmpty():
         labels = connected_components(links.union(more))
     return None if labels.isEmpty() else labels
 
@@ -264,7 +302,9 @@ def dropped_lines(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
         at = at.join(small(labels.withColumnRenamed("id", "h")), "h", "left").select("doc", "line_no", "tie", F.coalesce("component", "h").alias("component"))
     first = saved(at.groupBy("component").agg(F.min(F.struct("doc", "line_no", "tie")).alias("first"), F.count("*").alias("n")).where("n > 1"))
     gone = at.join(small(first), "component").where(F.struct("doc", "line_no", "tie") != F.col("first"))
-    return saved(gone.groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")))
+    out = saved(gone.groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")))
+    release(lines, first)
+    return out
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
@@ -274,9 +314,9 @@ def kept_text(text: Column, dropped: Column) -> Column:
 
 def dedup_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY,
-    bands: int = BANDS, rows: int = ROWS,
+    bands: int = BANDS, rows: int = ROWS, column: str = "dropped_lines",
 ) -> DataFrame:
-    """``docs`` with ``text`` cut to the lines that stay, and ``dropped_lines`` (line numbers from 0, or null).
+    """``docs`` with ``text`` cut to the lines that stay, and ``column`` (numbers from 0 of the lines that went, or null).
 
     Lines are what stands between line feeds, compared in lower case with white space as one space.
     Lines linked directly or through others, across all documents and inside one, are one line; the
@@ -285,13 +325,12 @@ def dedup_lines(
     ``width`` are one shingle; blank lines stay and link to nothing. A null text stays null, an
     empty one empty; a document that loses all lines keeps its row with an empty text. Rows of
     one ``key`` (null is one key) and text share their decisions, so that a repeated row stays as its twin does; unlike texts of
-    one key are judged apart. An empty table gives no rows. All columns of ``docs`` are kept; one named dropped_lines is replaced. Two different
-    lines with one 64-bit hash (expected once in 10^9.6 lines) would count as equal.
+    one key are judged apart. An empty table gives no rows. All columns of ``docs`` are kept, whatever their names, but one named as ``column``
+    is replaced. Two different lines with one 64-bit hash (expected once in 10^9.6 lines) would count as equal.
     """
     gone = dropped_lines(_texts(docs, key, text), width, similarity, bands, rows)
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("dropped").alias("__dropped"))
-    out = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
-    out = out.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    out = out.join(small(gone, 4), (F.col("__key") == F.col("__doc")) & (F.col("__hash") == F.col("__tie")), "left")
-    out = out.withColumn(text, kept_text(F.col(text), F.col("__dropped"))).withColumn("dropped_lines", F.col("__dropped"))
-    return out.drop("__key", "__hash", "__doc", "__tie", "__dropped")
+    doc, tie, dropped = (free_name(c, docs) for c in ("doc_", "tie_", "dropped_"))
+    gone = gone.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("dropped").alias(dropped))
+    same = (F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))) == F.col(doc)) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col(tie))
+    out = docs.join(small(gone, F.size(dropped)), same, "left")
+    return out.withColumn(text, kept_text(F.col(text), F.col(dropped))).withColumn(column, F.col(dropped)).drop(doc, tie, dropped)

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.llm.common import saved
+from kindling.llm.common import small
+from kindling.storage import saved
 
 #: Permitted sequence lengths in tokens.
 CAPACITIES = (256, 512, 1024, 2048)
-#: Parts in which the pieces of one length are numbered, so that a common length is not one task's.
-SALTS = 64
+#: Pieces of one length that are numbered in one part, on average; a common length has as many parts as it needs.
+PART = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -103,16 +104,18 @@ def plan_bins(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIES,
     return dict(zip(("length", "first", "group", "each", "offset"), columns)) | {"start": np.concatenate([[0], np.cumsum(bins)[:-1]]), "bins": bins, "size": final, "used": np.array(group["used"], dtype=np.int64)}
 
 
-def _numbered(pieces: DataFrame, salts: int) -> DataFrame:
-    """``pieces`` with ``number``: 0, 1, .. within each length. A length's pieces are numbered in
-    ``salts`` parts by a hash; a part starts where the parts before it end."""
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "tie"), F.lit(salts)))
-    counts = pieces.groupBy("tokens", "salt").agg(F.count("*").alias("n"))
+def _numbered(pieces: DataFrame, counts: dict[int, int], part: int) -> DataFrame:
+    """``pieces`` with ``number``: 0, 1, .. within each length. A length's pieces are numbered in parts of about ``part`` of
+    them, dealt by a hash, as many as its count asks for; a part starts where the parts before it end."""
+    parts = [[length, max(1, -(-n // part))] for length, n in sorted(counts.items())]
+    parts = pieces.sparkSession.createDataFrame(parts, "tokens long, parts long")  # a row per length, bounded by the largest capacity
+    pieces = pieces.join(F.broadcast(parts), "tokens").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "tie"), F.col("parts")))
+    held = pieces.groupBy("tokens", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+    starts = saved(held.select("tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from")))
     inside = Window.partitionBy("tokens", "salt").orderBy("id", "piece", "tie")
     ranked = pieces.withColumn("at", F.row_number().over(inside) - 1)
-    return ranked.join(F.broadcast(starts), ["tokens", "salt"]).withColumn("number", F.col("from") + F.col("at")).drop("salt", "from", "at")
+    return ranked.join(small(starts), ["tokens", "salt"]).withColumn("number", F.col("from") + F.col("at")).drop("salt", "parts", "from", "at")
 
 
 def pack(
@@ -156,7 +159,7 @@ def pack(
     kind = docs.schema[key].dataType.simpleString()
     names = ["id", "piece", "start", "n_tokens", "bin_id", "bin_capacity", "bin_used", "bin_offset"]
     schema = f"id {kind}, piece long, start long, n_tokens long, bin_id long, bin_capacity long, bin_used long, bin_offset long"
-    numbered = _numbered(pieces.where("tokens > 0"), SALTS)
+    numbered = _numbered(pieces.where("tokens > 0"), counts, PART)
     packed = numbered.select("id", "piece", "start", "tokens", "number").mapInArrow(deal, schema)
     none = pieces.where("tokens = 0").select("id", "piece", "start", F.col("tokens").alias("n_tokens"), *[F.lit(None).cast("long").alias(c) for c in names[4:]])
     return packed.union(none).withColumnRenamed("id", key)

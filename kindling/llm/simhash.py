@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindling.llm.common import connected_components, saved, small
+from kindling.llm.common import connected_components, free_name, small
+from kindling.storage import release, saved
 
 #: Words of a shingle, hash seed, bits that linked fingerprints may differ in.
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -179,7 +180,9 @@ def _grouped(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     labels = connected_components(links)
     at = saved(classes.join(small(labels.withColumnRenamed("id", "fp")), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
     least = saved(at.groupBy("component").agg(F.min("first").alias("component_id")))
-    return rows, saved(at.join(small(least), "component").select("fp", "component", "component_id"))
+    groups = saved(at.join(small(least), "component").select("fp", "component", "component_id"))
+    release(classes, links, at, least)
+    return rows, groups
 
 
 def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,20 +205,21 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     keeps one of its rows. All columns are kept as they are.
     """
     rows, groups = _grouped(docs, key, text)
+    ident, n, stands, mark, own, component, first = (free_name(c, docs) for c in ("id_", "n_", "stands_", "fp_", "own_", "component_", "first_"))
     keep = saved(
         rows.join(small(groups), "fp").where("id is not null")
-        .groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__n"), F.max(F.col("id") == F.col("component_id")).alias("__stands")).where("__stands")
+        .groupBy(F.col("id").alias(ident)).agg(F.count("*").alias(n), F.max(F.col("id") == F.col("component_id")).alias(stands)).where(F.col(stands))
     )
-    stay = docs.join(small(keep), F.col(key) == F.col("__id"))
-    out = stay.where("__n = 1").drop("__id", "__n", "__stands")
+    stay = docs.join(small(keep), F.col(key) == F.col(ident))
+    out = stay.where(F.col(n) == 1).drop(ident, n, stands)
     hashed = F.arrow_udf(_hashed, "long")
-    if not keep.where("__n > 1").isEmpty():  # which of the rows of a key stand is told by their text
-        several = stay.where("__n > 1").drop("__n", "__stands").withColumn("__fp", hashed(F.col(text).cast("string")))
-        own = groups.select(F.col("fp").alias("__own"), F.col("component").alias("__component"), F.col("component_id").alias("__first"))
-        several = several.join(small(own), (F.col("__fp") == F.col("__own")) & (F.col("__id") == F.col("__first")))
-        out = out.unionByName(several.dropDuplicates(["__id", "__component"]).drop("__id", "__fp", "__own", "__component", "__first"))
+    if not keep.where(F.col(n) > 1).isEmpty():  # which of the rows of a key stand is told by their text
+        several = stay.where(F.col(n) > 1).drop(n, stands).withColumn(mark, hashed(F.col(text).cast("string")))
+        of_fp = groups.select(F.col("fp").alias(own), F.col("component").alias(component), F.col("component_id").alias(first))
+        several = several.join(small(of_fp), (F.col(mark) == F.col(own)) & (F.col(ident) == F.col(first)))
+        out = out.unionByName(several.dropDuplicates([ident, component]).drop(ident, mark, own, component, first))
     if rows.where("id is null").isEmpty():
         return out
-    nameless = docs.where(F.col(key).isNull()).withColumn("__fp", hashed(F.col(text).cast("string")))
-    alone = groups.where("component_id is null").select(F.col("fp").alias("__id"), F.col("component").alias("__component"))
-    return out.unionByName(nameless.join(alone, F.col("__fp") == F.col("__id")).dropDuplicates(["__component"]).drop("__id", "__fp", "__component"))
+    nameless = docs.where(F.col(key).isNull()).withColumn(mark, hashed(F.col(text).cast("string")))
+    alone = groups.where("component_id is null").select(F.col("fp").alias(own), F.col("component").alias(component))
+    return out.unionByName(nameless.join(small(alone), F.col(own) == F.col(mark)).dropDuplicates([component]).drop(own, mark, component))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.llm.common import let, saved, small
+from kindling.llm.common import let, small
+from kindling.storage import release, saved
 
 #: Words in a k-mer, words in an inner s-mer.
 K, S = 8, 2

@@ -48,12 +48,15 @@ def test_windows_by_brute_force():
 def test_blocks_miss_nothing_within_the_radius():
     items = dc.Items([(i, " ".join(words(20, i))) for i in range(300)])
     rng = np.random.default_rng(1)
+    prints = []
     for _ in range(300):
         fp = int(items.prints[rng.integers(300)])
         for b in rng.choice(64, rng.integers(0, 22), replace=False):
             fp ^= 1 << int(b)
-        want = np.flatnonzero(np.bitwise_count(items.prints ^ np.uint64(fp)) <= dc.RADIUS)
-        assert items.near(fp).tolist() == want.tolist()
+        prints.append(fp)
+    prints = np.array(prints, dtype=np.uint64)
+    for i in range(300):
+        assert items.near(i, prints).tolist() == (np.bitwise_count(prints ^ items.prints[i]) <= dc.RADIUS).tolist()
 
 
 def test_large_benchmarks_take_passes(spark, monkeypatch):
@@ -116,6 +119,24 @@ def test_pairs_over_the_limit_are_within_the_radius():
         changed = hs.copy()
         n = len(hs) // 9  # n of the item's shingles give way to n others: (len - n) / (len + n) >= 0.8
         changed[:n] = dc.mixed(changed[:n] + np.uint64(i + 1))
-        fp = int(dc.simhashes(changed, np.ones(len(hs)), np.array([0]), np.array([len(hs)]))[0])
-        missed += i not in items.near(fp)
+        fp = dc.simhashes(changed, np.ones(len(hs)), np.array([0]), np.array([len(hs)]))
+        missed += not items.near(i, fp)[0]
     assert missed == 0
+
+
+def test_verdicts_do_not_depend_on_the_runs(spark, monkeypatch):
+    """Items on one template, and an edited passage of one of them: the same with one item a run as with all in one."""
+    shared = words(25, 1)
+    items = [(i, " ".join(shared + words(25, 50 + i))) for i in range(12)] + [(99, " ".join(shared + words(25, 55)))]
+    texts = []
+    for i in range(12):
+        w = items[i][1].split()
+        w[40] = "edited"
+        texts.append((i, " ".join(words(30, 300 + i) + w[: 45 + i % 6] + words(9, 400 + i))))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, BENCH)
+    got = []
+    for most in (1, 2, 1000):
+        monkeypatch.setattr(dc, "MAX_ITEMS", most)
+        got.append({r.doc_id: [(x["item"], round(x["similarity"], 9)) for x in r.contamination] for r in dc.find_contamination(docs, bench).collect()})
+    assert got[0] == got[1] == got[2]
+    assert [x[0] for x in got[0][5]] == [5, 99] and all(got[0][i] for i in range(12))

@@ -99,3 +99,11 @@ def test_query(spark, sf):
     assert dict(got) == docs
     filled, places = check(rows, packing.CAPACITIES)
     assert filled == sum(docs.values()) and filled / places > 0.97
+
+
+def test_a_dominant_length_is_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 7)
+    docs = spark.createDataFrame([(i, "a b c") for i in range(200)] + [(1000 + i, "a " * (i % 9)) for i in range(40)] + [(None, "a b c")] * 20, "doc_id long, text string").repartition(5)
+    rows = packing.pack(docs, capacities=(4, 8)).collect()
+    check(rows, (4, 8))
+    assert len(rows) == 260 and sum(r.n_tokens for r in rows) == 220 * 3 + sum(i % 9 for i in range(40))
