@@ -126,13 +126,13 @@ def test_pairs_over_the_limit_are_within_the_radius():
 
 def test_verdicts_do_not_depend_on_the_runs(spark, monkeypatch):
     """Items on one template, and an edited passage of one of them: the same with one item a run as with all in one."""
-    shared = words(25, 1)
-    items = [(i, " ".join(shared + words(25, 50 + i))) for i in range(12)] + [(99, " ".join(shared + words(25, 55)))]
+    shared = words(15, 1)
+    items = [(i, " ".join(shared + words(45, 50 + i))) for i in range(12)] + [(99, " ".join(shared + words(45, 55)))]
     texts = []
     for i in range(12):
         w = items[i][1].split()
         w[40] = "edited"
-        texts.append((i, " ".join(words(30, 300 + i) + w[: 45 + i % 6] + words(9, 400 + i))))
+        texts.append((i, " ".join(words(30, 300 + i) + w + words(9, 400 + i))))
     docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, BENCH)
     got = []
     for most in (1, 2, 1000):

@@ -1,5 +1,7 @@
 import hashlib
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from kindling.llm import syncmers
@@ -48,8 +50,9 @@ def test_closed_syncmers_by_definition(spark):
     assert len(got) == len(places)
     # Context-free: the anchors of a passage are found again inside another text.
     part = df.select(F.lit("other words here " + " ".join(words[50:200]) + " and more").alias("text")).select(syncmers.syncmers(F.col("text")).alias("a")).first().a
-    inside = [a for a, i in zip(got, places) if 50 <= i and i + k <= 200]
-    assert set(inside) <= set(part)
+    assert [a["at"] for a in got] == places
+    inside = [(a["hash"], i - 50 + 3) for a, i in zip(got, places) if 50 <= i and i + k <= 200]
+    assert set(inside) <= {(a["hash"], a["at"]) for a in part}
 
 
 def test_odd_documents(odd, empty):
@@ -75,3 +78,67 @@ def test_short_texts_have_anchors_of_their_own(spark):
     out = syncmers.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.fingerprint and r.edited_fingerprint for r in out) and len({r.fingerprint for r in out}) == len(rows)
     assert all(r.near_next < 1 for r in out)
+
+
+MASK = (1 << 64) - 1
+
+
+def plain(text):
+    """(hash, place) of the anchors of a text, by the definition and without Spark."""
+    words = re.findall(syncmers.WORD, text)
+    k, s = syncmers.K, syncmers.S
+
+    def hashed(parts):
+        h = 42
+        for x in parts:
+            h = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x, h)
+        return h
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    packed = lambda h: (h & MASK).to_bytes(8, "little")
+    if not words:
+        return []
+    if len(words) < k:
+        return [(signed(hashed([" ".join(words)])), 0)]
+    m = [signed(hashed(words[i : i + s])) for i in range(len(words) - s + 1)]
+    w = k - s + 1
+    kmers = [signed(hashed([packed(h) for h in m[i : i + w]])) for i in range(len(words) - k + 1)]
+    found = [(kmers[i], i) for i in range(len(kmers)) if min(m[i : i + w]) in (m[i], m[i + w - 1])]
+    return found or [min((h, i) for i, h in enumerate(kmers))]
+
+
+def plain_likeness(a, b):
+    x, y = ({(h, i - z[max(n - 1, 0)][1]) for n, (h, i) in enumerate(z)} for z in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_values_by_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    order = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    out = {r.doc_id: r for r in op4_syncmers(spark, sf).collect()}
+    text = lambda a: ",".join(f"{h & MASK:016x}" for h, _ in a)
+    for n, (doc, t) in enumerate(order):
+        after, m, r = order[(n + 1) % len(order)][1], len(t) // 3, out[doc]
+        own, changed = plain(t), plain(t[: len(t) - m] + after[:m])
+        assert (r.fingerprint, r.edited_fingerprint) == (text(own), text(changed))
+        assert r.positions == ",".join(str(i) for _, i in own)
+        assert abs(r.near_edited - plain_likeness(own, changed)) < 1e-12 and abs(r.near_next - plain_likeness(own, plain(after))) < 1e-12
+
+
+def test_blocks_are_bounded_for_clustered_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(syncmers, "MOST_ROWS", 24)
+    rows = [((c << 50) + i, f"cluster {c} text {i} " * (i % 3)) for c in range(3) for i in range(300)]
+    rows += [(-(1 << 62), "far below"), ((1 << 62) + 5, "far above")] + [(5, f"tie {i}") for i in range(200)] + [(None, f"nameless {i}") for i in range(300)] + [(None, "same")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    at = df.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), F.xxhash64("text").alias("tie"), "text")
+    blocked, _ = syncmers.in_blocks(at, "rank")
+    got = sorted(((r.rank, -r.tie, r.block, r.text) for r in blocked.collect()), key=lambda r: r[:2])
+    sizes = {}
+    for r in got:
+        sizes.setdefault(tuple(r[2]), []).append(r[3])
+    assert all(len(x) <= 24 or set(x) == {"same"} for x in sizes.values())
+    assert [r[2] for r in got] == sorted(r[2] for r in got)  # blocks do not fall as keys rise and ties fall
+    order = sorted(((r.rank, -r.tie, r.text) for r in at.collect()), reverse=True)
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + order[(i + 1) % len(order)][2][: len(t) // 3]).encode()).hexdigest() for i, (*_, t) in enumerate(order))
+    assert sorted(r.edited_sha256 for r in syncmers.fingerprint_documents(df).collect()) == want
