@@ -211,8 +211,8 @@ def labelled_sample(
 ) -> tuple[list[str], np.ndarray, tuple[float, float]]:
     """(whole texts, their 0/1 labels, the shares of the classes among all labels) for fitting.
 
-    At most ``each`` documents of a class with ``where`` (over ``id``), drawn by a hash of the id, and about
-    ``chars`` characters: beyond that documents are left out, long ones first to go. Several labels of one id: the
+    At most ``each`` documents of a class with ``where`` (over ``id``), drawn by a hash of the id, and at most
+    ``chars`` characters (or one document): in the order of the hash, so that what is left out does not depend on class or length. Several labels of one id: the
     largest; null ids and labels are left out.
     """
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
@@ -220,7 +220,7 @@ def labelled_sample(
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(each) for y in (0, 1)]
     sample = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    sample = sample.join(F.broadcast(drawn[0].union(drawn[1])), "id").withColumn("seen", F.sum(F.length("body")).over(Window.orderBy(F.length("body"), F.xxhash64("id"))))
+    sample = sample.join(F.broadcast(drawn[0].union(drawn[1])), "id").withColumn("seen", F.sum(F.length("body")).over(Window.orderBy(F.xxhash64("id"), "id", F.xxhash64("body"))))
     rows = sample.where((F.col("seen") <= chars) | (F.col("seen") == F.length("body"))).collect()
     rows.sort(key=lambda r: (str(r["id"]), r["body"]))
     total = sum(counts.values())

@@ -85,8 +85,8 @@ class Model:
         return (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
     def score(self, texts: list[str], neighbours: int = NEIGHBOURS) -> np.ndarray:
-        """Share of label 1 in the votes of the nearest labelled vectors, weighted by how much nearer
-        than the farthest of them; a text without terms, or no labelled vectors: the share of label 1."""
+        """Share of label 1 in the votes of the nearest labelled vectors, each weighted by the eighth power
+        of its cosine; a text without terms, or no labelled vectors: the share of label 1."""
         if not len(self.vectors):
             return np.full(len(texts), self.prior)
         out = np.empty(len(texts))

@@ -18,8 +18,11 @@ from kindling.llm.common import HashTable, blocks, in_fold, labelled_sample, mix
 TRAIN_DOCS, TRAIN_CHARS = 1000, 5_000_000
 #: Score from which a document is rejected; marginal from which a word is part of a span.
 THRESHOLD, SPAN_MARGINAL = 0.3, 0.5
-#: A feature is a cue if its documents lean to toxic by this log-likelihood ratio and this lift; cues kept at most.
-MIN_RATIO, MIN_LIFT, MAX_CUES = 18.0, 5.0, 4096
+#: A feature is a cue if its occurrences (so many of a document count at most) lean to toxic documents by this log-likelihood
+#: ratio and this lift, and so many toxic documents hold it; cues kept at most.
+BURST, MIN_RATIO, MIN_LIFT, MIN_HOLDERS, MAX_CUES = 3, 18.0, 5.0, 3, 4096
+#: Or if the documents in which it is at least this share of the words lean to toxic, by a ratio that grows with the logarithm of the sample.
+DENSE = 0.01
 #: Words that the fit takes through the chain at once; its arrays are a few hundred bytes a word.
 RUN_WORDS = 20_000
 #: Characters of word prefixes that are features besides the word.
@@ -34,6 +37,9 @@ def token_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """(features: a hash per word and kind, bytes, starts, ends, first word per text, first byte per text)."""
     data, starts, ends, first, begin = word_spans([t.encode("utf-8", "surrogatepass") for t in texts])
     low = _LOWER[data]
+    # Capital Latin letters with marks (U+00C0 to U+00DE) are two bytes, of which the second differs by a bit.
+    marked = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+    low[marked] |= 0x20
     kinds = [span_hashes(low, starts, ends)] + [span_hashes(low, starts, np.minimum(starts + n, ends)) for n in PREFIXES]
     return np.stack([mixed(h ^ s) for h, s in zip(kinds, _SALTS)]), data, starts, ends, first, begin
 
@@ -199,21 +205,29 @@ def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float] | None
         first.extend((at[1:] + first[-1]).tolist())
     features, first = np.concatenate(features, axis=1), np.array(first)
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
-    # How many toxic and clean documents hold each feature.
-    found = []
+    # How often toxic and clean documents hold each feature, a document at most BURST times; and how many have it often for their length.
+    found, n_words = [], np.diff(first)
     for kind in features:
         h, number = np.unique(kind, return_inverse=True)
-        pairs = np.unique(number.astype(np.int64) * len(texts) + owner)
-        toxic = labels[pairs % len(texts)]
-        found.append((h, np.bincount(pairs // len(texts), toxic, len(h)), np.bincount(pairs // len(texts), 1 - toxic, len(h))))
-    h, a, b = (np.concatenate(x) for x in zip(*found))
+        pairs, times = np.unique(number.astype(np.int64) * len(texts) + owner, return_counts=True)
+        number, held_by = pairs // len(texts), pairs % len(texts)
+        toxic, dense = labels[held_by], (times >= BURST) & (times >= DENSE * n_words[held_by])
+        times = np.minimum(times, BURST)
+        found.append((h, *(np.bincount(number, x, len(h)) for x in (toxic * times, (1 - toxic) * times, toxic, toxic * dense, (1 - toxic) * dense))))
+    h, *counts = (np.concatenate(x) for x in zip(*found))
     p = n1 / (n1 + n0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        part = lambda x, q: np.where(x > 0, x * np.log(x / ((a + b) * q)), 0.0)
-        ratio = 2 * (part(a, p) + part(b, 1 - p))
-    lift = (a / n1) / ((b + 0.5) / n0)
-    good = np.flatnonzero((ratio >= MIN_RATIO) & (lift >= MIN_LIFT))
-    good = good[np.argsort(-ratio[good], kind="stable")][:MAX_CUES]
+
+    def leaning(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(log-likelihood ratio of a and b against the classes' shares, whether that and the lift are large enough)."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = lambda x, q: np.where(x > 0, x * np.log(x / ((a + b) * q)), 0.0)
+            ratio = 2 * (part(a, p) + part(b, 1 - p))
+        return ratio, (ratio >= least) & ((a / n1) / ((b + 0.5) / n0) >= MIN_LIFT)
+
+    ratio, often = leaning(counts[0], counts[1], MIN_RATIO)
+    dense_ratio, thick = leaning(counts[3], counts[4], 1 + 2 * np.log(n1))
+    good = np.flatnonzero((often & (counts[2] >= MIN_HOLDERS)) | (thick & (counts[3] >= 2)))
+    good = good[np.argsort(-np.maximum(ratio, dense_ratio)[good], kind="stable")][:MAX_CUES]
     if not len(good):
         return empty
     cues = h[good]
@@ -261,7 +275,7 @@ def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float] | None
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on at most ``train_docs`` labelled documents of each class, drawn by a hash of the id, from
-    those not held out, and TRAIN_CHARS characters (longer samples lose documents, not parts). Several labels of one id: the largest;
+    those not held out, and TRAIN_CHARS characters in that order (documents are left out, never parts). Several labels of one id: the largest;
     null labels and ids are left out. Without both classes the model scores every text alike, with the share of toxic labels.
     """
     texts, ys, shares = labelled_sample(docs, labels, ~in_fold("id", 4, 2), key, text, label, train_docs, TRAIN_CHARS)

@@ -79,3 +79,10 @@ def test_held_out_rows_and_query(spark):
     known = out.join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").toPandas()
     for part in (known[known.held_out], known[~known.held_out]):
         assert ((part.predicted == 1) == (part.toxic == 1)).mean() > 0.93
+        hits = ((part.predicted == 1) & (part.toxic == 1)).sum()
+        assert hits >= 0.9 * (part.toxic == 1).sum() and hits >= 0.9 * (part.predicted == 1).sum()
+
+
+def test_capital_letters_with_marks_are_the_same_words():
+    low, high = (tx.token_features([t])[0] for t in ("réeuxon été ça ÷×", "RÉEUXON ÉTÉ ÇA ÷×"))
+    assert (low == high).all()
