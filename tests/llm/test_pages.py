@@ -1,3 +1,5 @@
+import pytest
+
 from kindling.llm import pages as pg
 from kindling.llm.queries import op5_html
 
@@ -8,13 +10,47 @@ link</a>, &quot;quotes&quot; and&nbsp;more.</p><section class="comments"><div cl
 TEXT = 'Title & more First paragraph of the article, with plenty of words to read. Second paragraph with one link, "quotes" and more.'
 
 
-def test_article_without_the_rest(spark, sf):
-    trees = pg.fit_pages(spark.read.parquet(f"{sf}/pages.parquet"))
-    assert len(trees.trees) == pg.ROUNDS
+@pytest.fixture(scope="module")
+def trees(spark):
+    return pg.fit_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def test_article_without_the_rest(trees):
+    assert len(trees.trees.trees) == pg.ROUNDS
     assert pg.main_texts([SITE], trees) == [TEXT]
     assert pg.main_texts([SITE, SITE.replace("<main>", "<div>").replace("</main>", "</div>")], trees) == [TEXT, TEXT]  # without what names it
 
 
+A, B, C = (
+    "The river rose again last night and flooded the lower part of the town, as it has done every spring.",
+    "Engineers say that the new dam will hold most of the water back, but it is not ready before next year.",
+    "Until then people who live near the bridge are asked to keep their cellars empty and to watch the news.",
+)
+PARAS = f"<p>{A}</p><p>{B}</p><p>{C}</p>"
+BODY = f"{A} {B} {C}"
+#: Pages whose names mislead, or that have none: (html, main text).
+HARD = {
+    "no article or main": (f'<body><div><a href="/">Home</a> <a href="/news">News</a></div><div><h1>Floods again</h1>{PARAS}</div><div>Copyright us</div></body>', f"Floods again {BODY}"),
+    "nothing but paragraphs": (f"<html><body><ul><li><a href=a>Home</a></li><li><a href=b>About</a></li><li><a href=c>Shop</a></li></ul><h1>Floods</h1>{PARAS}<div>&copy; 2024 us</div></body></html>", f"Floods {BODY}"),
+    "cue-like paragraph": (f'<nav><a href=x>Home</a></nav><article><h1>Floods</h1><p>{A}</p><p class="related-work">{B}</p><p>{C}</p></article><footer>us</footer>', f"Floods {BODY}"),
+    "cue-like block": (f'<article><p>{A}</p><div class="share-price-table"><p>{B}</p></div><p>{C}</p></article><footer>us</footer>', BODY),
+    "cue-like id": (f'<article><p>{A}</p><section id="comment-on-the-law"><p>{B}</p></section><p>{C}</p></article>', BODY),
+    "header in article": (f"<header><a href=/>The Daily</a></header><article><header><h1>Floods again</h1></header>{PARAS}</article><footer>The Daily</footer>", f"Floods again {BODY}"),
+    "menu without cues": (f'<div><ul><li><a href="/a">Start</a></li><li><a href="/b">Sport</a></li><li><a href="/c">Money</a></li></ul></div><article><h1>Floods</h1>{PARAS}</article>', f"Floods {BODY}"),
+    "comments in article": (f'<article><h1>Floods</h1>{PARAS}<section class="comments"><h3>2 comments</h3><div class="comment"><p>Jo</p><p>My cellar is full of water again, thanks for nothing.</p></div></section></article>', f"Floods {BODY}"),
+    "advert in article": (f'<article><p>{A}</p><div class="ad">Buy boots that keep your feet dry today.</div><p>{B}</p><p>{C}</p></article>', BODY),
+    "named div": (f'<div class="site-header"><a href=/>Daily</a></div><div class="post-content"><h1>Floods</h1>{PARAS}</div><div class="sidebar"><h3>More</h3><ul><li><a href=x>One</a></li></ul><p>Read our other stories about rain.</p></div><div class="site-footer"><p>All rights reserved by the Daily.</p></div>', f"Floods {BODY}"),
+    "cookie notice": (f'<div id="cookie-notice"><p>We use cookies to make this site better for you.</p><button>OK</button></div><main><h1>Floods</h1>{PARAS}</main>', f"Floods {BODY}"),
+    "table in article": (f"<nav><a href=/>x</a></nav><article><p>{A}</p><table><tr><td>Year</td><td>Level</td></tr><tr><td>2023</td><td>4 m</td></tr></table><p>{B}</p><p>{C}</p></article>", f"{A} Year Level 2023 4 m {B} {C}"),
+    "form": (f"<article><h1>Floods</h1>{PARAS}</article><form><label>Your address</label><input><p>Get our letter every week</p></form>", f"Floods {BODY}"),
+}
+
+
+def test_pages_whose_names_mislead(trees):
+    wrong = {k: got for (k, (page, want)), got in zip(HARD.items(), pg.main_texts([p for p, _ in HARD.values()], trees)) if got != want}
+    assert not wrong
+
+
 def test_query_finds_every_article(spark, sf):
     import html
     import re
@@ -43,7 +79,8 @@ def test_decoding_is_monotone_and_best():
         for i in range(1, 9):
             nodes.append(pg.Node("div", rng.randrange(i), 1, frozenset(), False, text=rng.choice([0, 5, 40])))
         margin = np.array([rng.uniform(-1, 1) for _ in nodes])
-        value = [2 * m * np.sqrt(x.text) if x.text else 0 for m, x in zip(margin, nodes)]
+        up = [margin[x.parent] if x.parent >= 0 else 0.0 for x in nodes]
+        value = [2 * (m + pg.FOLLOW * min(1, max(0, u))) * np.sqrt(x.text) if x.text else 0 for m, u, x in zip(margin, up, nodes)]
         best = 0.0
         for keep in itertools.product((False, True), repeat=8):
             keep = (True, *keep)
@@ -62,6 +99,26 @@ def test_broken_markup():
     assert pg.parse("<p title='open>text</p>")[1][0][1] == "text"
 
 
+def test_training_pages_are_bounded_and_labelled_by_extent(spark):
+    article = lambda i: "".join(f"<p>Sentence {i}{j} of the story that only page {i} has, long enough to be read.</p>" for j in range(8))
+    page = lambda i: f"<nav><a href=/>Home</a></nav><article><h1>Story {i}</h1>{article(i)}<p>Follow us for more stories.</p></article><footer>us</footer>"
+    rows = [(i, None, page(i)) for i in range(12)] + [(100 + i, "same", page(0)) for i in range(40)] + [(200, "same", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sample = pg._sample(pages, "html", "url", 5)
+    assert sample.count() == 5 and sample.select("page").distinct().count() == 5
+    assert pg._sample(pages, "html", "url", 100).count() == 13  # null addresses and copies bring no more
+    nodes, texts = pg.parse(page(3))
+    label = pg.taught(nodes)
+    told = {t: label[i] for i, t in texts}
+    # A text that other pages have too is as much of the article as any.
+    assert told["Story 3"] == 1 and told["Follow us for more stories."] == 1 and told["Home"] == 0 and told["us"] == 0
+
+
+def test_words_of_attributes():
+    assert pg.attribute_words(' class="site-header big" id=comment-list') == {"site-header", "site", "header", "big", "comment-list", "comment", "list"}
+    assert pg.attribute_words(" class='related-work share-price-table'") == {"related-work", "share-price-table"}
+
+
 def test_odd_pages(spark, sf):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "plain text &lt;b", "x"), (3, "u", "plain text &lt;b", "x"), (None, "u", "<nav>menu</nav>", "x"), (4, "u", "<p>" * 3000 + "deep", "x"), (5, "u", "<div>" * 3000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, main_text string")
