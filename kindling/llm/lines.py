@@ -20,6 +20,8 @@ WIDTH, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 4
 #: Lines of a bucket that are compared in one task; a task holds two such parts.
 BUCKET = 512
+#: Parts of lines outside a bucket's largest component beyond which the bucket is dealt by rare shingles first: about as many as a line has.
+SPREAD = 16
 
 #: Characters hashed at once: their arrays stay in a core's cache.
 LINE_CHARS = 60_000
@@ -227,21 +229,22 @@ def _by_rare_shingle(at: DataFrame, texts: DataFrame, width: int, similarity: fl
 def _open_links(large: DataFrame, labels: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame | None:
     """(a, b): links between lines that share a bucket of ``large`` and are not connected yet; None if no bucket can hold one.
 
-    Only buckets of several components are looked at. Of those that hold over BUCKET lines the lines are first dealt by their
-    rare shingles. Lines of a bucket are compared in one task, without a row per pair; in a larger one those outside its largest component
-    are dealt into parts, all are dealt into parts, and each two parts meet in a task: the work grows with the lines that are open.
+    Only buckets of several components are looked at. Lines of a bucket are compared in one task, without a row per pair; in one of over
+    BUCKET lines those outside its largest component are dealt into parts, all are dealt into parts, and each two parts meet in a task: a line
+    is copied once for each part of the open ones. Where these are more than SPREAD parts, lines are first dealt by their rare shingles.
     """
     at = saved(large.join(small(labels.withColumnRenamed("id", "h")), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component")))
     open_ = saved(_several(at))
     if open_.isEmpty():
         return None
-    hot = open_.where(F.col("n") > BUCKET)
-    members = at.join(small(open_.where(F.col("n") <= BUCKET).select("key")), "key")
+    most = SPREAD * BUCKET
+    hot = open_.where(F.col("rest") > most)
+    members = at.join(small(open_.where(F.col("rest") <= most).select("key")), "key")
     if not hot.isEmpty():
         finer = _by_rare_shingle(at.join(F.broadcast(hot.select("key")), "key") if hot.count() <= BUCKET else at.join(hot.select("key"), "key"), texts, width, similarity)
         members = members.union(finer)
-    members = saved(members.select("key", "h", "component").distinct())
-    open_ = saved(_several(members))
+        members = saved(members.select("key", "h", "component").distinct())
+        open_ = saved(_several(members))
     parts = F.ceil(F.col("n") / F.lit(BUCKET)).cast("long").alias("parts"), F.ceil(F.col("rest") / F.lit(BUCKET)).cast("long").alias("rests")
     both = members.join(small(open_), "key").select("key", "h", "component", "main", *parts)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))

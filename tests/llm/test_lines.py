@@ -50,6 +50,8 @@ def test_against_brute_force(spark, monkeypatch):
         assert r.text == "\n".join(keep)
     monkeypatch.setattr(lines, "BUCKET", 16)  # large buckets in parts
     assert dropped(lines.dedup_lines(docs)) == want
+    monkeypatch.setattr(lines, "SPREAD", 0)  # dealt by rare shingles first
+    assert dropped(lines.dedup_lines(docs)) == want
 
 
 def test_whole_buckets_by_brute_force():
