@@ -72,6 +72,38 @@ def test_counts_pack_as_single_pieces_do(seed):
     assert packing.plan_bins(dict(Counter(lengths)), (64,))["bins"].sum() == one_by_one(lengths, 64)
 
 
+def several_one_by_one(lengths, capacities, cost):
+    """Best-fit decreasing with several capacities, a piece at a time: the bins' contents."""
+    left, bins = Counter(lengths), []  # bin: [capacity, used]
+    for n in sorted(lengths, reverse=True):
+        fit = [b for b in bins if b[0] - b[1] >= n]
+        if fit:
+            best = min(fit, key=lambda b: b[0] - b[1])
+        else:
+            below = sum(k * v for k, v in left.items() if k < n)
+            filled = {c: min(c, min(c, left[n] * n) // n * n + min(c, below)) for c in capacities if c >= n}
+            best = [min(filled, key=lambda c: (cost(c) / filled[c], c)), 0]
+            bins.append(best)
+        best[1] += n
+        left[n] -= 1
+    return sorted(b[1] for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_several_capacities_pack_as_single_pieces_do(seed):
+    """The same places in all; which of several bins of equal room takes a piece is free."""
+    rng = random.Random(seed)
+    capacities = (32, 64, 128)
+    lengths = [rng.choice([rng.randint(1, 128), rng.randint(1, 20), 45]) for _ in range(rng.choice([20, 300]))]
+    for cost in (packing.sequence_cost, lambda c: c, lambda c: c * c):
+        plan = packing.plan_bins(dict(Counter(lengths)), capacities, cost)
+        got = sum(([int(u)] * int(n) for u, n in zip(plan["used"], plan["bins"])), [])
+        want = several_one_by_one(lengths, capacities, cost)
+        assert sum(got) == sum(want) and len(got) == len(want), (len(got), len(want))
+        places = [sum(min(c for c in capacities if c >= u) for u in x) for x in (got, want)]
+        assert places[0] == places[1], places
+
+
 def test_capacities_are_chosen_by_cost():
     assert set(packing.plan_bins({100: 10}, (128, 1024), lambda c: c * c)["size"]) == {128}
     assert set(packing.plan_bins({100: 100}, (128, 1024), lambda c: 1)["size"]) == {1024}

@@ -1,10 +1,92 @@
+import math
+from collections import Counter
+from importlib.util import module_from_spec, spec_from_file_location
+from pathlib import Path
+
 import corpus_pipeline as cp
+import numpy as np
 from pyspark.sql import functions as F
 
-from kindling.llm import common, toxicity
+from kindling.llm import common, decontaminate, packing, toxicity
 from kindling.llm.queries import op1_toxicity
 
 
+def tests_of(name):
+    """The tests of one operator, for their brute-force versions."""
+    spec = spec_from_file_location(f"plain_{name}", Path(__file__).with_name(f"test_{name}.py"))
+    module = module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
+def toxic_score(text, model):
+    """The chain word by word, forward and backward."""
+    weight = dict(zip(model.cues.tolist(), model.weights.tolist()))
+    words = list(zip(*toxicity.token_features([text])[0].tolist()))
+    one = [math.exp(model.bias + sum(weight.get(h, 0.0) for h in w)) for w in words]
+    t = np.exp(model.transition)
+    alpha, beta = [], [np.ones(2)]
+    for x in one:
+        a = (alpha[-1] @ t if alpha else np.ones(2)) * (1, x)
+        alpha.append(a / a.sum())
+    for x in one[:0:-1]:
+        b = t @ (beta[-1] * (1, x))
+        beta.append(b / b.sum())
+    gamma = [a[1] * b[1] / (a @ b) for a, b in zip(alpha, beta[::-1])]
+    total = sum(g for g in gamma if g >= 0.01)
+    x = [1, math.log1p(total), max(gamma, default=0), math.log1p(1000 * total / max(1, len(gamma)))]
+    return 1 / (1 + math.exp(-float(np.dot(x, model.document))))
+
+
+def held_items(text, index):
+    """Items that any window of the text matches; one without a shingle of the item has similarity 0."""
+    words, _ = decontaminate.word_hashes([text])
+    for i, size in enumerate(index.sizes):
+        hs = decontaminate.shingle_hashes(words, index.widths[i]).tolist()
+        if index.bags[i].keys() & set(hs):
+            for s in range(len(hs)):
+                bag = Counter(hs[s : s + size - index.widths[i] + 1])
+                if bag.keys() & index.bags[i].keys() and decontaminate.weighted_similarity(bag, index.bags[i], index.weight, index.widths[i]) >= 0.8:
+                    yield index.ids[i]
+                    break
+
+
+def test_rows_by_brute_force(spark, sf):
+    """Every stage over its predecessor's rows, one text at a time, and the rows of run()."""
+    lines_, simhash_, packing_ = (tests_of(x) for x in ("lines", "simhash", "packing"))
+    docs, labels, benchmark = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels", "benchmark"))
+    model = toxicity.fit_toxicity(docs, labels)
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = {k: rows[k] for k in sorted(rows) if toxic_score(rows[k], model) < 0.3}
+    stages, at = dict(cp.STAGES), docs
+
+    def same(name):
+        nonlocal at
+        at = common.saved(stages[name](spark, at, sf))
+        assert {r.doc_id: r.text or "" for r in at.collect()} == rows, name
+
+    same("toxicity")
+    ids = list(rows)
+    gone = lines_.brute_force([rows[k] for k in ids])
+    rows = {k: "\n".join(x for n, x in enumerate(rows[k].split("\n")) if (d, n) not in gone) for d, k in enumerate(ids)}
+    same("line_dedup")
+    first = simhash_.components([simhash_.by_definition(rows[k]) for k in ids])
+    rows = {k: rows[k] for d, k in enumerate(ids) if first[d] == d}
+    same("near_dedup")
+    index = decontaminate.Items([(r.item_id, r.text) for r in benchmark.collect()])
+    rows = {k: t for k, t in rows.items() if not any(held_items(t, index))}
+    same("decontamination")
+    got = cp.run(spark, sf).collect()
+    pieces = {(k, p, p * 2048, min(2048, len(t.split()) - p * 2048)) for k, t in rows.items() for p in range(max(1, -(-len(t.split()) // 2048)))}
+    assert {(r.doc_id, r.piece, r.start, r.n_tokens) for r in got} == pieces and len(got) == len(pieces)
+    packing_.check(got, packing.CAPACITIES)
+    plan = packing.plan_bins(Counter(n for *_, n in pieces if n))
+    bins = Counter({x: 0 for x in plan["used"].tolist()})
+    for used, n in zip(plan["used"].tolist(), plan["bins"].tolist()):
+        bins[used] += n
+    assert Counter(dict((r.bin_id, r.bin_used) for r in got if r.n_tokens).values()) == +bins
+
+
 def test_stages_keep_what_they_should(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
