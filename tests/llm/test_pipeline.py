@@ -11,7 +11,7 @@ from kindling.llm import common, decontaminate, packing, toxicity
 from kindling.llm.queries import op1_toxicity
 
 
-def tests_of(name):
+def versions_of(name):
     """The tests of one operator, for their brute-force versions."""
     spec = spec_from_file_location(f"plain_{name}", Path(__file__).with_name(f"test_{name}.py"))
     module = module_from_spec(spec)
@@ -53,7 +53,7 @@ def held_items(text, index):
 
 def test_rows_by_brute_force(spark, sf):
     """Every stage over its predecessor's rows, one text at a time, and the rows of run()."""
-    lines_, simhash_, packing_ = (tests_of(x) for x in ("lines", "simhash", "packing"))
+    lines_, simhash_, packing_ = (versions_of(x) for x in ("lines", "simhash", "packing"))
     docs, labels, benchmark = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels", "benchmark"))
     model = toxicity.fit_toxicity(docs, labels)
     rows = {r.doc_id: r.text or "" for r in docs.collect()}

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from kindling.llm import quality as q
 from kindling.llm.queries import op2_quality
@@ -43,8 +44,15 @@ def test_odd_documents(spark, odd, empty, no_labels):
     assert q.score_quality(empty, q.fit_quality(empty, labels)).count() == 0
 
 
-def test_query(spark, sf):
+def test_held_out_rows_and_query(spark):
+    sf = "/root/testdata/sf0.01"
     out = op2_quality(spark, sf)
-    known = out.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
     assert out.columns == ["doc_id", "held_out", "score", "predicted"]
-    assert (known.predicted == known.quality).mean() > 0.9
+    assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert out.where((F.col("score") >= 0.3) != (F.col("predicted") == 1)).count() == 0
+    assert out.where(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string")) % 5 == 0)).count() == 0
+    known = out.join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").toPandas()
+    for part in (known[known.held_out], known[~known.held_out]):
+        assert (part.predicted == part.quality).mean() > 0.95
+        low = part[part.quality == 0]
+        assert len(low) and (low.predicted == 0).mean() >= 0.9
