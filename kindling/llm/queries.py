@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.llm import decontaminate, lines, packing, pages, quality, secrets, simhash, syncmers, toxicity, urls
+from kindling.llm import decontaminate, interactions, lines, packing, pages, quality, secrets, simhash, syncmers, toxicity, urls
 from kindling.llm.common import in_fold
 
 
@@ -89,8 +89,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_line_dedup, op4_syncmers, op5_html, op6_simhash, op7_decontamination, op8_secrets, op9_urls, op10_packing)}
+    own = (
+        op1_toxicity, op2_quality, op3_line_dedup, op4_syncmers, op5_html, op6_simhash, op7_decontamination, op8_secrets, op9_urls, op10_packing,
+        op11_interactions,
+    )
+    return {f.__name__: f for f in own}
 
 
 _URLS = """
@@ -108,5 +116,34 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ran
 """
 
 
+#: By definition: every order applied to every group of documents that fail alike, Shapley values as sums over the orders.
+_INTERACTIONS = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+fails AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS failed
+  FROM words LEFT JOIN known USING (doc_id)),
+alike AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY 1, 2),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders(o) AS (SELECT '' UNION ALL SELECT o || l FROM orders, letters WHERE length(o) < 5 AND strpos(o, l) = 0),
+steps AS (SELECT o AS filter_order, CAST(s AS INT) AS step, substr(o, CAST(s AS INT), 1) AS own, substr(o, 1, CAST(s AS INT) - 1) AS earlier FROM orders, range(1, 6) r(s) WHERE length(o) = 5),
+told AS (
+  SELECT part, filter_order, step, own, n, good, toxic, strpos(failed, own) > 0 AS hit, failed = own AS alone,
+    strpos(earlier, substr(failed, 1, 1)) > 0 AND length(failed) > 0 OR strpos(earlier, substr(failed, 2, 1)) > 0 AND length(failed) > 1 OR strpos(earlier, substr(failed, 3, 1)) > 0 AND length(failed) > 2
+    OR strpos(earlier, substr(failed, 4, 1)) > 0 AND length(failed) > 3 OR strpos(earlier, substr(failed, 5, 1)) > 0 AND length(failed) > 4 AS gone
+  FROM alike, steps),
+summed AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN gone OR hit THEN 0 ELSE n END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM told GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_urls": _URLS.format(rules=", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES))}
+    return {"op11_interactions": _INTERACTIONS, "op9_urls": _URLS.format(rules=", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES))}

@@ -6,7 +6,7 @@ from kindling.llm.queries import oracle_sql, queries
 
 def test_sql_says_the_same(spark, sf):
     duck = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "labels", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in oracle_sql().items():
         ours, theirs = queries()[name](spark, sf).toPandas(), duck.execute(sql).df()
@@ -17,4 +17,4 @@ def test_sql_says_the_same(spark, sf):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 12)]
