@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.llm import decontaminate, interactions, lines, packing, pages, quality, secrets, simhash, syncmers, toxicity, urls
+from kindling.llm import decontaminate, interactions, lines, packing, pages, quality, secrets, simhash, syncmers, toxicity, urls, whitening
 from kindling.llm.common import in_fold
 
 
@@ -93,10 +93,14 @@ def op11_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_toxicity, op2_quality, op3_line_dedup, op4_syncmers, op5_html, op6_simhash, op7_decontamination, op8_secrets, op9_urls, op10_packing,
-        op11_interactions,
+        op11_interactions, op13_whitening,
     )
     return {f.__name__: f for f in own}
 
