@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindling.llm import decontaminate, interactions, lines, packing, pages, quality, secrets, simhash, syncmers, toxicity, urls, whitening
+from kindling.llm import decontaminate, grid_join, interactions, lines, packing, pages, quality, secrets, simhash, syncmers, toxicity, urls, whitening
 from kindling.llm.common import in_fold
 
 
@@ -93,6 +93,10 @@ def op11_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -100,7 +104,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_toxicity, op2_quality, op3_line_dedup, op4_syncmers, op5_html, op6_simhash, op7_decontamination, op8_secrets, op9_urls, op10_packing,
-        op11_interactions, op13_whitening,
+        op11_interactions, op12_embeddings, op13_whitening,
     )
     return {f.__name__: f for f in own}
 
@@ -148,6 +152,17 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM summed
 """
 
+#: All pairs, and what they reach.
+_EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reached(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY 1),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_interactions": _INTERACTIONS, "op9_urls": _URLS.format(rules=", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES))}
+    return {"op12_embeddings": _EMBEDDINGS, "op11_interactions": _INTERACTIONS, "op9_urls": _URLS.format(rules=", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES))}

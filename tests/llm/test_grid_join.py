@@ -1,0 +1,159 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kindling.llm import grid_join as G
+
+SCHEMA = "vec_id long, embedding array<double>, number long, node long, id long, v int"
+
+
+def by_all_pairs(rows, t=0.95):
+    """(id, links, least id reached, kept) of each row, by comparing all pairs and walking over the links."""
+
+    def fine(v):
+        return bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+    at = [i for i, (_, v) in enumerate(rows) if fine(v)]
+    links = {i: set() for i in range(len(rows))}
+    for n, i in enumerate(at):
+        for j in at[:n]:
+            a, b = np.array(rows[i][1]), np.array(rows[j][1])
+            if len(a) == len(b):
+                a, b = a / np.abs(a).max(), b / np.abs(b).max()
+                if math.fsum(a * b) / (math.sqrt(math.fsum(a * a)) * math.sqrt(math.fsum(b * b))) >= t:
+                    links[i].add(j)
+                    links[j].add(i)
+    out, seen = [], {}
+    for i in range(len(rows)):
+        if i not in seen:
+            group, open_ = {i}, [i]
+            while open_:
+                new = links[open_.pop()] - group
+                group |= new
+                open_ += new
+            ids = [rows[j][0] for j in group if rows[j][0] is not None]
+            seen |= dict.fromkeys(group, min(ids) if ids else None)
+        out.append((rows[i][0], len(links[i]), seen[i], rows[i][0] == seen[i]))
+    return out
+
+
+def compare(spark, rows, parts=3, **settings):
+    df = spark.createDataFrame([(i, v, 0, 0, 0, 0) for i, v in rows], SCHEMA).repartition(parts)
+    got = [tuple(r) for r in G.near_vectors(df, **settings).collect()]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(by_all_pairs(rows), key=key)
+    return got
+
+
+def clusters(rng, dims, groups, each, spread):
+    out = []
+    for _ in range(groups):
+        c = rng.normal(size=dims)
+        c /= np.linalg.norm(c)
+        out += [(c + rng.normal(size=dims) * s / math.sqrt(dims)) * rng.uniform(0.1, 9) for s in rng.uniform(0, spread, size=each)]
+    return out
+
+
+@pytest.mark.parametrize("dims", [2, 8, 40])
+def test_equals_all_pairs(spark, dims):
+    rng = np.random.default_rng(dims)
+    v = clusters(rng, dims, 12, 15, 0.5) + list(rng.normal(size=(120, dims)))
+    ids = rng.permutation(len(v) * 3)[: len(v)]
+    got = compare(spark, [(int(i), x.tolist()) for i, x in zip(ids, v)], tile_rows=8)
+    assert any(r[1] for r in got) and (dims == 2 or not all(r[1] for r in got))
+
+
+def test_a_hot_group_is_counted_by_intervals(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=16)
+    v = [c + rng.normal(size=16) * 1e-3 for _ in range(150)] + [c] * 100 + list(rng.normal(size=(150, 16)))
+    whole = []
+    inner = G._descend
+    monkeypatch.setattr(G, "_descend", lambda *a: (lambda out: whole.extend(out[1].collect()) or out)(inner(*a)))
+    compare(spark, [(i, x.tolist()) for i, x in enumerate(v)], tile_rows=8)
+    assert whole
+
+
+def test_odd_vectors_and_clashing_names(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [
+        (5, a), (5, a), (3, [2.0, 0.0, 0.0]), (None, a), (7, b), (None, [0.0, 0.0, 3.0]), (9, None), (10, []), (11, [0.0, 0.0, 0.0]), (12, [1.0, None, 0.0]), (13, [float("nan"), 1.0, 0.0]),
+        (14, [float("inf"), 0.0, 0.0]), (15, [1.0, 0.0]), (16, [3.0, 0.1]), (17, [1e200, 0.0, 0.0]), (18, [1e-200, 1e-210, 0.0]), (19, [1.0]), (20, [-1.0]), (21, [2.0]), (None, None), (9, None),
+    ]
+    compare(spark, rows)
+    compare(spark, rows, tile_rows=1)
+
+
+def test_cosines_at_the_limit():
+    """Pairs within a few units of the last place of the limit, on both sides, as :func:`exact_cosine` says."""
+    rng = np.random.default_rng(3)
+    raw = []
+    for _ in range(300):
+        a = rng.normal(size=24)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=24)
+        b -= a * (a @ b)
+        b /= np.linalg.norm(b)
+        raw += [a, (0.95 + rng.integers(-3, 4) * 1e-16) * a + math.sqrt(1 - 0.95**2) * b]
+    raw = np.array(raw)
+    links, root = G.tile_links(raw, None, G.Space(0.95, 24, np.eye(24, G.LEADING)))
+    want = np.array([[i != j and G.exact_cosine(x, y) >= 0.95 for j, y in enumerate(raw)] for i, x in enumerate(raw)])
+    assert 0 < want.sum() < len(raw)
+    assert links.tolist() == want.sum(axis=1).tolist()
+    assert (root[1::2] == np.where(want[0::2].any(axis=1), np.arange(0, len(raw), 2), np.arange(1, len(raw), 2))).all()
+
+
+def test_tasks_skip_and_count_whole_runs_rightly():
+    rng = np.random.default_rng(4)
+    a = np.array(sorted(clusters(rng, 20, 5, 300, 0.2), key=lambda x: x[0] / np.linalg.norm(x)), dtype=np.float32)
+    b = np.array(clusters(rng, 20, 3, 300, 0.3) + [a[7]] * 600, dtype=np.float32)
+    u, w = G.units(a), G.units(b)
+    space = G.Space(0.95, 20, np.eye(20, G.LEADING))
+    links, root = G.tile_links(a, b, space)
+    m = u @ w.T >= 0.95
+    assert links.tolist() == m.sum(axis=1).tolist() + m.sum(axis=0).tolist()
+    p, q = np.nonzero(m)
+    assert (root[p] == root[q + len(a)]).all()
+    assert len(set(root[np.flatnonzero(links)])) == len({frozenset(g) for g in _groups(m)})
+
+
+def _groups(m):
+    comp = np.arange(m.shape[0])
+    while True:
+        new = np.array([comp[(m[:, row].any(axis=1))].min() if row.any() else comp[i] for i, row in enumerate(m)])
+        if (new == comp).all():
+            break
+        comp = new
+    return [np.flatnonzero(comp == c) for c in set(comp) if m[np.flatnonzero(comp == c)].any()]
+
+
+def test_clustered_vectors_are_skipped(spark):
+    """Most pairs of tiles of well parted clusters never meet."""
+    rng = np.random.default_rng(6)
+    v = clusters(rng, 8, 40, 50, 0.1)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    met = []
+    inner = G._meet
+    G._meet = lambda pairs, *a: met.append(pairs.count()) or inner(pairs, *a)
+    try:
+        assert G.near_vectors(df, tile_rows=50).where("n_links >= 49").count() == 2000
+    finally:
+        G._meet = inner
+    assert met[0] < 0.5 * 24 * 25 / 2
+
+
+def test_nothing(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert G.near_vectors(empty).count() == 0
+    one = spark.createDataFrame([(4, [1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in G.near_vectors(one).collect()] == [(4, 0, 4, True)]
+    assert [f.dataType.simpleString() for f in G.near_vectors(one).schema] == ["bigint", "bigint", "bigint", "boolean"]
+
+
+def test_many_lengths_meet_their_own(spark):
+    df = spark.range(400).select(F.col("id").alias("vec_id"), F.sequence(F.lit(1), (F.col("id") % 7 + 1).cast("int")).cast("array<float>").alias("embedding"))
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    got = {tuple(r) for r in G.near_vectors(df, tile_rows=10).collect()}
+    assert got == set(by_all_pairs(rows))
