@@ -24,3 +24,10 @@ def per(part: Column, whole: Column) -> Column:
 def id_list(ids: Column) -> Column:
     """An array as text, comma-joined: nested results in a flat column."""
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+
+
+def micros(ts: Column) -> Column:
+    """A timestamp without zone as microseconds since 1970, whatever the session's time zone."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
+    return days * 86_400_000_000 + seconds.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")

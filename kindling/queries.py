@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.functions import id_list
-from kindling.operators import cleaning, discovery, favorites, ideas, measures, personal
+from kindling.operators import cleaning, discovery, favorites, ideas, measures, personal, timeline
 from kindling.plans import fixtures as fx
 from kindling.sources import ingest_reactions as ingest
 from kindling.sources import publish_tables as publish
@@ -191,12 +191,25 @@ def my_page(s: SparkSession, d: str) -> DataFrame:
     return favorites.my_page(favorite_state(s, d), validation_score(s, d), fx.ideas(s, d))
 
 
+def score_when_saved(s: SparkSession, d: str) -> DataFrame:
+    return timeline.score_when_saved(fx.favorite_log(s, d), fx.reactions(s, d))
+
+
+def burst_periods(s: SparkSession, d: str) -> DataFrame:
+    return timeline.burst_periods(mentions_by_day(s, d))
+
+
+def mentions_in_bursts(s: SparkSession, d: str) -> DataFrame:
+    return timeline.mentions_in_bursts(fx.reactions(s, d), saved(burst_periods(s, d)))
+
+
 QUERIES: tuple[Query, ...] = (
     ingest_reactions, ingested_volume, ingested_sources, source_from_url, publish_tables, normalize_reactions, dedup_exact, dedup_near, dedup_near_lsh, screen_evidence,
     match_problem_terms, problem_terms, cluster_reactions, assign_problem, mention_volume, mentions_by_day, mention_moving_avg,
     trend_slope, trend_change, source_distribution, source_diversity, evidence_top_k, validation_score, problem_list, problem_detail,
     ideas_for_problem, validated_ideas, idea_problem_match, idea_detail, filter_ideas_by_conditions, combine_problems,
     co_mentioned_problems, personalized_ideas, personalized_grounds, favorite_state, my_page,
+    score_when_saved, burst_periods, mentions_in_bursts,
 )
 
 
@@ -241,11 +254,28 @@ SHARED = {
     "placed": r"""SELECT source, problem_id, CAST(NULL AS BIGINT) AS author_id FROM (SELECT n, problem_id, row_number() OVER (PARTITION BY n ORDER BY count(*) DESC, count(DISTINCT term) DESC, problem_id) AS best
         FROM (SELECT n, unnest(string_split_regex(lower(trim(text)), '[^\pL\pN]+')) AS term FROM written) JOIN lexicon USING (term) GROUP BY n, problem_id) JOIN written USING (n) WHERE best = 1
         UNION ALL SELECT source, problem_id, author_id FROM reaction""",
+    "costed": """SELECT problem_id, day, mentions, row_number() OVER (PARTITION BY problem_id ORDER BY day) AS n, enter,
+        CAST(round(-(mentions * ln(p) + ("all" - mentions) * ln(1 - p)) * 1000000) AS BIGINT) AS calm, CAST(round(-(mentions * ln(q) + ("all" - mentions) * ln(1 - q)) * 1000000) AS BIGINT) AS burst
+        FROM series JOIN (SELECT day, sum(mentions) AS "all" FROM series GROUP BY 1) USING (day) JOIN (SELECT problem_id, p, least(2.0 * p, (p + 1) / 2) AS q, enter FROM (
+            SELECT problem_id, CAST(sum(mentions) AS DOUBLE) / (SELECT sum(mentions) FROM series) AS p, (SELECT CAST(round(0.5 * ln(count(DISTINCT day)) * 1000000) AS BIGINT) FROM series) AS enter FROM series GROUP BY 1)
+            WHERE p > 0 AND p < 1) USING (problem_id)""",
+    "walk": """SELECT problem_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS cost0, enter AS cost1, '' AS path0, '' AS path1 FROM costed WHERE n = 1 UNION ALL
+        SELECT w.problem_id, c.n, calm + least(cost0, cost1), burst + least(cost0 + enter, cost1), CASE WHEN cost0 <= cost1 THEN path0 ELSE path1 END || '0',
+        CASE WHEN cost0 + enter <= cost1 THEN path0 ELSE path1 END || '1' FROM walk w JOIN costed c ON c.problem_id = w.problem_id AND c.n = w.n + 1""",
+    "bursts": """SELECT problem_id, min(day) AS burst_start, max(day) AS burst_end, count(*) AS days, CAST(sum(mentions) AS BIGINT) AS mentions, round(CAST(sum(calm - burst) AS DOUBLE) / 1000000, 6) AS weight FROM (
+        SELECT c.*, c.n - row_number() OVER (PARTITION BY problem_id ORDER BY c.n) AS run FROM costed c JOIN (SELECT problem_id, CASE WHEN cost0 <= cost1 THEN path0 ELSE path1 END AS path FROM walk WHERE n = (SELECT max(n) FROM costed)) USING (problem_id)
+        WHERE substr(path, c.n, 1) = '1') GROUP BY problem_id, run""",
     "vector": "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "center": "SELECT label AS problem_id, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vector) GROUP BY 1, 2) GROUP BY 1",
 }
 
 ORACLES = {
+    "score_when_saved": """SELECT s.*, coalesce(volume, 0) AS volume, reaction_id, source FROM (SELECT maker_id, CAST(item_id AS INT) AS problem_id, ts, seq1, seq2 FROM favorite_log WHERE item_kind = 'problem' AND action = 'save') s
+        ASOF LEFT JOIN (SELECT problem_id, ts, max(reaction_id) AS reaction_id, max_by(source, reaction_id) AS source, sum(count(*)) OVER (PARTITION BY problem_id ORDER BY ts)::BIGINT AS volume FROM reaction GROUP BY 1, 2) r
+        ON s.problem_id = r.problem_id AND s.ts >= r.ts""",
+    "burst_periods": "SELECT * FROM bursts",
+    "mentions_in_bursts": """SELECT reaction_id, r.problem_id, ts, source, burst_start, burst_end FROM reaction r JOIN bursts b
+        ON r.problem_id = b.problem_id AND ts >= burst_start AND ts < burst_end + INTERVAL 1 DAY""",
     "ingest_reactions": """SELECT reaction_id, ts, author_id, source, problem_id, weight FROM reaction
         UNION ALL SELECT page_id, NULL, NULL, source, NULL, NULL FROM site
         UNION ALL SELECT conv_id, NULL, NULL, 'conversation', NULL, NULL FROM conversations WHERE role = 'user'""",
@@ -315,7 +345,7 @@ def with_shared(sql: str) -> str:
 
     add(sql, list(SHARED))
     ordered = [n for n in SHARED if n in need]
-    return (f"WITH {', '.join(f'{n} AS ({SHARED[n]})' for n in ordered)} " if ordered else "") + sql
+    return (f"WITH RECURSIVE {', '.join(f'{n} AS ({SHARED[n]})' for n in ordered)} " if ordered else "") + sql
 
 
 def oracle_sql() -> dict[str, str]:
