@@ -35,6 +35,21 @@ def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_reactions(spark, {"event": feeds(sf_dir)["event"]}).drop("text")
 
 
+#: Days of events that arrive together, and how far behind the newest a reaction may be to count.
+ARRIVAL_DAYS, LATE = 5, "12 days"
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reactions with the ``batch`` that they arrive in, events of ARRIVAL_DAYS at a time: every eleventh one batch late, every fifth again in the batch after, and every
+    thirteenth of the first two days not until the sixth batch, when it is more than LATE behind."""
+    rows = reactions(spark, sf_dir)
+    own = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / ARRIVAL_DAYS).cast("int")
+    lost = (F.col("reaction_id") % 13 == 0) & (F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz"))
+    batch = F.when(lost, F.lit(5)).otherwise(own + F.when(F.col("reaction_id") % 11 == 0, 1).otherwise(0))
+    again = F.when(F.col("reaction_id") % 5 == 0, F.array(batch, batch + 1)).otherwise(F.array(batch))
+    return rows.withColumn("batch", F.explode(again))
+
+
 def all_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reactions of every feed, with the problem that their text names where they have none."""
     return place_reactions(ingest_reactions(spark, feeds(sf_dir)), lexicon(spark, sf_dir)).drop("text")

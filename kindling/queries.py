@@ -14,7 +14,8 @@ from kindling.plans import fixtures as fx
 from kindling.sources import ingest_reactions as ingest
 from kindling.sources import publish_tables as publish
 from kindling.sources import source_from_url as from_url
-from kindling.storage import saved, shared_folder
+from kindling.storage import fresh_folder, saved, shared_folder
+from kindling.streaming import problem_volume, write_mentions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -203,13 +204,33 @@ def mentions_in_bursts(s: SparkSession, d: str) -> DataFrame:
     return timeline.mentions_in_bursts(fx.reactions(s, d), saved(burst_periods(s, d)))
 
 
+def stream_problem_volume(s: SparkSession, d: str) -> DataFrame:
+    """Daily volume over a stream that brings the events in batches, some late, some again. Each batch is a run of its own, which goes on from the checkpoint
+    of the one before; the last is a heartbeat that closes all days."""
+    at = fresh_folder(s)
+    rows = saved(fx.arrivals(s, d))
+    last = rows.agg(F.max("batch")).first()[0]
+    if last is None:
+        return s.createDataFrame([], "problem_id int, day date, mentions long")
+    columns = rows.drop("batch").schema
+    beat = s.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in columns])
+    beat = beat.withColumns({"reaction_id": F.lit(-1).cast("long"), "problem_id": F.lit(-1), "ts": F.lit("2030-01-01").cast("timestamp_ntz")})
+    for batch in range(last + 2):
+        arrived = rows.where(F.col("batch") == batch).drop("batch") if batch <= last else beat
+        arrived.write.mode("append").parquet(f"{at}/in")
+        stream = s.readStream.schema(columns).parquet(f"{at}/in")
+        write_mentions(problem_volume(stream, fx.LATE), f"{at}/out", f"{at}/state").awaitTermination()
+    out = s.read.schema("problem_id int, day_start timestamp_ntz, mentions long").parquet(f"{at}/out")
+    return out.select("problem_id", F.to_date("day_start").alias("day"), "mentions")
+
+
 QUERIES: tuple[Query, ...] = (
     ingest_reactions, ingested_volume, ingested_sources, source_from_url, publish_tables, normalize_reactions, dedup_exact, dedup_near, dedup_near_lsh, screen_evidence,
     match_problem_terms, problem_terms, cluster_reactions, assign_problem, mention_volume, mentions_by_day, mention_moving_avg,
     trend_slope, trend_change, source_distribution, source_diversity, evidence_top_k, validation_score, problem_list, problem_detail,
     ideas_for_problem, validated_ideas, idea_problem_match, idea_detail, filter_ideas_by_conditions, combine_problems,
     co_mentioned_problems, personalized_ideas, personalized_grounds, favorite_state, my_page,
-    score_when_saved, burst_periods, mentions_in_bursts,
+    score_when_saved, burst_periods, mentions_in_bursts, stream_problem_volume,
 )
 
 
@@ -274,6 +295,7 @@ ORACLES = {
         ASOF LEFT JOIN (SELECT problem_id, ts, max(reaction_id) AS reaction_id, max_by(source, reaction_id) AS source, sum(count(*)) OVER (PARTITION BY problem_id ORDER BY ts)::BIGINT AS volume FROM reaction GROUP BY 1, 2) r
         ON s.problem_id = r.problem_id AND s.ts >= r.ts""",
     "burst_periods": "SELECT * FROM bursts",
+    "stream_problem_volume": "SELECT problem_id, CAST(ts AS DATE) AS day, count(*) AS mentions FROM reaction WHERE NOT (reaction_id % 13 = 0 AND ts < TIMESTAMP '2024-01-03') GROUP BY 1, 2",
     "mentions_in_bursts": """SELECT reaction_id, r.problem_id, ts, source, burst_start, burst_end FROM reaction r JOIN bursts b
         ON r.problem_id = b.problem_id AND ts >= burst_start AND ts < burst_end + INTERVAL 1 DAY""",
     "ingest_reactions": """SELECT reaction_id, ts, author_id, source, problem_id, weight FROM reaction

@@ -26,6 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes as :func:`saved` tables do."""
+    path = f"{shared_folder(spark)}/kindling-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def saved(df: DataFrame, outlives: bool = False) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage ends there and a lost executor costs no recomputation
     of what stands above it. The table goes by :func:`release`, at the end of the :func:`scratch` around it (unless it ``outlives`` that), or by :func:`clear`."""

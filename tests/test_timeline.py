@@ -124,12 +124,12 @@ def test_burst_path_equals_all_paths():
 
 def test_bursts_of_a_series(spark):
     first = dt.date(2024, 1, 1)
-    counts = {1: [1] * 10 + [20, 25] + [1] * 8, 2: [10] * 20, 3: [0] * 20, 4: [0] * 19 + [9]}
+    counts = {1: [1] * 10 + [20, 25] + [1] * 8, 2: [10] * 20, 3: [0] * 20, 4: [0] * 19 + [9], 5: [10] * 20, 6: [10] * 20}
     series = spark.createDataFrame([(p, first + dt.timedelta(i), n) for p, c in counts.items() for i, n in enumerate(c)], "problem_id int, day date, mentions long")
     got = [(r.problem_id, r.burst_start.day, r.burst_end.day, r.days, r.mentions) for r in T.burst_periods(series).orderBy("problem_id").collect()]
     assert got == [(1, 11, 12, 2, 45), (4, 20, 20, 1, 9)]
     c = T.burst_costs(series).where("problem_id = 1 and day = '2024-01-11'").first()
-    total, own, on = sum(map(sum, counts.values())), sum(counts[1]), 30
+    total, own, on = sum(map(sum, counts.values())), sum(counts[1]), 50
     p = own / total
     assert c.calm == round(-(20 * math.log(p) + (on - 20) * math.log(1 - p)) * 1e6)
     assert T.burst_periods(series.where("false")).count() == 0
