@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.functions import id_list
-from kindling.operators import cleaning, discovery, favorites, ideas, measures, personal, timeline
+from kindling.operators import cleaning, discovery, favorites, ideas, measures, personal, timeline, together
 from kindling.plans import fixtures as fx
 from kindling.sources import ingest_reactions as ingest
 from kindling.sources import publish_tables as publish
@@ -224,13 +224,20 @@ def stream_problem_volume(s: SparkSession, d: str) -> DataFrame:
     return out.select("problem_id", F.to_date("day_start").alias("day"), "mentions")
 
 
+def frequent_sets(s: SparkSession, d: str) -> DataFrame:
+    """Sets of problems that one author raised on one day, at least three times."""
+    rows = measures.mentions(fx.reactions(s, d)).select("author_id", F.to_date("ts").alias("day"), "problem_id")
+    out = together.frequent_sets(rows, ["author_id", "day"], "problem_id")
+    return out.select(id_list(F.col("items")).alias("problems"), "n_items", "baskets")
+
+
 QUERIES: tuple[Query, ...] = (
     ingest_reactions, ingested_volume, ingested_sources, source_from_url, publish_tables, normalize_reactions, dedup_exact, dedup_near, dedup_near_lsh, screen_evidence,
     match_problem_terms, problem_terms, cluster_reactions, assign_problem, mention_volume, mentions_by_day, mention_moving_avg,
     trend_slope, trend_change, source_distribution, source_diversity, evidence_top_k, validation_score, problem_list, problem_detail,
     ideas_for_problem, validated_ideas, idea_problem_match, idea_detail, filter_ideas_by_conditions, combine_problems,
     co_mentioned_problems, personalized_ideas, personalized_grounds, favorite_state, my_page,
-    score_when_saved, burst_periods, mentions_in_bursts, stream_problem_volume,
+    score_when_saved, burst_periods, mentions_in_bursts, stream_problem_volume, frequent_sets,
 )
 
 
@@ -275,6 +282,9 @@ SHARED = {
     "placed": r"""SELECT source, problem_id, CAST(NULL AS BIGINT) AS author_id FROM (SELECT n, problem_id, row_number() OVER (PARTITION BY n ORDER BY count(*) DESC, count(DISTINCT term) DESC, problem_id) AS best
         FROM (SELECT n, unnest(string_split_regex(lower(trim(text)), '[^\pL\pN]+')) AS term FROM written) JOIN lexicon USING (term) GROUP BY n, problem_id) JOIN written USING (n) WHERE best = 1
         UNION ALL SELECT source, problem_id, author_id FROM reaction""",
+    "basket": "SELECT DISTINCT author_id, CAST(ts AS DATE) AS day, problem_id FROM reaction WHERE author_id IS NOT NULL AND ts IS NOT NULL AND problem_id IS NOT NULL",
+    "subset": """SELECT author_id, day, problem_id AS last, CAST(problem_id AS VARCHAR) AS problems, CAST(1 AS BIGINT) AS n_items FROM basket UNION ALL
+        SELECT s.author_id, s.day, b.problem_id, problems || ',' || b.problem_id, n_items + 1 FROM subset s JOIN basket b ON b.author_id = s.author_id AND b.day = s.day AND b.problem_id > s.last""",
     "costed": """SELECT problem_id, day, mentions, row_number() OVER (PARTITION BY problem_id ORDER BY day) AS n, enter,
         CAST(round(-(mentions * ln(p) + ("all" - mentions) * ln(1 - p)) * 1000000) AS BIGINT) AS calm, CAST(round(-(mentions * ln(q) + ("all" - mentions) * ln(1 - q)) * 1000000) AS BIGINT) AS burst
         FROM series JOIN (SELECT day, sum(mentions) AS "all" FROM series GROUP BY 1) USING (day) JOIN (SELECT problem_id, p, least(2.0 * p, (p + 1) / 2) AS q, enter FROM (
@@ -295,6 +305,7 @@ ORACLES = {
         ASOF LEFT JOIN (SELECT problem_id, ts, max(reaction_id) AS reaction_id, max_by(source, reaction_id) AS source, sum(count(*)) OVER (PARTITION BY problem_id ORDER BY ts)::BIGINT AS volume FROM reaction GROUP BY 1, 2) r
         ON s.problem_id = r.problem_id AND s.ts >= r.ts""",
     "burst_periods": "SELECT * FROM bursts",
+    "frequent_sets": "SELECT problems, n_items, count(*) AS baskets FROM subset WHERE n_items > 1 GROUP BY 1, 2 HAVING count(*) >= 3",
     "stream_problem_volume": "SELECT problem_id, CAST(ts AS DATE) AS day, count(*) AS mentions FROM reaction WHERE NOT (reaction_id % 13 = 0 AND ts < TIMESTAMP '2024-01-03') GROUP BY 1, 2",
     "mentions_in_bursts": """SELECT reaction_id, r.problem_id, ts, source, burst_start, burst_end FROM reaction r JOIN bursts b
         ON r.problem_id = b.problem_id AND ts >= burst_start AND ts < burst_end + INTERVAL 1 DAY""",
