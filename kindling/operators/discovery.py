@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.functions import parts
+from kindling.functions import parts, tokens
+from kindling.storage import saved
 
 #: Query vectors that are compared at once; cosines that a task holds at once; rows and queries that meet in one task of a larger search.
 MAX_QUERIES, MAX_CELLS, TILE_ROWS = 4096, 1 << 22, 50_000
@@ -210,3 +211,32 @@ def assign_problem(vectors: DataFrame, centers: DataFrame, key: str = "vec_id")
         flush()
     best = out.groupBy("row").agg(F.max(F.struct(F.round("cosine", 6).alias("cosine"), (-F.col("query")).alias("minus"))).alias("best"))
     return best.select(F.col("row").alias(key), (-F.col("best.minus")).cast("int").alias("problem_id"), F.col("best.cosine").alias("cosine"))
+
+
+def phrase_candidates(docs: DataFrame, least: int = 5, ratio: float = 10.83, text: str = "text") -> DataFrame:
+    """(first, second, n, llr): pairs of adjacent words that stand together more often than their own frequencies say, by Dunning's log-likelihood ratio.
+
+    At least ``least`` times, and with a ratio of ``ratio`` (one in a thousand by chance). Pairs are counted before they are shuffled; what words
+    count on their own, as the first or the second of a pair, follows from the counts of pairs, so that texts are read once. Pairs that are too rare go
+    before they meet those counts. Null texts and texts of one word have no pair.
+    """
+    words = docs.select(F.explode(F.array(tokens(F.col(text)))).alias("w"))  # bound, else texts are split for each pair
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    both = words.select(F.explode(F.arrays_zip(F.slice("w", 1, n).alias("first"), F.slice("w", 2, n).alias("second"))).alias("p")).select("p.first", "p.second")
+    pairs = saved(both.groupBy("first", "second").agg(F.count("*").alias("n")))
+    kept = pairs.where(F.col("n") >= least)
+    heads = pairs.groupBy("first").agg(F.sum("n").alias("n_first"))
+    tails = pairs.groupBy("second").agg(F.sum("n").alias("n_second"))
+    total = pairs.agg(F.sum("n").cast("double").alias("total"))
+    rows = kept.join(heads, "first").join(tails, "second").join(F.broadcast(total))  # one row
+    a, b, c = F.col("n"), F.col("n_first") - F.col("n"), F.col("n_second") - F.col("n")
+    cells = [(a, "n_first", "n_second"), (b, "n_first", None), (c, None, "n_second"), (F.col("total") - a - b - c, None, None)]
+
+    def share(k: Column, first: str | None, second: str | None) -> Column:
+        r = F.col(first) if first else F.col("total") - F.col("n_first")
+        s = F.col(second) if second else F.col("total") - F.col("n_second")
+        return F.when(k > 0, k * F.ln(k * F.col("total") / (r.cast("double") * s))).otherwise(0.0)
+
+    llr = 2 * (share(*cells[0]) + share(*cells[1]) + share(*cells[2]) + share(*cells[3]))
+    more = F.col("n") * F.col("total") > F.col("n_first").cast("double") * F.col("n_second")
+    return rows.where(more).select("first", "second", "n", F.round(llr, 4).alias("llr")).where(F.col("llr") >= ratio)

@@ -39,3 +39,12 @@ def idea_detail(ideas: DataFrame, problem_idea: DataFrame, scores: DataFrame, ev
     problems = F.transform("entries", lambda x: F.struct(x["problem_id"].alias("problem_id"), x["validation_score"].alias("validation_score")))
     docs = F.flatten(F.transform("entries", lambda x: x["docs"]))
     return out.withColumn("problems", problems).withColumn("evidence", docs).drop("entries")
+
+
+def unproven_ideas(ideas: DataFrame, problem_idea: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The rows of ``ideas`` none of whose problems has a row in ``evidence``.
+
+    An anti join over what exists, not over a list: a null among the problems of the evidence or of an idea proves nothing and hides nothing, and an idea
+    with a null id or without any problem is unproven. Ideas meet the ids of the proven ones, one for each."""
+    proven = problem_idea.join(evidence.select("problem_id").distinct(), "problem_id", "left_semi").select("idea_id").distinct()
+    return ideas.join(proven, "idea_id", "left_anti")

@@ -231,13 +231,33 @@ def frequent_sets(s: SparkSession, d: str) -> DataFrame:
     return out.select(id_list(F.col("items")).alias("problems"), "n_items", "baskets")
 
 
+def author_sketches(s: SparkSession, d: str) -> DataFrame:
+    """Authors of each problem and week, from the sketches of days."""
+    sketches = saved(measures.author_sketches(fx.reactions(s, d)))
+    return measures.authors_of_periods(sketches, F.trunc("day", "week"), "week")
+
+
+def affordable_sets(s: SparkSession, d: str) -> DataFrame:
+    out = personal.affordable_sets(fx.requests(s, d), fx.problem_ideas(s, d), fx.ideas(s, d))
+    return out.select("maker_id", "covered", "cost", id_list(F.col("ideas")).alias("ideas"))
+
+
+def phrase_candidates(s: SparkSession, d: str) -> DataFrame:
+    return discovery.phrase_candidates(fx.table(s, d, "documents").select("text"))
+
+
+def unproven_ideas(s: SparkSession, d: str) -> DataFrame:
+    """Ideas without a document of good quality for any of their problems."""
+    return ideas.unproven_ideas(fx.ideas(s, d), fx.problem_ideas(s, d), fx.evidence_documents(s, d).where("quality = 1"))
+
+
 QUERIES: tuple[Query, ...] = (
     ingest_reactions, ingested_volume, ingested_sources, source_from_url, publish_tables, normalize_reactions, dedup_exact, dedup_near, dedup_near_lsh, screen_evidence,
     match_problem_terms, problem_terms, cluster_reactions, assign_problem, mention_volume, mentions_by_day, mention_moving_avg,
     trend_slope, trend_change, source_distribution, source_diversity, evidence_top_k, validation_score, problem_list, problem_detail,
     ideas_for_problem, validated_ideas, idea_problem_match, idea_detail, filter_ideas_by_conditions, combine_problems,
     co_mentioned_problems, personalized_ideas, personalized_grounds, favorite_state, my_page,
-    score_when_saved, burst_periods, mentions_in_bursts, stream_problem_volume, frequent_sets,
+    score_when_saved, burst_periods, mentions_in_bursts, stream_problem_volume, frequent_sets, author_sketches, affordable_sets, phrase_candidates, unproven_ideas,
 )
 
 
@@ -282,6 +302,10 @@ SHARED = {
     "placed": r"""SELECT source, problem_id, CAST(NULL AS BIGINT) AS author_id FROM (SELECT n, problem_id, row_number() OVER (PARTITION BY n ORDER BY count(*) DESC, count(DISTINCT term) DESC, problem_id) AS best
         FROM (SELECT n, unnest(string_split_regex(lower(trim(text)), '[^\pL\pN]+')) AS term FROM written) JOIN lexicon USING (term) GROUP BY n, problem_id) JOIN written USING (n) WHERE best = 1
         UNION ALL SELECT source, problem_id, author_id FROM reaction""",
+    "offer": """SELECT maker_id, budget, mask, min({'cost': cost, 'idea': idea_id}) AS o FROM (
+        SELECT maker_id, idea_id, cost, CAST(sum(1 << (problem_id % 4)) AS INT) AS mask FROM fitting GROUP BY 1, 2, 3) JOIN (SELECT DISTINCT maker_id, budget FROM request) USING (maker_id) GROUP BY 1, 2, 3""",
+    "purchase": """SELECT maker_id, budget, mask AS last, mask AS cover, o.cost AS cost, [o.idea] AS ideas FROM offer UNION ALL
+        SELECT p.maker_id, p.budget, f.mask, p.cover | f.mask, p.cost + f.o.cost, list_append(p.ideas, f.o.idea) FROM purchase p JOIN offer f ON f.maker_id = p.maker_id AND f.mask > p.last""",
     "basket": "SELECT DISTINCT author_id, CAST(ts AS DATE) AS day, problem_id FROM reaction WHERE author_id IS NOT NULL AND ts IS NOT NULL AND problem_id IS NOT NULL",
     "subset": """SELECT author_id, day, problem_id AS last, CAST(problem_id AS VARCHAR) AS problems, CAST(1 AS BIGINT) AS n_items FROM basket UNION ALL
         SELECT s.author_id, s.day, b.problem_id, problems || ',' || b.problem_id, n_items + 1 FROM subset s JOIN basket b ON b.author_id = s.author_id AND b.day = s.day AND b.problem_id > s.last""",
@@ -305,6 +329,14 @@ ORACLES = {
         ASOF LEFT JOIN (SELECT problem_id, ts, max(reaction_id) AS reaction_id, max_by(source, reaction_id) AS source, sum(count(*)) OVER (PARTITION BY problem_id ORDER BY ts)::BIGINT AS volume FROM reaction GROUP BY 1, 2) r
         ON s.problem_id = r.problem_id AND s.ts >= r.ts""",
     "burst_periods": "SELECT * FROM bursts",
+    "phrase_candidates": """SELECT first, second, n, llr FROM (SELECT *, round(2 * (n * ln(n * t / (f * s)) + CASE WHEN f > n THEN (f - n) * ln((f - n) * t / (f * (t - s))) ELSE 0 END
+        + CASE WHEN s > n THEN (s - n) * ln((s - n) * t / ((t - f) * s)) ELSE 0 END + CASE WHEN t - f - s + n > 0 THEN (t - f - s + n) * ln((t - f - s + n) * t / ((t - f) * (t - s))) ELSE 0 END), 4) AS llr FROM (
+        SELECT first, second, n, CAST(sum(n) OVER (PARTITION BY first) AS DOUBLE) AS f, CAST(sum(n) OVER (PARTITION BY second) AS DOUBLE) AS s, CAST(sum(n) OVER () AS DOUBLE) AS t FROM (
+        SELECT w[i] AS first, w[i + 1] AS second, count(*) AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM words) GROUP BY 1, 2)) WHERE n >= 5 AND n * t > f * s) WHERE llr >= 10.83""",
+    "unproven_ideas": "SELECT * FROM idea i WHERE NOT EXISTS (SELECT 1 FROM problem_idea p JOIN document e USING (problem_id) WHERE p.idea_id = i.idea_id AND quality = 1)",
+    "affordable_sets": """SELECT maker_id, covered, cost, array_to_string(ideas, ',') AS ideas FROM (
+        SELECT *, row_number() OVER (PARTITION BY maker_id ORDER BY covered DESC, cost, ideas) AS n FROM (
+            SELECT maker_id, CAST(bit_count(cover) AS BIGINT) AS covered, round(cost, 6) AS cost, list_sort(ideas) AS ideas FROM purchase WHERE round(cost, 6) <= budget)) WHERE n = 1""",
     "frequent_sets": "SELECT problems, n_items, count(*) AS baskets FROM subset WHERE n_items > 1 GROUP BY 1, 2 HAVING count(*) >= 3",
     "stream_problem_volume": "SELECT problem_id, CAST(ts AS DATE) AS day, count(*) AS mentions FROM reaction WHERE NOT (reaction_id % 13 = 0 AND ts < TIMESTAMP '2024-01-03') GROUP BY 1, 2",
     "mentions_in_bursts": """SELECT reaction_id, r.problem_id, ts, source, burst_start, burst_end FROM reaction r JOIN bursts b

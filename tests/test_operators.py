@@ -275,3 +275,63 @@ def test_intermediate_tables_go(spark):
     storage.saved(spark.range(1))
     storage.clear(spark)
     assert not tables() - before
+
+
+def test_sketches_of_days_give_authors_of_periods(spark):
+    """Within four standard deviations of the exact number on every problem and period, however the days are merged."""
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).selectExpr(
+        "cast(id % 3 * (id % 2) as int) as problem_id", "cast(pow(id % 977, 2) % (100 + 3000 * (id % 3)) as long) as author_id", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 40 as int)) as ts"
+    ).union(spark.createDataFrame([(1, None, None), (None, 5, None)], "problem_id int, author_id long, ts timestamp_ntz"))
+    days = measures.author_sketches(rows)
+    assert days.count() == rows.where("problem_id is not null and ts is not null").selectExpr("problem_id", "to_date(ts)").distinct().count()
+    for period in (F.trunc("day", "week"), F.lit("all")):
+        got = {(r.problem_id, str(r.period)): r.authors for r in measures.authors_of_periods(days, period).collect()}
+        exact = rows.where("problem_id is not null and ts is not null").withColumn("day", F.to_date("ts")).groupBy("problem_id", period.alias("period")).agg(F.countDistinct("author_id").alias("n")).collect()
+        assert len(got) == len(exact)
+        for r in exact:
+            assert abs(got[r.problem_id, str(r.period)] - r.n) <= max(1, 4 * 1.04 / math.sqrt(1 << measures.SKETCH_BITS) * r.n)
+
+
+def test_sketch_query_is_near_the_exact_count(spark):
+    import kindling.queries as core
+    from kindling.plans import fixtures as fx
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.001"
+    exact = fx.reactions(spark, d).groupBy("problem_id", F.trunc(F.to_date("ts"), "week").alias("week")).agg(F.countDistinct("author_id").alias("n"))
+    got = {(r.problem_id, r.week): r.authors for r in core.queries()["author_sketches"](spark, d).collect()}
+    want = {(r.problem_id, r.week): r.n for r in exact.collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - n) for k, n in want.items()) <= 1
+
+
+def test_unproven_ideas_with_null_keys(spark):
+    ideas_ = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (None, "e")], "idea_id long, title string")
+    links = spark.createDataFrame([(10, 1), (11, 1), (11, 2), (None, 3), (10, None), (None, None)], "problem_id int, idea_id long")
+    evidence = spark.createDataFrame([(10, 5), (10, 6), (None, 7)], "problem_id int, doc_id long")
+    assert sorted(r.title for r in ideas.unproven_ideas(ideas_, links, evidence).collect()) == ["b", "c", "d", "e"]
+    assert ideas.unproven_ideas(ideas_, links, evidence.where("false")).count() == 5
+
+
+def test_phrases_by_the_contingency_table(spark):
+    from collections import Counter
+
+    texts = ["new york is new", "New-York, new york!", None, "", "york", "is it new", *["red car"] * 6, *["a b", "b a", "a a"] * 9]
+    pairs = Counter()
+    for t in texts:
+        w = [x for x in "".join(c.lower() if c.isalnum() else " " for c in t or "").split() if x]
+        pairs.update(zip(w, w[1:]))
+    total = sum(pairs.values())
+    want = {}
+    for (a, b), n in pairs.items():
+        f, s = sum(c for (x, _), c in pairs.items() if x == a), sum(c for (_, y), c in pairs.items() if y == b)
+        table = [(n, f, s), (f - n, f, total - s), (s - n, total - f, s), (total - f - s + n, total - f, total - s)]
+        llr = 2 * sum(k * math.log(k * total / (r * c)) for k, r, c in table if k)
+        if n >= 3 and n * total > f * s and llr >= 1:
+            want[a, b] = (n, round(llr, 4))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {(r["first"], r.second): (r.n, r.llr) for r in discovery.phrase_candidates(df, least=3, ratio=1.0).collect()}
+    assert got == want and ("red", "car") in got
