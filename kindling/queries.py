@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +11,10 @@ from kindling.functions import id_list
 from kindling.operators import cleaning, discovery, favorites, ideas, measures, personal, timeline, together
 from kindling.plans import fixtures as fx
 from kindling.sources import ingest_reactions as ingest
+from kindling.sources import publish_changes
 from kindling.sources import publish_tables as publish
 from kindling.sources import source_from_url as from_url
-from kindling.storage import fresh_folder, saved, shared_folder
+from kindling.storage import fresh_folder, saved
 from kindling.streaming import problem_volume, write_mentions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +39,9 @@ def source_from_url(s: SparkSession, d: str) -> DataFrame:
 
 def publish_tables(s: SparkSession, d: str) -> DataFrame:
     """The pages' tables written and read back, as one table."""
-    at = f"{shared_folder(s)}/published-{uuid.uuid4().hex}"
-    tables = {"problem_list": problem_list(s, d), "ideas_for_problem": ideas_for_problem(s, d), "personalized_ideas": personalized_ideas(s, d)}
+    at, scores = fresh_folder(s), saved(validation_score(s, d))
+    chosen = personal.personalized_ideas(fx.requests(s, d), fx.problem_ideas(s, d), fx.ideas(s, d), scores)
+    tables = {"problem_list": measures.problem_list(scores), "ideas_for_problem": ideas_for_problem(s, d), "personalized_ideas": chosen}
     paths = publish(tables, at, {"ideas_for_problem": ["problem_id"]})
     out = None
     for name, path in paths.items():
@@ -251,6 +252,18 @@ def unproven_ideas(s: SparkSession, d: str) -> DataFrame:
     return ideas.unproven_ideas(fx.ideas(s, d), fx.problem_ideas(s, d), fx.evidence_documents(s, d).where("quality = 1"))
 
 
+def published_changes(s: SparkSession, d: str) -> DataFrame:
+    """What reactions that arrived after the fourth batch change in daily mentions, published in a partition for each day: only those days are written again."""
+    at, rows = f"{fresh_folder(s)}/mentions", saved(fx.arrivals(s, d))
+
+    def version(arrived: DataFrame) -> DataFrame:
+        once = measures.mentions(arrived).where("ts is not null").select("reaction_id", "problem_id", F.to_date("ts").alias("day")).distinct()
+        return once.groupBy("problem_id", "day").agg(F.count("*").alias("mentions"))
+
+    publish({"mentions": version(rows.where("batch < 4"))}, at.removesuffix("/mentions"), {"mentions": ["day"]})
+    return publish_changes(version(rows), at, ["day"])
+
+
 QUERIES: tuple[Query, ...] = (
     ingest_reactions, ingested_volume, ingested_sources, source_from_url, publish_tables, normalize_reactions, dedup_exact, dedup_near, dedup_near_lsh, screen_evidence,
     match_problem_terms, problem_terms, cluster_reactions, assign_problem, mention_volume, mentions_by_day, mention_moving_avg,
@@ -258,6 +271,7 @@ QUERIES: tuple[Query, ...] = (
     ideas_for_problem, validated_ideas, idea_problem_match, idea_detail, filter_ideas_by_conditions, combine_problems,
     co_mentioned_problems, personalized_ideas, personalized_grounds, favorite_state, my_page,
     score_when_saved, burst_periods, mentions_in_bursts, stream_problem_volume, frequent_sets, author_sketches, affordable_sets, phrase_candidates, unproven_ideas,
+    published_changes,
 )
 
 
@@ -306,6 +320,9 @@ SHARED = {
         SELECT maker_id, idea_id, cost, CAST(sum(1 << (problem_id % 4)) AS INT) AS mask FROM fitting GROUP BY 1, 2, 3) JOIN (SELECT DISTINCT maker_id, budget FROM request) USING (maker_id) GROUP BY 1, 2, 3""",
     "purchase": """SELECT maker_id, budget, mask AS last, mask AS cover, o.cost AS cost, [o.idea] AS ideas FROM offer UNION ALL
         SELECT p.maker_id, p.budget, f.mask, p.cover | f.mask, p.cost + f.o.cost, list_append(p.ideas, f.o.idea) FROM purchase p JOIN offer f ON f.maker_id = p.maker_id AND f.mask > p.last""",
+    "version_after": "SELECT problem_id, CAST(ts AS DATE) AS day, count(*) AS mentions FROM reaction GROUP BY 1, 2",
+    "version_before": """SELECT problem_id, CAST(ts AS DATE) AS day, count(*) AS mentions FROM reaction WHERE NOT (reaction_id % 13 = 0 AND ts < TIMESTAMP '2024-01-03')
+        AND (CAST(ts AS DATE) - DATE '2024-01-01') // 5 + CASE WHEN reaction_id % 11 = 0 THEN 1 ELSE 0 END < 4 GROUP BY 1, 2""",
     "basket": "SELECT DISTINCT author_id, CAST(ts AS DATE) AS day, problem_id FROM reaction WHERE author_id IS NOT NULL AND ts IS NOT NULL AND problem_id IS NOT NULL",
     "subset": """SELECT author_id, day, problem_id AS last, CAST(problem_id AS VARCHAR) AS problems, CAST(1 AS BIGINT) AS n_items FROM basket UNION ALL
         SELECT s.author_id, s.day, b.problem_id, problems || ',' || b.problem_id, n_items + 1 FROM subset s JOIN basket b ON b.author_id = s.author_id AND b.day = s.day AND b.problem_id > s.last""",
@@ -337,6 +354,8 @@ ORACLES = {
     "affordable_sets": """SELECT maker_id, covered, cost, array_to_string(ideas, ',') AS ideas FROM (
         SELECT *, row_number() OVER (PARTITION BY maker_id ORDER BY covered DESC, cost, ideas) AS n FROM (
             SELECT maker_id, CAST(bit_count(cover) AS BIGINT) AS covered, round(cost, 6) AS cost, list_sort(ideas) AS ideas FROM purchase WHERE round(cost, 6) <= budget)) WHERE n = 1""",
+    "published_changes": """SELECT *, 'removed' AS change FROM (SELECT * FROM version_before EXCEPT ALL SELECT * FROM version_after)
+        UNION ALL SELECT *, 'added' FROM (SELECT * FROM version_after EXCEPT ALL SELECT * FROM version_before)""",
     "frequent_sets": "SELECT problems, n_items, count(*) AS baskets FROM subset WHERE n_items > 1 GROUP BY 1, 2 HAVING count(*) >= 3",
     "stream_problem_volume": "SELECT problem_id, CAST(ts AS DATE) AS day, count(*) AS mentions FROM reaction WHERE NOT (reaction_id % 13 = 0 AND ts < TIMESTAMP '2024-01-03') GROUP BY 1, 2",
     "mentions_in_bursts": """SELECT reaction_id, r.problem_id, ts, source, burst_start, burst_end FROM reaction r JOIN bursts b

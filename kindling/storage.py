@@ -46,7 +46,8 @@ def saved(df: DataFrame, outlives: bool = False) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """A file or folder, wherever Spark can reach it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -56,7 +57,7 @@ def release(*tables: DataFrame | None) -> None:
     for df in tables:
         path = _PATHS.pop(df, None) if df is not None else None
         if path is not None:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
             mine = _WRITTEN.get(df.sparkSession.sparkContext.applicationId, [])
             if path in mine:
                 mine.remove(path)
@@ -71,11 +72,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in mine[before:]:
-            _delete(spark, path)
+            delete(spark, path)
         del mine[before:]
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application saved and that were not released; for when its results are written."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+        delete(spark, path)
