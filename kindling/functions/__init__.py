@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,11 @@ def micros(ts: Column) -> Column:
     days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
     seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
     return days * 86_400_000_000 + seconds.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

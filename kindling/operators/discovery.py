@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindling.functions import parts, tokens
+from kindling.functions import free_name, parts, tokens
 from kindling.storage import saved
 
 #: Query vectors that are compared at once; cosines that a task holds at once; rows and queries that meet in one task of a larger search.
@@ -32,14 +32,14 @@ def match_problem_terms(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id"
 def place_reactions(reactions: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``reactions`` with the problem that their text names most where they have none: by hits, different terms, least id.
 
-    A text that names none, or a null one, leaves it null. Texts are told apart by a digest, so that they do not move."""
-    digest = F.md5(F.col("text"))
-    nameless = reactions.where("problem_id is null and text is not null").withColumn("digest", digest)
-    best = match_problem_terms(nameless, lexicon, "digest").groupBy("digest").agg(F.max(F.struct("hits", "terms", (-F.col("problem_id")).alias("minus"))).alias("best"))
-    best = best.select(F.col("digest").alias("__digest"), (-F.col("best.minus")).cast("int").alias("__placed"))
-    wanted = F.when(F.col("problem_id").isNull(), digest)
-    placed = reactions.join(best, wanted == F.col("__digest"), "left")
-    return placed.withColumn("problem_id", F.coalesce("problem_id", "__placed")).drop("__digest", "__placed")
+    A text that names none, or a null one, leaves it null. Texts are told apart by a digest, so that they do not move; reactions that have a problem are not joined."""
+    mark, placed = free_name("digest", reactions), free_name("placed", reactions)
+    open_ = F.col("problem_id").isNull() & F.col("text").isNotNull()
+    nameless = reactions.where(open_).withColumn(mark, F.md5("text"))
+    best = match_problem_terms(nameless, lexicon, mark).groupBy(mark).agg(F.max(F.struct("hits", "terms", (-F.col("problem_id")).alias("minus"))).alias("best"))
+    best = best.select(mark, (-F.col("best.minus")).cast("int").alias(placed))
+    found = nameless.join(best, mark, "left").withColumn("problem_id", F.col(placed)).select(*[F.col(f"`{c}`") for c in reactions.columns])
+    return reactions.where(~open_).union(found)
 
 
 def problem_terms(docs: DataFrame, k: int = 10, text: str = "text", source: str = "source") -> DataFrame:

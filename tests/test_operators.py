@@ -335,3 +335,49 @@ def test_phrases_by_the_contingency_table(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = {(r["first"], r.second): (r.n, r.llr) for r in discovery.phrase_candidates(df, least=3, ratio=1.0).collect()}
     assert got == want and ("red", "car") in got
+
+
+@pytest.mark.parametrize("part", [1, 3, 64])
+def test_pairs_of_an_author_in_parts(spark, part):
+    """A prolific author's pairs, whatever the parts, equal those of all combinations."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(part)
+    rows = [(a, rng.randrange(40)) for a in range(6) for _ in range(rng.choice([1, 5, 60]))] + [(None, 1), (1, None)]
+    df = spark.createDataFrame(rows, "author_id long, problem_id int")
+    want = {}
+    for a in range(6):
+        for pair in combinations(sorted({p for x, p in rows if x == a and p is not None}), 2):
+            want[pair] = want.get(pair, 0) + 1
+    assert {(r.a, r.b): r.authors for r in personal.co_mentioned_problems(df, part=part).collect()} == want
+
+
+def test_reactions_with_a_problem_are_not_placed(spark):
+    rows = spark.createDataFrame([(1, 5, "cat dog", 0), (2, None, "cat cat dog", 0), (3, None, None, 0), (4, None, "fish", 0), (5, 6, None, 0)], "reaction_id long, problem_id int, text string, digest int")
+    lexicon = spark.createDataFrame([(8, "cat"), (9, "dog")], "problem_id int, term string")
+    out = discovery.place_reactions(rows, lexicon)
+    assert out.columns == rows.columns
+    assert {r.reaction_id: r.problem_id for r in out.collect()} == {1: 5, 2: 8, 3: None, 4: None, 5: 6}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_pairs_equal_all_pairs(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    base = [[rng.choice("abcdefghijkl") for _ in range(rng.randrange(3, 40))] for _ in range(8)]
+    texts = []
+    for words in base * 8:
+        words = list(words)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = rng.choice("abcxyz")
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t, i in first.items()}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and x and y}
+    got = {(r.a, r.b): r.jaccard for r in cleaning.dedup_near(df).collect()}
+    assert got == {k: round(j, 6) for k, j in want.items() if j >= 0.7}
