@@ -30,9 +30,10 @@ ROUNDS, DEPTH, FORMS = 20, 5, 4
 #: How far a node follows its parent, in log-odds.
 FOLLOW = 0.8
 
-# Fixed values of HTML: elements whose text is not shown, without content, inline, and closed by a sibling.
+# Fixed values of HTML: elements whose text is not shown, whose content is no markup, that a head holds, without content, inline, and closed by a sibling.
 HIDDEN = frozenset("script style noscript template textarea title iframe object svg select button head option".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+HEAD = frozenset("title base link meta style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {
@@ -51,8 +52,8 @@ SIDE_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article articlebody articles body content entry main post story text".split())
 PLAIN_WORDS = frozenset(
-    "area bar block bottom box center column container content global group head inner item items js left line link links list local main page panel primary "
-    "right row secondary section site slot small sub title top unit wrap wrapper zone".split()
+    "area articles bar block bottom box center column container content global group head inner item items js left line link links list local main page panel posts primary "
+    "right row secondary section site slot small stories sub title top unit wrap wrapper zone".split()
 )
 #: What a convention is worth, in pages, against what the training pages themselves show of a word; words that are kept at most.
 PRIOR, MAX_WORDS = 4.0, 4096
@@ -61,6 +62,7 @@ TAGS = ("p", "div", "li", "h", "section", "article", "ul", "td", "nav", "header"
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _STOPS = frozenset(".!?:;\"'”’»)…。！？")
 
 _TAG = {t: i for i, t in enumerate(TAGS)} | {f"h{i}": TAGS.index("h") for i in range(1, 7)} | {"ol": TAGS.index("ul"), "th": TAGS.index("td"), "menu": TAGS.index("nav")}
@@ -90,12 +92,13 @@ class Node:
 
 def attribute_words(attributes: str) -> frozenset[str]:
     """The words of class, id and role: each as it is written, and the parts of a compound of which every part is a conventional name
-    (``site-header``, but not ``related-work`` or ``share-price-table``)."""
+    (``site-header`` or ``siteHeader``, but not ``related-work`` or ``share-price-table``)."""
     found = _WORD_CACHE.get(attributes)
     if found is None:
-        words = {w for x in _ATTRIBUTE.findall(attributes) for w in x.strip("\"'").lower().split()}
-        for w in list(words):
-            parts = {x for x in _SPLIT.split(w) if x}
+        written = [w for x in _ATTRIBUTE.findall(attributes) for w in x.strip("\"'").split()]
+        words = {w.lower() for w in written}
+        for w in written:
+            parts = {x for x in _SPLIT.split(_HUMP.sub("-", w).lower()) if x}
             if all(x in SIDE_WORDS or x in MAIN_WORDS or x in PLAIN_WORDS for x in parts):
                 words |= parts
         found = frozenset(words)
@@ -109,14 +112,22 @@ def parse(page: str, told: re.Pattern | None = None) -> tuple[list[Node], list[t
 
     A text block ends wherever a block-level element begins or ends. Character references are decoded,
     white space inside a block is one space, blank blocks are left out. Broken markup is read as
-    far as possible: unclosed elements end with their parent, stray ends are passed over. ``told``: what in an element's attributes
+    far as possible: unclosed elements end with their parent, a head at what no head can hold, stray ends are passed over. Time is linear in the page's length for
+    elements that close in order; what follows the last ``>`` is text. ``told``: what in an element's attributes
     says its label, for pages that were made for training.
     """
     nodes = [Node("#document", -1, 0, frozenset(), False)]
     out: list[tuple[int, str]] = []
     run: list[str] = []
     stack = [0]
+    open_: Counter[str] = Counter()  # open elements by tag, so that none is looked for in vain
     link = 0
+    last = page.rfind(">") + 1
+
+    def cut(i: int) -> None:
+        """Close the elements of the stack from its ``i``-th on."""
+        open_.subtract(nodes[j].tag for j in stack[i:])
+        del stack[i:]
 
     def flush() -> None:
         if run:
@@ -131,8 +142,14 @@ def parse(page: str, told: re.Pattern | None = None) -> tuple[list[Node], list[t
 
     at = 0
     while True:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
+        m = _TOKEN.search(page, at, last)
+        if m is None and (rest := page.find("<!--", max(at, last - 3))) >= 0:  # a comment that is not closed
+            piece = page[at:rest]
+        else:
+            piece = page[at : m.start() if m else len(page)]
+        if nodes[stack[-1]].tag == "head" and piece.strip():
+            flush()
+            cut(len(stack) - 1)
         if piece and not nodes[stack[-1]].hidden:
             run.append(piece)
             if link:
@@ -140,10 +157,16 @@ def parse(page: str, told: re.Pattern | None = None) -> tuple[list[Node], list[t
         if m is None:
             break
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            at = last = len(page)
+            continue
         end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
         tag = tag.lower()
+        if nodes[stack[-1]].tag == "head" and not end and tag not in HEAD:
+            flush()
+            cut(len(stack) - 1)
         if tag in INLINE:
             nodes[stack[-1]].inner_tags += 1
             if tag == "br":
@@ -153,23 +176,23 @@ def parse(page: str, told: re.Pattern | None = None) -> tuple[list[Node], list[t
             continue
         flush()
         if end:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if nodes[stack[i]].tag == tag:
                     nodes[stack[i]].close, nodes[stack[i]].end = m.start(), at
-                    del stack[i:]
+                    cut(i)
                     link = 0
                     break
             continue
-        if tag in CLOSES:
+        if tag in CLOSES and any(open_[x] for x in CLOSES[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if nodes[stack[i]].tag in CLOSES[tag]:
-                    del stack[i:]
+                    cut(i)
                     break
                 if nodes[stack[i]].tag in BOUNDS:
                     break
             # A cell or row may close more than one element.
             while len(stack) > 1 and nodes[stack[-1]].tag in CLOSES[tag]:
-                stack.pop()
+                cut(len(stack) - 1)
         words = attribute_words(attributes) if attributes else frozenset()
         parent = stack[-1]
         nodes.append(Node(tag, parent, nodes[parent].depth + 1, words, nodes[parent].hidden or tag in HIDDEN, begin=m.start(), inner=at))
@@ -177,11 +200,12 @@ def parse(page: str, told: re.Pattern | None = None) -> tuple[list[Node], list[t
             nodes[-1].label = int(mark[1])
         nodes[parent].children.append(len(nodes) - 1)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, last)
             at = close.end() if close else len(page)
             continue
         if tag not in VOID and not attributes.endswith("/"):
             stack.append(len(nodes) - 1)
+            open_[tag] += 1
     flush()
     return nodes, out
 
@@ -292,6 +316,10 @@ def rebuilt(page: str, root: Node, draw: random.Random) -> str:
     an article. The markup tells the labels; words are the article's own, so that none gives a part away."""
     inner = page[root.inner : root.close if root.close >= 0 else len(page)]
     words = re.sub(r"<[^>]*>", " ", inner).split()[:4000] or ["text"]
+    if draw.random() < 0.1:  # a page that is nothing but one or two blocks
+        texts = [" ".join(words[at : at + draw.randint(2, 40)]) or "text" for at in draw.sample(range(max(2, len(words))), 2)]
+        blocks_ = [f"<{t}>{x}</{t}>" for t, x in zip(draw.choice([["p"], ["p", "p"], ["h1", "p"], ["div"]]), texts)]
+        return draw.choice(['<body data-told="1">{}</body>', '<html><body data-told="1">{}</body></html>', '<div data-told="1">{}</div>', '<html data-told="1">{}']).format("".join(blocks_))
     plain = draw.random() < 0.4  # nothing but div and p
     named = 0.0 if plain else draw.choice([0.4, 1.0])
 

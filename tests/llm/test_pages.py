@@ -126,3 +126,58 @@ def test_odd_pages(spark, sf):
         got = [(r.page_id, r.main_text) for r in pg.extract_text(pages, trees).collect()]
         assert got[0] == (1, "") and got[1] == (2, "") and got[2] == got[3] == (3, "plain text <b") and got[4] == (None, "") and got[6] == (5, "")
     assert pg.extract_text(pages.limit(0), pg.fit_pages(pages.limit(0))).count() == 0
+
+
+def test_a_head_ends_at_what_it_cannot_hold():
+    for rest in ("<body><article><h1>A</h1><p>b</p></article>", "<h1>A</h1><p>b</p>", "A<p>b</p>", "<b>A</b><p>b", "</head><p>A</p><p>b</p>"):
+        nodes, out = pg.parse(f"<html><head><meta charset=x><title>t</title><script>no</script>\n{rest}")
+        assert [t for _, t in out] == ["A", "b"], rest
+        assert not any(nodes[i].hidden for i, _ in out)
+
+
+def test_humps_part_names():
+    assert pg.attribute_words(' class="siteNav postBody RelatedWork" id=relatedPosts') == {"sitenav", "site", "nav", "postbody", "post", "body", "relatedwork", "relatedposts", "related", "posts"}
+
+
+def test_lone_paragraphs_legal_heads_and_humps_in_names(spark, sf):
+    model = pg.fit_pages(spark.read.parquet(f"{sf}/pages.parquet"))
+    story = [f"This is sentence {i} of a story that somebody wrote for others to read, and it goes on for a while." for i in range(4)]
+    ps = "".join(f"<p>{x}</p>" for x in story)
+    humps = (
+        f'<body><div class="siteNav"><a href=/>Home</a> <a href=/a>About</a></div><div class="postBody"><h1>Title</h1>{ps}</div>'
+        '<div class="relatedPosts"><h3>Related</h3><p>Another story that you may like to read.</p></div><div class="siteFooter"><p>Copyright us</p></div></body>'
+    )
+    pages = {
+        "<p>one paragraph</p>": "one paragraph", "<body><p>one paragraph</p></body>": "one paragraph", "<html><body><p>One</p><p>Two of them.</p></body></html>": "One Two of them.",
+        "<p>This is a whole sentence that stands alone on its page, and nothing else does.</p>": "This is a whole sentence that stands alone on its page, and nothing else does.",
+        f"<html><head><title>t</title><body><article><h1>Title</h1>{ps}</article>": " ".join(["Title", *story]), humps: " ".join(["Title", *story]),
+    }
+    assert dict(zip(pages, pg.main_texts(list(pages), model))) == pages
+
+
+def test_long_pages_take_linear_time():
+    """Megabytes of what looks like markup and is none: no end of a tag, no closing quote, ends of elements that are not open."""
+    import time
+
+    n = 200_000
+    pages = ["x<y and " * n, "a <b c" * n, '<p class="' * n, "<!x " * n, "<script>" + "</script " * n, "<!-- " + "a > b " * n, "<div>" * 20_000 + "</span-x>" * n, "<x>" * 20_000 + "<li>a" * 20_000]
+    began = time.perf_counter()
+    found = [pg.parse(page)[1] for page in pages]
+    assert time.perf_counter() - began < 30
+    assert found[0][0][1] == ("x<y and " * n).strip() and found[1][0][1].startswith("a <b ca <b c") and found[5] == []
+
+
+def test_margins_equal_those_of_the_fitted_trees(spark):
+    """What tasks compute from arrays is what MLlib predicts for the same rows."""
+    import numpy as np
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, size=(400, 5)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3)).astype(float)
+    df = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y)], "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").coalesce(1)
+    model = GBTClassifier(maxIter=6, maxDepth=pg.DEPTH, maxBins=64, stepSize=0.3, seed=7).fit(df)
+    want = [r.m for r in model.transform(df).select(vector_to_array("rawPrediction")[1].alias("m")).collect()]
+    got = pg.Trees([pg._arrays(t) for t in model.trees], list(model.treeWeights)).margin(x)
+    assert np.allclose(got, np.array(want), atol=1e-9)
