@@ -195,10 +195,11 @@ def _runs(texts: list[str], rule: Rule) -> Iterator[tuple[int, int, int]]:
     starts, ends = edge[::2], edge[1::2]
     keep = ends - starts >= rule.least
     begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    for s, e in zip(starts[keep].tolist(), ends[keep].tolist()):
-        i = int(np.searchsorted(begin, s, side="right")) - 1
-        first = len(parts[i][: s - begin[i]].decode("utf-8", "surrogatepass"))
-        yield i, first, first + e - s
+    starts, ends = starts[keep], ends[keep]
+    points = np.cumsum((flat & 0xC0) != 0x80)  # code points up to each byte, the first of which is before the texts
+    row = np.searchsorted(begin, starts, side="right") - 1
+    first = points[starts] - points[begin[row]]
+    yield from zip(row.tolist(), first.tolist(), (first + ends - starts).tolist())
 
 
 def spans_of(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:

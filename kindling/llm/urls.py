@@ -44,7 +44,7 @@ def judge_urls(
     """(``key``, host, path, rule, verdict) for each row of ``pages``.
 
     A url stands for every host suffix at a dot (the host itself too) joined with every path
-    prefix that a rule path may have: those of a length that occurs among the rules. These
+    prefix that a rule may have: those of lengths that occur among the rules, so that long hosts and paths cost no more than the rules ask for. These
     expressions meet the rules by the first hex digits of their digests; the full digest then
     decides, the longest rule wins (longer host first among equals, then block before allow).
     No rule: rule null and ``default``. Null or broken urls have empty host and path, which
@@ -58,8 +58,10 @@ def judge_urls(
     if not rules:
         return rows.select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     lengths = F.array(*[F.lit(n) for n in sorted({len(p) for _, _, p in rules})])
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    tails = F.array(*[F.lit(n) for n in sorted({len(h) for _, h, _ in rules})])
+    n_host = F.length("host")
+    at_dot = F.filter(tails, lambda n: (n == n_host) | ((n < n_host) & (F.substring(F.col("host"), n_host - n, F.lit(1)) == ".")))
+    suffixes = F.transform(at_dot, lambda n: F.substring(F.col("host"), n_host - n + 1, n))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = F.array_distinct(F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p)))))
     asked = (

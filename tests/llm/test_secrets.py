@@ -57,3 +57,15 @@ def test_query(spark, sf):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in RULES)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(joined.split(",")) <= set(r.spans.split(","))
+
+
+def test_very_many_matches_of_one_text_take_linear_time():
+    import time
+
+    text = "é ".join(f"{i:032x}" for i in range(100_000))
+    began = time.perf_counter()
+    found = [x for x in secrets.spans_of(["", text, "\u20ac" + "0" * 24], secrets.BASE_RULES)]
+    assert time.perf_counter() - began < 20
+    assert found[0] == [] and len(found[1]) == 100_000
+    assert [x[:2] for x in found[1][:3]] == [(0, 32), (34, 66), (68, 100)] and found[1][-1][:2] == (34 * 99_999, 34 * 99_999 + 32)
+    assert found[2][0][:2] == (1, 25)
