@@ -8,7 +8,7 @@ that they stay null; other columns may be null and are carried along. No stage n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindling.llm import decontaminate, lines, packing, simhash, toxicity
@@ -16,6 +16,11 @@ from kindling.llm.common import free_name
 from kindling.storage import saved, scratch
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` by name, also names with dots or backticks."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from ``labels`` as op1 does.
 
@@ -25,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = free_name("toxicity", docs)
     scored = toxicity.score_toxicity(docs, model, column=score)
-    return scored.where(F.col(f"{score}.score") < toxicity.THRESHOLD).select(*docs.columns)
+    return scored.where(F.col(f"{score}.score") < toxicity.THRESHOLD).select(*columns(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     dropped = free_name("dropped", docs)
     out = lines.dedup_lines(docs, column=dropped).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null, empty and wordless texts are one component. Of repeated rows one stays. Unlike texts under one doc_id are judged apart. Null ids
     come last; a component of null ids only keeps one of its rows.
     """
-    return simhash.keep_one(docs).select(*docs.columns)
+    return simhash.keep_one(docs).select(*columns(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     held = free_name("contamination", docs)
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), column=held)
-    return found.where(F.size(held) == 0).select(*docs.columns)
+    return found.where(F.size(held) == 0).select(*columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
