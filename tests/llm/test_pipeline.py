@@ -123,3 +123,12 @@ def test_components(spark):
 
 def test_thresholds_are_the_contract():
     assert toxicity.THRESHOLD == 0.3
+
+
+def test_columns_of_any_name(spark, sf):
+    """Names with a dot, a backtick or a space are kept by every stage that keeps documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("a.b", F.col("doc_id") + 1).withColumn("x`y", F.lit("z")).withColumn(" ", F.lit(None).cast("int"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert out.where("`a.b` <> doc_id + 1").count() == 0
