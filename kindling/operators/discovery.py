@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindling.functions import free_name, parts, tokens
+from kindling.operators.pivots import DRAWN, MAX_PIVOTS, RINGS, Cells, Tiles, farthest_first
 from kindling.storage import saved
 
-#: Query vectors that are compared at once; cosines that a task holds at once; rows and queries that meet in one task of a larger search.
+#: Query vectors that are compared at once; cosines that a task holds at once; most rows of a tile of a larger search.
 MAX_QUERIES, MAX_CELLS, TILE_ROWS = 4096, 1 << 22, 50_000
+#: Tiles of a larger search, while none is over TILE_ROWS; a tile of fewer rows than LEAST_ROWS is not worth the queries that are sent to it.
+TILES, LEAST_ROWS = 64, 1024
 
 
 def _terms(df: DataFrame, text: str, *keep: Column) -> DataFrame:
@@ -73,10 +76,10 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
 
 
 def _vectors(df: DataFrame, key: str, name: str) -> DataFrame:
-    """(``name``, v) of the rows that can be compared: a key, and a vector that is neither null nor empty and has no null or NaN in it."""
+    """(``name``, v) of the rows that can be compared: a key, and a vector that is neither null nor empty and holds finite numbers only."""
     v = F.col("embedding").cast("array<double>")
     rows = df.select(F.col(key).cast("long").alias(name), v.alias("v")).where(F.col(name).isNotNull() & (F.size("v") > 0))
-    return rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    return rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -85,13 +88,19 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
-def _by_length(ids: pa.Array, lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, ids, unit vectors): vectors of unlike lengths do not meet."""
+def _groups(lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, which rows, their unit vectors): vectors of unlike lengths do not meet."""
     sizes = np.diff(lists.offsets.to_numpy())
-    ids = ids.to_numpy(zero_copy_only=False)
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
-        yield int(n), ids[at], _matrix(lists.take(pa.array(at)))
+        yield int(n), at, _matrix(lists.take(pa.array(at)))
+
+
+def _by_length(ids: pa.Array, lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, unit vectors)."""
+    ids = ids.to_numpy(zero_copy_only=False)
+    for n, at, unit in _groups(lists):
+        yield n, ids[at], unit
 
 
 class Best:
@@ -131,30 +140,100 @@ def nearest(rows: DataFrame, row_key: str, queries: DataFrame, query_key: str, k
     """(query, row, cosine): for each query vector the ``k`` best rows of every task; exact. What is left for the caller is a top-k
     over ``k`` rows per task and query. Equal cosines go to the lesser row key.
 
-    Up to MAX_QUERIES queries, which are counted, go to the tasks and rows stay where they are. More are dealt, as the rows are, into parts of
-    bounded size, and each part of the queries meets each part of the rows in a task of its own: neither side passes through the
-    driver. Null keys, null, empty or ragged vectors and such with a null or NaN inside match nothing (vectors of unlike length do not meet).
+    Up to MAX_QUERIES queries, which are counted, go to the tasks and rows stay where they are. More are searched by
+    :func:`search`. Null keys, null, empty or ragged vectors and such with a null, NaN or infinity inside match nothing (vectors of unlike
+    length do not meet). A zero vector has cosine 0 with all.
     """
     rows, queries = _vectors(rows, row_key, "row"), _vectors(queries, query_key, "query")
     n = queries.count()
-    if n <= MAX_QUERIES:
-        ids, lists = queries.toArrow().combine_chunks().columns if n else (pa.chunked_array([], pa.int64()), pa.chunked_array([], pa.list_(pa.float64())))
-        sent = rows.sparkSession.sparkContext.broadcast(list(_by_length(ids.combine_chunks(), lists.combine_chunks())) if n else [])
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = {length: Best(q, v, k) for length, q, v in sent.value}
-            for batch in batches:
-                for length, keys, v in _by_length(batch.column(0), batch.column(1)):
-                    if length in best:
-                        best[length].see(keys, v)
-            yield from (b.batch() for b in best.values())
-
-        return rows.mapInArrow(search, _FOUND)
-    row_parts, query_parts = -(-rows.count() // TILE_ROWS), -(-n // MAX_QUERIES)
-
-    def dealt(df: DataFrame, key: str, own: str, parts_: int, other: str, others: int) -> DataFrame:
-        part = F.pmod(F.xxhash64(key), F.lit(max(1, parts_))).alias(own)
-        return df.select(key, "v", part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, others) - 1).cast("long"))).alias(other))
+    if n > MAX_QUERIES:
+        return search(rows, queries, k)
+    ids, lists = queries.toArrow().combine_chunks().columns if n else (pa.chunked_array([], pa.int64()), pa.chunked_array([], pa.list_(pa.float64())))
+    sent = rows.sparkSession.sparkContext.broadcast(list(_by_length(ids.combine_chunks(), lists.combine_chunks())) if n else [])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {length: Best(q, v, k) for length, q, v in sent.value}
+        for batch in batches:
+            for length, keys, v in _by_length(batch.column(0), batch.column(1)):
+                if length in best:
+                    best[length].see(keys, v)
+        yield from (b.batch() for b in best.values())
+
+    return rows.mapInArrow(look, _FOUND)
+
+
+def _cells_of(rows: DataFrame, n: int) -> tuple[Cells, int]:
+    """(cells about pivots, rows that a tile may have) for ``n`` ``rows``. Pivots come from a sample of fixed size, drawn by a hash; they
+    decide what is compared, not what is found."""
+    each = min(TILE_ROWS, max(min(LEAST_ROWS, TILE_ROWS), -(-n // TILES)))
+    wanted = min(MAX_PIVOTS, max(2, -(-n // each)))
+    drawn = rows.where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("row"), "row").limit(wanted * DRAWN).select("v").toArrow().combine_chunks()
+    lists = drawn.column(0).combine_chunks() if drawn.num_rows else pa.array([], pa.list_(pa.float64()))
+    return Cells({length: farthest_first(unit, wanted) for length, _, unit in _groups(lists)}), each
+
+
+def _tiled(rows: DataFrame, cells: Cells, each: int) -> tuple[DataFrame, Tiles]:
+    """(``rows`` with ``tile``, the tiles): a cell is cut into rings at quantiles of the angle to its pivot, and what is still over ``each``
+    rows, many copies say, by a hash. The driver gets four numbers of each ring, of which there are at most RINGS a pivot."""
+    sent = rows.sparkSession.sparkContext.broadcast(cells)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, angle = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
+            for length, at, unit in _groups(batch.column(1)):
+                cell[at], angle[at] = sent.value.place(length, unit)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle), pa.array(np.arange(batch.num_rows))], names=["row", "v", "cell", "angle", "deal"])
+
+    placed = saved(rows.mapInArrow(place, "row long, v array<double>, cell long, angle double, deal long"))
+    cuts = placed.groupBy("cell").agg(F.percentile_approx("angle", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts"))
+    cuts = saved(cuts.select("cell", F.array_distinct("cuts").alias("cuts")))
+    ring = F.size(F.filter("cuts", lambda x: x < F.col("angle"))).alias("ring")
+    ringed = placed.join(F.broadcast(cuts), "cell").select("row", "v", "cell", "angle", "deal", ring)  # a row for each cell
+    sizes = ringed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("angle").alias("least"), F.max("angle").alias("most"))
+    cell, count, least, most, at = [], [], [], [], []
+    for r in sorted(sizes.collect()):
+        pieces = -(-r.n // each)
+        at.append((r.cell, r.ring, len(cell), pieces))
+        for piece in range(pieces):
+            cell.append(r.cell)
+            count.append(r.n // pieces)  # about so many; what it is used for need not be exact
+            least.append(r.least)
+            most.append(r.most)
+    known = rows.sparkSession.createDataFrame(at, "cell long, ring int, first int, pieces int")
+    tile = (F.col("first") + F.pmod(F.xxhash64("row", "deal"), F.col("pieces"))).cast("int")
+    return ringed.join(F.broadcast(known), ["cell", "ring"]).select("row", "v", tile.alias("tile")), Tiles(cells, cell, count, least, most)
+
+
+def _visits(queries: DataFrame, tiles: Tiles, k: int) -> DataFrame:
+    """(query, v, seen, tiles, deal) of ``queries``: ``tiles`` to see first or, if ``queries`` have ``seen`` and ``least``, those to see besides."""
+    sent, later = queries.sparkSession.sparkContext.broadcast(tiles), "least" in queries.columns
+    kind = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, MAX_CELLS // max(1, len(sent.value.cell)))
+        for whole in batches:
+            for a in range(0, whole.num_rows, step):
+                batch = whole.slice(a, step)
+                out: list = [()] * batch.num_rows
+                seen = batch.column(2).to_pylist() if later else out
+                for length, at, unit in _groups(batch.column(1)):
+                    if later:
+                        least = batch.column(3).to_numpy(zero_copy_only=False)[at]
+                        got = sent.value.later_visits(length, unit, least, [np.array(seen[i], dtype=np.int64) for i in at])
+                    else:
+                        got = sent.value.first_visits(length, unit, k)
+                    for i, x in zip(at, got):
+                        out[i] = x.tolist()
+                columns = [batch.column(0), batch.column(1), pa.array(seen, kind), pa.array(out, kind), pa.array(np.arange(batch.num_rows))]
+                yield pa.RecordBatch.from_arrays(columns, names=["query", "v", "seen", "tiles", "deal"])
+
+    chosen = queries.select("query", "v", "seen", "least") if later else queries.select("query", "v")
+    return chosen.mapInArrow(run, "query long, v array<double>, seen array<int>, tiles array<int>, deal long")
+
+
+def _meet(rows: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """(query, row, cosine): the ``k`` best rows of each query in each tile it visits. A tile that many queries visit is copied for each
+    MAX_QUERIES of them; rows of a tile that none visits do not move."""
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found = {length: Best(q, v, k) for length, q, v in _by_length(left["query"].combine_chunks(), left["v"].combine_chunks())} if left.num_rows else {}
@@ -164,25 +243,71 @@ def nearest(rows: DataFrame, row_key: str, queries: DataFrame, query_key: str, k
                     found[length].see(keys, v)
         return pa.Table.from_batches([b.batch() for b in found.values()], pa.schema([("query", pa.int64()), ("row", pa.int64()), ("cosine", pa.float64())]))
 
-    left = dealt(queries, "query", "qpart", query_parts, "rpart", row_parts).groupBy("qpart", "rpart")
-    right = dealt(rows, "row", "rpart", row_parts, "qpart", query_parts).groupBy("qpart", "rpart")
-    return left.cogroup(right).applyInArrow(meet, _FOUND)
+    single = visits.select("query", "v", "deal", F.explode("tiles").alias("tile"))
+    counts = single.groupBy("tile").agg(F.ceil(F.count("*") / MAX_QUERIES).cast("int").alias("copies"))
+    counts = saved(counts)  # a row for each tile, as the driver has them
+    left = single.join(F.broadcast(counts), "tile").select("query", "v", "tile", F.pmod(F.xxhash64("query", "deal"), F.col("copies")).cast("int").alias("part"))
+    right = rows.join(F.broadcast(counts), "tile").select("row", "v", "tile", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"))
+    return left.groupBy("tile", "part").cogroup(right.groupBy("tile", "part")).applyInArrow(meet, _FOUND)
+
+
+def _least_keys(rows: DataFrame, k: int) -> DataFrame:
+    """(length, row): the ``k`` least keys of each length of vector, cut in the tasks first; what any zero query finds."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lengths, keys = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for n in np.unique(lengths):
+                kept[n] = np.sort(np.concatenate([kept.get(n, keys[:0]), keys[lengths == n]]))[:k]
+        for n, keys in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, dtype=np.int32)), pa.array(keys)], names=["length", "row"])
+
+    few = rows.select(F.size("v").alias("length"), "row").mapInArrow(cut, "length int, row long")
+    rank = F.row_number().over(Window.partitionBy("length").orderBy("row"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= k).select("length", "row")
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, row, cosine), as :func:`nearest`, for (row, v) and (query, v) of any number.
+
+    Rows are put into tiles about pivots. Each query first meets the closest tiles that hold ``k`` rows; the ``k``-th cosine found there is
+    a bound, and of the other tiles it meets those only that may hold a row as good, by triangle bounds on angles. Vectors without structure
+    meet most tiles. What the driver holds are the pivots and four numbers of a tile. Zero queries, which have cosine 0
+    with all, find the least keys and meet no tile."""
+    cells, each = _cells_of(rows, rows.count())
+    tiled, tiles = _tiled(rows, cells, each)
+    zero = ~F.exists("v", lambda x: x != 0)
+    seen = saved(_visits(queries.where(~zero), tiles, k))
+    found = saved(_meet(tiled, seen, k))
+    least = found.groupBy("query").agg(F.sort_array(F.collect_list("cosine"), False).alias("c"))  # at most k rows from each of k tiles
+    least = least.select("query", F.get("c", F.lit(k - 1)).alias("least"))
+    bounded = seen.select("query", "v", F.col("tiles").alias("seen")).join(least, "query", "left").withColumn("least", F.coalesce("least", F.lit(float("nan"))))
+    more = _meet(tiled, saved(_visits(bounded, tiles, k)), k)
+    blank = queries.where(zero).select("query", F.size("v").alias("length")).join(_least_keys(rows, k), "length").select("query", "row", F.lit(0.0).alias("cosine"))
+    return found.unionByName(more).unionByName(blank)
 
 
 def assign_problem(vectors: DataFrame, centers: DataFrame, key: str = "vec_id") -> DataFrame:
     """(``key``, problem_id, cosine): each reaction's nearest problem, the lesser id among equals.
 
-    Centers go to the tasks, at most MAX_QUERIES at a time; a task gives one row per vector, and with several passes the best of them counts.
-    Vectors that :func:`nearest` passes over have no problem and no row."""
-    rows, centers = _vectors(vectors, key, "row"), _vectors(centers, "problem_id", "query").orderBy("query")
-    out, sc = None, rows.sparkSession.sparkContext
-
-    def assign(sent):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = {length: (ids, v) for length, ids, v in sent.value}
+    Up to MAX_QUERIES centers, which are counted, go to the tasks, which return one row per vector; more are tiles of a :func:`search` that vectors
+    visit. Vectors that :func:`nearest` passes over have no problem and no row."""
+    rows, known = _vectors(vectors, key, "row"), _vectors(centers, "problem_id", "query")
+    n = known.count()
+    if n > MAX_QUERIES:
+        swapped = search(known.withColumnRenamed("query", "row"), rows.withColumnRenamed("row", "query"), 1)
+        out = swapped.select(F.col("query").alias("row"), F.col("row").alias("query"), "cosine")
+    else:
+        table = known.orderBy("query").toArrow().combine_chunks()
+        ids, lists = (c.combine_chunks() for c in table.columns) if n else (pa.array([], pa.int64()), pa.array([], pa.list_(pa.float64())))
+        sent = rows.sparkSession.sparkContext.broadcast(list(_by_length(ids, lists)))
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of_length = {length: (ids, v) for length, ids, v in sent.value}
             for batch in batches:
                 for length, keys, v in _by_length(batch.column(0), batch.column(1)):
-                    ids, c = known.get(length, (None, None))
+                    ids, c = of_length.get(length, (None, None))
                     if ids is None:
                         continue
                     step = max(1, MAX_CELLS // len(ids))
@@ -192,23 +317,7 @@ def assign_problem(vectors: DataFrame, centers: DataFrame, key: str = "vec_id")
                         best = cosine[np.arange(len(first)), first]
                         yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + step]), pa.array(ids[first]), pa.array(best)], names=["row", "query", "cosine"])
 
-        return run
-
-    block: list = []
-
-    def flush() -> None:
-        nonlocal out
-        ids, lists = pa.array([x[0] for x in block], pa.int64()), pa.array([x[1] for x in block], pa.list_(pa.float64()))
-        part = rows.mapInArrow(assign(sc.broadcast(list(_by_length(ids, lists)))), "row long, query long, cosine double")
-        out = part if out is None else out.union(part)
-        block.clear()
-
-    for x in centers.toLocalIterator():
-        block.append(x)
-        if len(block) == MAX_QUERIES:
-            flush()
-    if block or out is None:
-        flush()
+        out = rows.mapInArrow(assign, "row long, query long, cosine double")
     best = out.groupBy("row").agg(F.max(F.struct(F.round("cosine", 6).alias("cosine"), (-F.col("query")).alias("minus"))).alias("best"))
     return best.select(F.col("row").alias(key), (-F.col("best.minus")).cast("int").alias("problem_id"), F.col("best.cosine").alias("cosine"))
 
