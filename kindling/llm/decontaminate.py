@@ -23,6 +23,8 @@ WORDS, SIMILARITY = 5, 0.8
 RADIUS = 23
 #: Items (and characters of items) that tasks are sent at once; a larger benchmark takes several passes.
 MAX_ITEMS, MAX_CHARS = 20_000, 20_000_000
+#: Windows that are fingerprinted at once, and words whose bits are summed at once.
+BATCH = 4096
 
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -51,27 +53,32 @@ class Items:
     """Benchmark items, indexed: shingles by hash, fingerprints by Hamming blocks.
 
     ``counts``: how many texts of the whole benchmark hold a shingle, by (width, hash), where it is more
-    than one; None: counted over ``rows``. Texts of the same words are one. Of an item only its rarest shingles are
+    than one; None: counted over ``rows``. Texts of the same words are one, under several ids (``twins``). Of an item only its rarest shingles are
     indexed: what is passed over weighs less than ``similarity`` of the item, so that a match holds one of those that are.
     """
 
     def __init__(self, rows: list[tuple[int, str]], width: int = WORDS, counts: dict[tuple[int, int], int] | None = None, similarity: float = SIMILARITY):
         words, first = word_hashes([t or "" for _, t in rows])
-        self.ids, self.widths, self.bags = [], [], []
+        self.ids, self.twins, self.widths, self.bags = [], [], [], []
         self.sizes: list[int] = []
         shingles: set[tuple[int, int]] = set()
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         local: Counter = Counter()
         for (item, _), a, b in zip(rows, first, first[1:]):
             if a == b:
                 continue  # an item of no words is in no document
+            same = words_key(words[a:b])
+            if same in seen:
+                self.twins[seen[same]].append(item)
+                continue
+            seen[same] = len(self.ids)
             w = min(width, b - a)
             bag = Counter(shingle_hashes(words[a:b], w).tolist())
             shingles.update((w, h) for h in bag)
-            if counts is None and (same := words_key(words[a:b])) not in seen:
-                seen.add(same)
+            if counts is None:
                 local.update((w, h) for h in bag)
             self.ids.append(item)
+            self.twins.append([item])
             self.widths.append(int(w))
             self.bags.append(bag)
             self.sizes.append(int(b - a))
@@ -121,12 +128,32 @@ class Items:
         return listed & (np.bitwise_count(prints ^ self.prints[i]) <= RADIUS)
 
 
+class Sums:
+    """Weighted sums of the signed bits of all of ``hs`` before a place, for places that do not fall from call to call: in
+    whole numbers, by BATCH hashes, so that memory does not grow with what lies between places."""
+
+    def __init__(self, hs: np.ndarray, weights: np.ndarray):
+        self.hs, self.weights, self.at, self.total = hs, weights, 0, np.zeros(64)
+
+    def before(self, places: np.ndarray) -> np.ndarray:
+        out = np.tile(self.total, (len(places), 1))
+        while self.at < places[-1]:
+            to = min(self.at + BATCH, int(places[-1]))
+            bits = np.unpackbits(self.hs[self.at : to, None].view(np.uint8), axis=1)
+            sums = np.cumsum((bits * 2.0 - 1.0) * np.rint(self.weights[self.at : to] * 720720)[:, None], axis=0) + self.total
+            here = slice(*np.searchsorted(places, [self.at, to], side="right"))
+            out[here] = sums[places[here] - self.at - 1]
+            self.at, self.total = to, sums[-1]
+        return out
+
+
 def simhashes(hs: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Weighted 64-bit SimHash of each run ``hs[start:end]``, by prefix sums of signed weights."""
-    bits = np.unpackbits(hs[:, None].view(np.uint8), axis=1)
-    sums = np.zeros((len(hs) + 1, 64))
-    np.cumsum((bits * 2.0 - 1.0) * np.rint(weights * 720720)[:, None], axis=0, out=sums[1:])
-    return np.packbits(sums[ends] > sums[starts], axis=1).view(np.uint64).ravel()
+    """Weighted 64-bit SimHash of each run ``hs[start:end]``; neither starts nor ends fall."""
+    return _prints(Sums(hs, weights), Sums(hs, weights), starts, ends)
+
+
+def _prints(head: Sums, tail: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.packbits(tail.before(ends) > head.before(starts), axis=1).view(np.uint64).ravel()
 
 
 def words_key(words: np.ndarray) -> int:
@@ -151,6 +178,36 @@ def weighted_similarity(a: Counter, b: Counter, weight: dict, width: int, scale:
     return both / union if union else 0.0
 
 
+class Window:
+    """The :func:`weighted_similarity` of a window of ``hs`` to an item as the window moves on: by what enters and leaves it."""
+
+    def __init__(self, hs: np.ndarray, bag: Counter, weight: dict, width: int, scale: float):
+        self.hs, self.bag, self.weight, self.width, self.scale = hs, bag, weight, width, scale
+        self.whole = sum(weight[width, h] * n for h, n in bag.items())
+        self.lo = self.hi = 0
+        self.held, self.both, self.all = Counter(), 0.0, 0.0
+
+    def to(self, lo: int, hi: int) -> float:
+        """Neither end falls from call to call."""
+        if lo >= self.hi:
+            self.lo = self.hi = lo
+            self.held, self.both, self.all = Counter(), 0.0, 0.0
+        for a, b, step in ((self.hi, hi, 1), (self.lo, lo, -1)):
+            for h in self.hs[a:b].tolist():
+                mine = self.bag.get(h, 0)
+                w = self.weight[self.width, h] if mine else self.scale
+                more = self.held[h] + (step < 0 and -1)  # without the one that enters or leaves
+                self.all += step * w
+                if more < mine:
+                    self.both += step * w
+                if more + (step > 0):
+                    self.held[h] = more + (step > 0)
+                else:
+                    del self.held[h]
+        self.lo, self.hi = lo, hi
+        return self.both / (self.all + self.whole - self.both)
+
+
 def matches(texts: list[str], items: Items, similarity: float = SIMILARITY) -> list[dict[int, float]]:
     """For each text the items that a window of it matches, with the best similarity.
 
@@ -187,16 +244,24 @@ def matches(texts: list[str], items: Items, similarity: float = SIMILARITY) -> l
                 np.add.at(marks, np.maximum(p - reach, 0), 1)
                 np.add.at(marks, p + 1, -1)
                 starts = np.flatnonzero(np.cumsum(marks[:-1]))
-                for block in range(0, len(starts), 4096):
-                    s = starts[block : block + 4096]
-                    e = np.minimum(s + reach + 1, len(h))
-                    prints = simhashes(h[s[0] : e[-1]], w[s[0] : e[-1]], s - s[0], e - s[0])
-                    for i in those:
-                        holds = np.searchsorted(places[i], e) > np.searchsorted(places[i], s)
-                        for x in np.flatnonzero(holds)[items.near(i, prints[holds])].tolist():
-                            like = weighted_similarity(Counter(h[s[x] : e[x]].tolist()), items.bags[i], items.weight, width, items.scales[i])
-                            if like >= similarity:
-                                out[d][items.ids[i]] = max(like, out[d].get(items.ids[i], 0.0))
+                for run in np.split(starts, np.flatnonzero(np.diff(starts) > max(reach, BATCH)) + 1) if len(starts) else ():
+                    base, best, moving = int(run[0]), {}, {}
+                    head, tail = Sums(h[base:], w[base:]), Sums(h[base:], w[base:])
+                    for block in range(0, len(run), BATCH):
+                        s = run[block : block + BATCH]
+                        e = np.minimum(s + reach + 1, len(h))
+                        prints = _prints(head, tail, s - base, e - base)
+                        for i in those:
+                            holds = np.flatnonzero(np.searchsorted(places[i], e) > np.searchsorted(places[i], s))
+                            for x in holds[items.near(i, prints[holds])].tolist():
+                                if i not in moving:
+                                    moving[i] = Window(h, items.bags[i], items.weight, width, items.scales[i])
+                                best[i] = max(best.get(i, (0.0,)), (moving[i].to(int(s[x]), int(e[x])), int(s[x]), int(e[x])))
+                    for i, (_, a, b) in best.items():  # sums that moved are rounded otherwise
+                        like = weighted_similarity(Counter(h[a:b].tolist()), items.bags[i], items.weight, width, items.scales[i])
+                        if like >= similarity:
+                            for one in items.twins[i]:
+                                out[d][one] = max(like, out[d].get(one, 0.0))
     return out
 
 

@@ -140,3 +140,52 @@ def test_verdicts_do_not_depend_on_the_runs(spark, monkeypatch):
         got.append({r.doc_id: [(x["item"], round(x["similarity"], 9)) for x in r.contamination] for r in dc.find_contamination(docs, bench).collect()})
     assert got[0] == got[1] == got[2]
     assert [x[0] for x in got[0][5]] == [5, 99] and all(got[0][i] for i in range(12))
+
+
+def peak_of(work):
+    """(result, seconds, the most MB that were held at once)"""
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        began = time.perf_counter()
+        out = work()
+        return out, time.perf_counter() - began, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_an_item_at_both_ends_of_a_very_long_text():
+    item, filler = " ".join(words(60, 1)), " ".join(words(1000, 2))
+    text = " ".join([item, *[filler] * 900, one_word_changed(item, 30)])
+    assert len(text) > 5_000_000
+    got, seconds, mb = peak_of(lambda: dc.matches([text], dc.Items([(1, item)])))
+    assert got == [{1: 1.0}] and seconds < 60 and mb < 700  # hashes of nearly a million words are most of it
+
+
+def test_very_long_items():
+    """Windows of a very long item move on; they are not counted anew, nor do their sums stand side by side."""
+    item = " ".join(words(60_000, 5))
+    text = " ".join(words(500, 6)) + " " + one_word_changed(item, 30_000) + " " + " ".join(words(500, 7))
+    index = dc.Items([(1, item)])
+    got, seconds, mb = peak_of(lambda: dc.matches([text], index))
+    assert set(got[0]) == {1} and got[0][1] > 0.999 and seconds < 60 and mb < 120
+
+
+def test_many_ids_of_one_text_are_one_entry():
+    text = " ".join(words(40, 1))
+    items = dc.Items([(i, text.upper() if i % 2 else text) for i in range(20_000)] + [(None, text), (-1, "else")])
+    assert len(items.ids) == 2 and len(items.twins[0]) == 20_001
+    assert dc.matches(["x " + text, "none"], items) == [dict.fromkeys([*range(20_000), None], 1.0), {}]
+
+
+def test_moving_windows_are_the_plain_similarity():
+    rng = random.Random(3)
+    items = dc.Items([(i, " ".join(rng.choice("abc") for _ in range(12))) for i in range(6)])
+    hs = np.array([h for i in (0, 3, 0, 1, 5) for h in items.bags[i].elements()] + [7, 7, 9], dtype=np.uint64)
+    for i, bag in enumerate(items.bags):
+        moving = dc.Window(hs, bag, items.weight, items.widths[i], items.scales[i])
+        for lo in (0, 1, 2, 5, 20, 21, 24):
+            want = dc.weighted_similarity(dc.Counter(hs[lo : lo + 8].tolist()), bag, items.weight, items.widths[i])
+            assert abs(moving.to(lo, min(lo + 8, len(hs))) - want) < 1e-12
