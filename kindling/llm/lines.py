@@ -22,6 +22,8 @@ BANDS, ROWS = 10, 4
 BUCKET = 512
 #: Parts of lines outside a bucket's largest component beyond which the bucket is dealt by rare shingles first: about as many as a line has.
 SPREAD = 16
+#: Shingles of a line that are compared as strings at once.
+PART = 200_000
 
 #: Characters hashed at once: their arrays stay in a core's cache.
 LINE_CHARS = 60_000
@@ -139,6 +141,25 @@ def shingles(line: str, width: int) -> set[str]:
     return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
 
 
+def alike_sets(a: set, b: set, similarity: float) -> bool:
+    return min(len(a), len(b)) >= similarity * max(len(a), len(b)) and jaccard(a, b) >= similarity
+
+
+def similar(x: str, y: str, width: int, similarity: float) -> bool:
+    """Whether two lines have at least ``similarity``, exactly. Shingles of very long lines are compared by parts, those of
+    one hash in the same part, so that a line takes a number per character and the strings of one part."""
+    parts = -(-max(len(x), len(y)) // PART)
+    if parts <= 1:
+        return alike_sets(shingles(x, width), shingles(y, width), similarity)
+    part_of = [(mixed(hashed_shingles([line], width)[0]) % np.uint64(parts)).astype(np.uint32) for line in (x, y)]
+    both = either = 0
+    for part in range(parts):
+        a, b = ({line[i : i + width] for i in np.flatnonzero(of == part).tolist()} for line, of in zip((x, y), part_of))
+        both += len(a & b)
+        either += len(a | b)
+    return both / either >= similarity
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs whose lines have at least ``similarity``, by the lines themselves."""
 
@@ -148,10 +169,13 @@ def _verified(pairs: DataFrame, lines: DataFrame, width: int, similarity: float)
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = x.as_py(), y.as_py()
+                if max(len(x), len(y)) > PART:
+                    keep.append(similar(x, y, width, similarity))
+                    continue
                 if x != last:
                     last, left = x, shingles(x, width)
                 right = shingles(y, width)
-                keep.append(min(len(left), len(right)) >= similarity * max(len(left), len(right)) and jaccard(left, right) >= similarity)
+                keep.append(alike_sets(left, right, similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with_b = pairs.join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")).hint("merge"), "b")
@@ -182,14 +206,18 @@ def bucket_links(hs: list[int], components: list[int], lines: list[str], width:
     """Links that connect what of a bucket hangs together, beyond ``components``: exact Jaccard of all its lines at once.
     ``rest``: lines of which one at least is in every pair that matters; all by default."""
     if len(hs) <= 6:
-        texts = [shingles(x, width) for x in lines]
+        sets = [shingles(x, width) if len(x) <= PART else None for x in lines]
         for j in range(1, len(hs)):
             for i in range(j):
-                if components[i] != components[j] and min(len(texts[i]), len(texts[j])) >= similarity * max(len(texts[i]), len(texts[j])) and jaccard(texts[i], texts[j]) >= similarity:
+                if components[i] == components[j]:
+                    continue
+                if similar(lines[i], lines[j], width, similarity) if sets[i] is None or sets[j] is None else alike_sets(sets[i], sets[j], similarity):
                     yield hs[i], hs[j]
         return
-    h, starts, ends = hashed_shingles(lines, width)
-    sets = [np.unique(h[a:b]) for a, b in zip(starts, ends)]
+    sets = []
+    for _, some in blocks(pa.array(lines)):
+        h, starts, ends = hashed_shingles(some, width)
+        sets.extend(np.unique(h[a:b]) for a, b in zip(starts, ends))
     size = np.array([len(x) for x in sets])
     group = np.unique(components, return_inverse=True)[1]
     some = np.arange(len(hs)) if rest is None else np.flatnonzero(rest)

@@ -113,3 +113,29 @@ def test_lines_that_meet_beside_an_unlike_least_line(spark):
     docs = spark.createDataFrame([(1, 1, "an unlike line that only shares the bucket"), (2, 2, near), (3, 3, near + "s")], "doc long, tie long, body string")
     at = spark.createDataFrame([(d, d, 0, d * 10, [99]) for d in (1, 2, 3)], "doc long, tie long, line_no int, h long, bands array<long>")
     assert {(r.id, r.component) for r in lines.line_components(docs, at).collect()} == {(20, 20), (30, 20)}
+
+
+def test_long_lines_in_parts(monkeypatch):
+    texts = [lines.normal(t) for t in noisy(25) if t.strip()]
+    want = {(a, b): lines.similar(a, b, 8, 0.8) for a in texts for b in texts}
+    assert any(v for (a, b), v in want.items() if a != b) and not all(want.values())
+    sets = {t: lines.shingles(t, 8) for t in texts}
+    assert all(v == (lines.jaccard(sets[a], sets[b]) >= 0.8) for (a, b), v in want.items())
+    monkeypatch.setattr(lines, "PART", 40)
+    assert want == {(a, b): lines.similar(a, b, 8, 0.8) for a, b in want}
+
+
+def test_two_lines_of_three_million_characters():
+    import time
+    import tracemalloc
+
+    rng = random.Random(1)
+    x = "".join(rng.choices("abcdefghijklmnop ", k=3_000_000))
+    y = x[:1_000_000] + "changed" + x[1_000_000:]
+    tracemalloc.start()
+    try:
+        began = time.perf_counter()
+        assert list(lines.bucket_links([1, 2], [1, 2], [x, y], 8, 0.8)) == [(1, 2)]
+        assert time.perf_counter() - began < 120 and tracemalloc.get_traced_memory()[1] < 300e6
+    finally:
+        tracemalloc.stop()
