@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from kindling.storage import release, saved
 
@@ -211,18 +212,40 @@ def labelled_sample(
 ) -> tuple[list[str], np.ndarray, tuple[float, float]]:
     """(whole texts, their 0/1 labels, the shares of the classes among all labels) for fitting.
 
-    At most ``each`` documents of a class with ``where`` (over ``id``), drawn by a hash of the id, and at most
-    ``chars`` characters (or one document): in the order of the hash, so that what is left out does not depend on class or length. Several labels of one id: the
-    largest; null ids and labels are left out.
+    At most ``each`` documents of a class with ``where`` (over ``id``), drawn by a hash of the id, and at most ``chars`` characters, of
+    which each class has half and what the other leaves: a document that does not fit into what is left is passed over, those after it are not. A class of which
+    none fits gives its shortest. Several labels of one id: the largest; several texts: the one of least hash; null ids and labels are left out.
     """
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(where).groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(each) for y in (0, 1)]
-    sample = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    sample = sample.join(F.broadcast(drawn[0].union(drawn[1])), "id").withColumn("seen", F.sum(F.length("body")).over(Window.orderBy(F.xxhash64("id"), "id", F.xxhash64("body"))))
-    rows = sample.where((F.col("seen") <= chars) | (F.col("seen") == F.length("body"))).collect()
-    rows.sort(key=lambda r: (str(r["id"]), r["body"]))
+    bodies = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    bodies = bodies.withColumns({"h": F.xxhash64("body"), "n": F.length("body")})
+    sizes = bodies.join(F.broadcast(drawn[0].union(drawn[1])), "id").groupBy("id", "y").agg(F.min(F.struct("h", "n")).alias("text"), F.xxhash64("id").alias("draw"))
+    rows = sorted(sizes.select("id", "y", "text.*", "draw").collect(), key=lambda r: (r["draw"], str(r["id"])))
+    taken = [r for y in (0, 1) for r in _fitting([r for r in rows if r["y"] == y], _half(rows, y, chars))]
+    if not taken:
+        return [], np.zeros(0, dtype=np.int64), (1.0, 0.0)
+    chosen = docs.sparkSession.createDataFrame([(r["id"], r["y"], r["h"]) for r in taken], StructType([bodies.schema["id"], StructField("y", IntegerType()), StructField("h", LongType())]))
+    found = bodies.join(F.broadcast(chosen), ["id", "h"]).groupBy("id", "y").agg(F.min("body").alias("body")).collect()
+    found.sort(key=lambda r: (str(r["id"]), r["body"]))
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    return [r["body"] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64), (1 - share, share)
+    return [r["body"] for r in found], np.array([r["y"] for r in found], dtype=np.int64), (1 - share, share)
+
+
+def _half(rows: list, y: int, chars: int) -> int:
+    """The characters of class ``y``: half of ``chars``, and what the other class leaves of its half."""
+    other = sum(r["n"] for r in rows if r["y"] != y)
+    return chars - min(other, chars // 2)
+
+
+def _fitting(rows: list, chars: int) -> list:
+    """The rows that fit into ``chars`` one after another; the shortest if none does."""
+    out = []
+    for r in rows:
+        if r["n"] <= chars:
+            chars -= r["n"]
+            out.append(r)
+    return out or sorted(rows, key=lambda r: r["n"])[:1]

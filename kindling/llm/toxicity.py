@@ -275,7 +275,7 @@ def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float] | None
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on at most ``train_docs`` labelled documents of each class, drawn by a hash of the id, from
-    those not held out, and TRAIN_CHARS characters in that order (documents are left out, never parts). Several labels of one id: the largest;
+    those not held out, and TRAIN_CHARS characters (documents that do not fit are passed over, never cut). Several labels of one id: the largest;
     null labels and ids are left out. Without both classes the model scores every text alike, with the share of toxic labels.
     """
     texts, ys, shares = labelled_sample(docs, labels, ~in_fold("id", 4, 2), key, text, label, train_docs, TRAIN_CHARS)

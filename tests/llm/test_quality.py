@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kindling.llm import quality as q
+from kindling.llm.common import labelled_sample
 from kindling.llm.queries import op2_quality
 
 
@@ -22,6 +23,21 @@ def test_votes_by_brute_force():
     assert ((model.score(texts) >= q.THRESHOLD) == labels).mean() > 0.95
 
 
+def test_a_long_document_shuts_out_no_other(spark):
+    rows = [(i, "few words " * (1 + i % 5)) for i in range(40)] + [(i, "much " * 1000) for i in range(40, 44)]
+    docs = spark.createDataFrame(rows + rows[:3] + [(7, "another text of seven")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(44)] + [(None, 1)], "doc_id long, quality int")
+    take = lambda chars: labelled_sample(docs, labels, F.lit(True), "doc_id", "text", "quality", 30, chars)
+    texts, ys, shares = take(1 << 30)
+    assert len(texts) == 44 and ys.sum() == 22 and shares == (0.5, 0.5)
+    texts, ys, _ = take(4000)
+    assert sum(map(len, texts)) <= 4000 and len(texts) == 40 and ys.sum() == 20 and "much" not in "".join(texts)
+    texts, ys, _ = take(10)
+    assert ys.tolist().count(0) == 1 and ys.tolist().count(1) == 1
+    assert len(labelled_sample(docs, labels, F.lit(True), "doc_id", "text", "quality", 5, 1 << 30)[0]) == 10
+    assert labelled_sample(docs, labels.limit(0), F.lit(True), "doc_id", "text", "quality", 5, 100)[0] == []
+
+
 def test_terms_end_with_their_text():
     apart = q.term_counts(["abc", "def", "", "é"])
     assert (apart == np.concatenate([q.term_counts([t]) for t in ("abc", "def", "", "é")])).all()
