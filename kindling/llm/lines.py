@@ -18,8 +18,8 @@ from kindling.storage import release, saved
 WIDTH, SIMILARITY = 8, 0.8
 #: Bands of rows: a pair at 0.8 shares none with probability (1 - 0.8^4)^10 = 0.005, at 0.85 0.0006.
 BANDS, ROWS = 10, 4
-#: Lines of a bucket that are compared in one task; a task holds two such parts.
-BUCKET = 512
+#: Lines of a bucket that are compared in one task, and the characters beyond which a line counts as several; a task holds two such parts.
+BUCKET, LINE = 512, 4096
 #: Parts of lines outside a bucket's largest component beyond which the bucket is dealt by rare shingles first: about as many as a line has.
 SPREAD = 16
 #: Shingles of a line that are compared as strings at once.
@@ -231,9 +231,9 @@ def bucket_links(hs: list[int], components: list[int], lines: list[str], width:
 
 
 def _several(at: DataFrame) -> DataFrame:
-    """(key, n, main, rest) of the buckets of ``at`` (key, h, component) that hold several components: lines, the component of most
-    lines, and the lines of all others. Counted by component first, so that a hot bucket is not gathered."""
-    by_component = at.groupBy("key", "component").agg(F.count("*").alias("m"))
+    """(key, n, main, rest) of the buckets of ``at`` (key, h, component, w) that hold several components: weight of all lines, the component
+    of most weight, and the weight of all others. Added up by component first, so that a hot bucket is not gathered."""
+    by_component = at.groupBy("key", "component").agg(F.sum("w").alias("m"))
     most = F.max(F.struct("m", (-F.col("component")).alias("minus")))
     sizes = by_component.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("components"), most.alias("most")).where("components > 1")
     return sizes.select("key", "n", (-F.col("most.minus")).alias("main"), (F.col("n") - F.col("most.m")).alias("rest"))
@@ -258,10 +258,13 @@ def _open_links(large: DataFrame, labels: DataFrame, texts: DataFrame, width: in
     """(a, b): links between lines that share a bucket of ``large`` and are not connected yet; None if no bucket can hold one.
 
     Only buckets of several components are looked at. Lines of a bucket are compared in one task, without a row per pair; in one of over
-    BUCKET lines those outside its largest component are dealt into parts, all are dealt into parts, and each two parts meet in a task: a line
-    is copied once for each part of the open ones. Where these are more than SPREAD parts, lines are first dealt by their rare shingles.
+    BUCKET lines (a long one counts as one for each LINE characters) those outside its largest component are dealt into parts, all are dealt
+    into parts, and each two parts meet in a task: a line is copied once for each part of the open ones. Where these are more than SPREAD parts, lines are first dealt by their rare shingles.
     """
-    at = saved(large.join(small(labels.withColumnRenamed("id", "h")), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component")))
+    weights = small(texts.select("h", F.ceil(F.length("line") / F.lit(LINE)).cast("long").alias("w")).where("w > 1"))
+    weighed = lambda rows: rows.join(weights, "h", "left").fillna(1, ["w"])
+    at = large.join(small(labels.withColumnRenamed("id", "h")), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
+    at = saved(weighed(at))
     open_ = saved(_several(at))
     if open_.isEmpty():
         return None
@@ -270,8 +273,8 @@ def _open_links(large: DataFrame, labels: DataFrame, texts: DataFrame, width: in
     members = at.join(small(open_.where(F.col("rest") <= most).select("key")), "key")
     if not hot.isEmpty():
         finer = _by_rare_shingle(at.join(F.broadcast(hot.select("key")), "key") if hot.count() <= BUCKET else at.join(hot.select("key"), "key"), texts, width, similarity)
-        members = members.union(finer)
-        members = saved(members.select("key", "h", "component").distinct())
+        members = members.select("key", "h", "component").union(finer)
+        members = saved(weighed(members.select("key", "h", "component").distinct()))
         open_ = saved(_several(members))
     parts = F.ceil(F.col("n") / F.lit(BUCKET)).cast("long").alias("parts"), F.ceil(F.col("rest") / F.lit(BUCKET)).cast("long").alias("rests")
     both = members.join(small(open_), "key").select("key", "h", "component", "main", *parts)

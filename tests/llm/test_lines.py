@@ -54,6 +54,14 @@ def test_against_brute_force(spark, monkeypatch):
     assert dropped(lines.dedup_lines(docs)) == want
 
 
+def test_long_lines_count_as_several(spark, monkeypatch):
+    texts = noisy(24)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(lines, "BUCKET", 16)
+    monkeypatch.setattr(lines, "LINE", 100)
+    assert dropped(lines.dedup_lines(docs)) == brute_force(texts)
+
+
 def test_whole_buckets_by_brute_force():
     texts = [lines.normal(t) for t in noisy(40) if t.strip()]
     sets = [lines.shingles(t, 8) for t in texts]
