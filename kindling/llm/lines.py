@@ -33,7 +33,10 @@ _FACTORS = np.random.default_rng(20).integers(0, 1 << 32, 512, dtype=np.uint32)
 
 def normal(line: str) -> str:
     """How lines are compared: lower case, runs of white space as one space, none at the ends."""
-    return " ".join(line.lower().split())
+    x = line.lower()
+    if x.isprintable() and "  " not in x and x[:1] != " " and x[-1:] != " ":  # the space is the only white space that is printable
+        return x
+    return " ".join(x.split())
 
 
 def _windows(points: np.ndarray, width: int) -> np.ndarray:
@@ -66,19 +69,20 @@ def line_hashes(lines: list[str], width: int, bands: int, rows: int) -> tuple[np
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h >>= np.uint64(32)
-    short = np.append(h.astype(np.uint32), np.uint32(0))
-    edges = np.ravel(np.column_stack([starts, ends]))
+    short = h.astype(np.uint32)
+    # What reaches from a line into the next one counts as the line's first shingle, so that a line ends where the next begins.
+    short[ends[:-1, None] + np.arange(width - 1)] = short[starts[:-1], None]
     turned = np.empty_like(short)
-    keys = np.empty((len(lines), bands), dtype=np.uint64)
-    for b in range(bands):
-        key = np.full(len(lines), b + 1, dtype=np.uint64)
-        for r in range(rows):
-            np.multiply(short, _FACTORS[b * rows + r], out=turned)
-            least = np.minimum.reduceat(turned, edges)[::2]
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
-        keys[:, b] = key
+    least = np.empty((bands * rows, len(lines)), dtype=np.uint64)
+    for i in range(bands * rows):
+        np.multiply(short, _FACTORS[i], out=turned)
+        least[i] = np.minimum.reduceat(turned, starts)
+    least = least.reshape(bands, rows, len(lines))
+    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
+    for r in range(rows):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
     whole = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines]
-    return np.array(whole, dtype=np.uint64), keys
+    return np.array(whole, dtype=np.uint64), np.ascontiguousarray(keys.T)
 
 
 def _texts(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -132,6 +136,49 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(small(per_doc, F.size("lines")), ["doc", "tie"]).select("body", "lines").mapInArrow(run, "h long, line string")
 
 
+def _numbered(points: np.ndarray, bound: int, width: int) -> tuple[np.ndarray, int]:
+    """(numbers of the ``width`` points from each on, equal for equal points only; what they are below). ``points`` are below ``bound``."""
+    if width == 1:
+        return points, bound
+    half, n = width // 2, len(points) - width + 1
+    part, most = _numbered(points, bound, half)
+    last = bound if width % 2 else 1
+    if most * most * last > 1 << 64:
+        kinds, part = np.unique(part, return_inverse=True)
+        part, most = part.astype(np.uint64), len(kinds)
+    out = part[:n] * np.uint64(most) + part[half : half + n]
+    if width % 2:
+        out = out * np.uint64(bound) + points[width - 1 :]
+    return out, most * most * last
+
+
+def _different(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """What is different of each span of ``numbers``, in order; the spans are sorted in place."""
+    spans = [numbers[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    for x in spans:
+        x.sort()
+    new = np.append(True, numbers[1:] != numbers[:-1])
+    new[starts] = True
+    return [x[new[a:b]] for x, a, b in zip(spans, starts.tolist(), ends.tolist())]
+
+
+def numbered_shingles(lines: list[str], width: int) -> list[np.ndarray]:
+    """The different shingles of each line as numbers in order, equal in all ``lines`` for equal shingles only; a short line is one shingle."""
+    if not lines:
+        return []
+    text = "".join(lines)
+    pad = next(c for c in map(chr, range(0x110000)) if c not in text)
+    padded = [x if len(x) >= width else x.ljust(width, pad) for x in lines]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    there = np.zeros(int(codes.max()) + 1, dtype=bool)
+    there[codes] = True
+    rank = np.cumsum(there).astype(np.uint64) - np.uint64(1)
+    numbers, _ = _numbered(rank[codes], int(there.sum()), width)
+    sizes = np.array([len(x) for x in padded])
+    starts = np.cumsum(sizes) - sizes
+    return _different(numbers, starts, starts + sizes - width + 1)
+
+
 def jaccard(a: set, b: set) -> float:
     both = len(a & b)
     return both / (len(a) + len(b) - both)
@@ -141,8 +188,14 @@ def shingles(line: str, width: int) -> set[str]:
     return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
 
 
-def alike_sets(a: set, b: set, similarity: float) -> bool:
-    return min(len(a), len(b)) >= similarity * max(len(a), len(b)) and jaccard(a, b) >= similarity
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of numbers, each in order and without repeats, have at least ``similarity``."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return shared / (len(both) - shared) >= similarity
 
 
 def similar(x: str, y: str, width: int, similarity: float) -> bool:
@@ -150,7 +203,7 @@ def similar(x: str, y: str, width: int, similarity: float) -> bool:
     one hash in the same part, so that a line takes a number per character and the strings of one part."""
     parts = -(-max(len(x), len(y)) // PART)
     if parts <= 1:
-        return alike_sets(shingles(x, width), shingles(y, width), similarity)
+        return alike(*numbered_shingles([x, y], width), similarity)
     part_of = [(mixed(hashed_shingles([line], width)[0]) % np.uint64(parts)).astype(np.uint32) for line in (x, y)]
     both = either = 0
     for part in range(parts):
@@ -160,23 +213,36 @@ def similar(x: str, y: str, width: int, similarity: float) -> bool:
     return both / either >= similarity
 
 
+def _keep_alike(keep: np.ndarray, some: list[str], at: list[tuple[int, int, int]], width: int, similarity: float) -> None:
+    """Mark the rows of ``at`` (row, places of two lines in ``some``) whose lines have at least ``similarity``."""
+    sets = numbered_shingles(some, width)
+    for row, x, y in at:
+        keep[row] = alike(sets[x], sets[y], similarity)
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs whose lines have at least ``similarity``, by the lines themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, set()
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            keep = np.zeros(len(batch), dtype=bool)
+            some, at, held = [], [], 0  # lines, (row, place of its two lines)
+            for row, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = x.as_py(), y.as_py()
                 if max(len(x), len(y)) > PART:
-                    keep.append(similar(x, y, width, similarity))
+                    keep[row] = similar(x, y, width, similarity)
                     continue
-                if x != last:
-                    last, left = x, shingles(x, width)
-                right = shingles(y, width)
-                keep.append(alike_sets(left, right, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if not at or some[at[-1][1]] != x:
+                    some.append(x)
+                    left = len(some) - 1
+                some.append(y)
+                at.append((row, left, len(some) - 1))
+                held += len(x) + len(y)
+                if held > LINE_CHARS:
+                    _keep_alike(keep, some, at, width, similarity)
+                    some, at, held = [], [], 0
+            _keep_alike(keep, some, at, width, similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     with_b = pairs.join(lines.select(F.col("h").alias("b"), F.col("line").alias("y")).hint("merge"), "b")
     both = with_b.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")).hint("merge"), "a")
@@ -185,15 +251,15 @@ def _verified(pairs: DataFrame, lines: DataFrame, width: int, similarity: float)
 
 def _shared(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
     """How many elements ``some`` of the sets share with each: products of incidence columns, a stretch of the elements at a time."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.cumsum(times > 1) - 1
-    often = times[number] > 1
-    owner, number = owner[often], column[number[often]]
-    order = np.argsort(number, kind="stable")
-    owner, number = owner[order], number[order]
+    values = np.concatenate(sets)
+    order = np.argsort(values)
+    values = values[order]
+    same = values[1:] == values[:-1]
+    often = np.append(same, False) | np.append(False, same)
+    number = np.cumsum(np.append(True, ~same)[often]) - 1  # what one set only has needs no column
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order][often]
     out = np.zeros((len(some), len(sets)), dtype=np.float32)
-    step = 4096
+    step = min(4096, int(number[-1]) + 1) if len(number) else 1
     for low in range(0, int(number[-1]) + 1 if len(number) else 0, step):
         a, b = np.searchsorted(number, [low, low + step])
         x = np.zeros((len(sets), step), dtype=np.float32)
@@ -206,24 +272,24 @@ def bucket_links(hs: list[int], components: list[int], lines: list[str], width:
     """Links that connect what of a bucket hangs together, beyond ``components``: exact Jaccard of all its lines at once.
     ``rest``: lines of which one at least is in every pair that matters; all by default."""
     if len(hs) <= 6:
-        sets = [shingles(x, width) if len(x) <= PART else None for x in lines]
+        brief = [i for i, x in enumerate(lines) if len(x) <= PART]
+        sets = dict(zip(brief, numbered_shingles([lines[i] for i in brief], width)))
         for j in range(1, len(hs)):
             for i in range(j):
                 if components[i] == components[j]:
                     continue
-                if similar(lines[i], lines[j], width, similarity) if sets[i] is None or sets[j] is None else alike_sets(sets[i], sets[j], similarity):
+                if alike(sets[i], sets[j], similarity) if i in sets and j in sets else similar(lines[i], lines[j], width, similarity):
                     yield hs[i], hs[j]
         return
     sets = []
     for _, some in blocks(pa.array(lines)):
-        h, starts, ends = hashed_shingles(some, width)
-        sets.extend(np.unique(h[a:b]) for a, b in zip(starts, ends))
+        sets.extend(_different(*hashed_shingles(some, width)))
     size = np.array([len(x) for x in sets])
     group = np.unique(components, return_inverse=True)[1]
     some = np.arange(len(hs)) if rest is None else np.flatnonzero(rest)
     both = _shared(sets, some)
-    alike = both >= similarity * (size[some][:, None] + size[None, :] - both) - 1e-4
-    for row, i in zip(alike, some.tolist()):
+    near = both >= similarity * (size[some][:, None] + size[None, :] - both) - 1e-4
+    for row, i in zip(near, some.tolist()):
         for j in np.flatnonzero(row & (group != group[i])).tolist():
             if group[j] != group[i]:
                 group[group == group[j]] = group[i]

@@ -1,4 +1,8 @@
 import random
+import time
+
+import numpy as np
+import pytest
 
 from kindling.llm import lines
 from kindling.llm.queries import op3_line_dedup
@@ -147,3 +151,74 @@ def test_two_lines_of_three_million_characters():
         assert time.perf_counter() - began < 120 and tracemalloc.get_traced_memory()[1] < 300e6
     finally:
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 8, 11])
+def test_numbered_shingles_are_exact(width):
+    """As sets of strings, whatever the characters: few, over 256 different ones, NUL in short and long lines, lone surrogates."""
+    rng = random.Random(width)
+    wide = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    texts = [lines.normal(t) for t in noisy(6)[:20] if t.strip()] + ["abc", "abc", "abc\0", "abc\0\0\0\0\0", "abc" + "\0" * 30, "ab\ud800cdefghi", "\U0010ffff" * 12]
+    texts += ["".join(rng.choices(wide, k=400)) for _ in range(4)]
+    texts += [texts[-1][:200] + "x" + texts[-1][200:]]
+    sets = [lines.shingles(t, width) for t in texts]
+    numbers = lines.numbered_shingles(texts, width)
+    for a, x in zip(sets, numbers):
+        assert len(a) == len(x) and (x[1:] > x[:-1]).all()
+        for b, y in zip(sets, numbers):
+            assert len(a & b) == len(np.intersect1d(x, y))
+            assert lines.alike(x, y, 0.8) == (lines.jaccard(a, b) >= 0.8)
+
+
+def test_small_buckets_cost_less_than_sets_of_strings():
+    texts = [lines.normal(t) for t in noisy(60)[:60]]
+    buckets = [texts[i : i + 6] for i in range(0, 60, 6)]
+
+    def least_cpu(run):
+        took = []
+        for _ in range(15):
+            began = time.thread_time()
+            out = [run(b) for b in buckets]
+            took.append(time.thread_time() - began)
+        return min(took), out
+
+    def by_strings(bucket):
+        sets = [lines.shingles(x, 8) for x in bucket]
+        return {(i, j) for j in range(6) for i in range(j) if lines.jaccard(sets[i], sets[j]) >= 0.8}
+
+    def as_is(bucket):
+        return set(lines.bucket_links(list(range(6)), list(range(6)), bucket, 8, 0.8))
+
+    (strings, want), (numbers, got) = least_cpu(by_strings), least_cpu(as_is)
+    assert got == want and 0 < sum(map(len, want)) < 150
+    assert numbers < 0.75 * strings, (numbers, strings)
+
+
+def test_pairs_of_a_block():
+    texts = [lines.normal(t) for t in noisy(20)[:20]]
+    pairs = [(a, b) for a in range(20) for b in range(a)]
+    keep = np.zeros(len(pairs), dtype=bool)
+    lines._keep_alike(keep, texts, [(i, a, b) for i, (a, b) in enumerate(pairs)], 8, 0.8)
+    assert keep.tolist() == [lines.jaccard(lines.shingles(texts[a], 8), lines.shingles(texts[b], 8)) >= 0.8 for a, b in pairs]
+    lines._keep_alike(keep, [], [], 8, 0.8)
+
+
+def test_normal_lines_of_any_white_space():
+    for c in map(chr, range(0x3100)):
+        for x in (f"A{c}b", f"{c}A b", f"A b{c}", f"A{c}{c}b", f"A{c} b"):
+            assert lines.normal(x) == " ".join(x.lower().split())
+
+
+def test_band_keys_of_a_line_do_not_depend_on_its_neighbours():
+    texts = [lines.normal(t) for t in noisy(10) if t.strip()] + ["x", "seven77", "eight888", "nine99999"]
+    h, keys = lines.line_hashes(texts, 8, 10, 4)
+    assert keys.shape == (len(texts), 10) and keys.flags.c_contiguous
+    for i, t in enumerate(texts):
+        alone, one = lines.line_hashes([t], 8, 10, 4)
+        assert alone[0] == h[i] and (one[0] == keys[i]).all()
+        least = [min((int(x) >> 32 ^ int(x)) * 0xD6E8FEB86659FD93 % (1 << 64) >> 32 for x in lines.hashed_shingles([t], 8)[0])] if len(t) <= 8 else None
+        if least:  # one shingle: each order's least is that shingle
+            key = np.array([1], dtype=np.uint64)
+            for r in range(4):
+                key = lines.mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(least[0] * int(lines._FACTORS[r]) % (1 << 32)))
+            assert key[0] == keys[i, 0]
