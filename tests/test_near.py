@@ -1,0 +1,52 @@
+import random
+from itertools import combinations
+
+from kindling.operators import cleaning, near
+
+SHAPE = "doc_id long, text string"
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+
+
+def alike(docs):
+    sets = [(k, shingles(t)) for k, t in docs]
+    return {(a, b): round(len(x & y) / len(x | y), 6) for (a, x), (b, y) in combinations(sets, 2) if x and y and len(x & y) / len(x | y) >= 0.7}
+
+
+def edited(rng, words, share):
+    return " ".join(rng.choice("xyz") + str(rng.randrange(10**6)) if rng.random() < share else w for w in words)
+
+
+def found(df):
+    return {(r.a, r.b): r.jaccard for r in df.collect()}
+
+
+def corpus(rng, clusters=40, each=4, words=60):
+    texts = []
+    for _ in range(clusters):
+        base = [str(rng.randrange(10**6)) for _ in range(words)]
+        texts += [edited(rng, base, rng.choice([0.01, 0.03, 0.06])) for _ in range(each)]
+    return [(i, t) for i, t in enumerate(dict.fromkeys(texts))]
+
+
+def test_minhash_pairs_are_compared_exactly(spark):
+    """Also texts of so many shingles that some fall together where they are numbered below a million."""
+    rng = random.Random(1)
+    base = [str(rng.randrange(10**6)) for _ in range(6000)]
+    docs = [*corpus(rng, each=3), (900, " ".join(base)), (901, edited(rng, base, 0.02))]
+    want = alike(docs)
+    got = found(cleaning.dedup_near(spark.createDataFrame(docs, SHAPE), method="lsh"))
+    assert (900, 901) in got and got.items() <= want.items() and len(got) >= 0.97 * len(want)
+
+
+def test_minhash_passes_over_what_shares_a_third(spark):
+    """Half of each text is common to all: 40,000 pairs far from alike, of which few become candidates."""
+    rng = random.Random(2)
+    common = " ".join(str(i) for i in range(40))
+    docs = [(i, common + " " + " ".join(str(rng.randrange(10**9)) for _ in range(50))) for i in range(280)]
+    texts = spark.createDataFrame(docs, "doc_id long, words string")
+    assert near.by_minhash(texts, "doc_id", 3, 0.7).count() < 0.15 * 280 * 279 / 2
+    assert found(cleaning.dedup_near(texts.withColumnRenamed("words", "text"), method="lsh")) == {}
