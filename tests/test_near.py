@@ -1,6 +1,11 @@
 import random
+import tempfile
 from itertools import combinations
+from pathlib import Path
 
+import pytest
+
+import kindling.storage as storage
 from kindling.operators import cleaning, near
 
 SHAPE = "doc_id long, text string"
@@ -50,3 +55,38 @@ def test_minhash_passes_over_what_shares_a_third(spark):
     texts = spark.createDataFrame(docs, "doc_id long, words string")
     assert near.by_minhash(texts, "doc_id", 3, 0.7).count() < 0.15 * 280 * 279 / 2
     assert found(cleaning.dedup_near(texts.withColumnRenamed("words", "text"), method="lsh")) == {}
+
+
+@pytest.mark.parametrize("together, pairs", [(1 << 18, 1 << 16), (500, 1 << 16), (1 << 18, 20)])
+def test_prefix_pairs_equal_all_pairs_in_parts_too(spark, monkeypatch, together, pairs):
+    monkeypatch.setattr(near, "TOGETHER", together)
+    monkeypatch.setattr(near, "PAIRS", pairs)
+    monkeypatch.setattr(near, "BLOCK", 3000)
+    rng = random.Random(3)
+    one = [str(rng.randrange(10**6)) for _ in range(80)]
+    docs = corpus(rng) + [(1000 + i, t) for i, t in enumerate({edited(rng, one, 0.02): None for _ in range(30)})]
+    odd = [(2000, "a b c"), (2001, "a b"), (2002, "a  b, C!"), (2003, None), (2004, "")]
+    assert found(cleaning.dedup_near(spark.createDataFrame(docs + odd, SHAPE))) == alike(docs) | {(2000, 2002): 1.0}
+
+
+def test_any_order_of_shingles_gives_the_same_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near, "FREQUENT", 3)
+    monkeypatch.setattr(near, "SAMPLED", 20)
+    docs = corpus(random.Random(4))
+    assert found(cleaning.dedup_near(spark.createDataFrame(docs, SHAPE))) == alike(docs)
+
+
+def test_a_key_of_several_texts_has_the_shingles_of_all(spark):
+    docs = [(1, "a b c d e"), (1, "p q r s t"), (1, "p q r s t"), (2, "a b c d e f"), (3, "a b c d e. x. p q r s t"), (4, "p q r s t u")]
+    got = found(cleaning.dedup_near(spark.createDataFrame(docs, SHAPE), min_jaccard=0.5))
+    assert got == {(1, 3): round(6 / 9, 6)}
+
+
+def test_shingles_of_unlike_texts_are_not_written(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="kindling-test-")
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: folder)
+    monkeypatch.setattr(storage, "delete", lambda spark, path: None)
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(str(rng.randrange(10**9)) for _ in range(400))) for i in range(300)], SHAPE)
+    assert cleaning.dedup_near(docs).count() == 0
+    assert sum(p.stat().st_size for p in Path(folder).rglob("*.parquet")) < 300 * 400 * 8 / 4
